@@ -12,6 +12,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=5, threshold=0.8).drop("rid")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.llm.token_counts import count_tokens
 
@@ -25,6 +37,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_minhash": op6_minhash,
     "op8_token_counts": op8_token_counts,
     "op10_packing": op10_packing,
 }

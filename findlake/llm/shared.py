@@ -70,8 +70,8 @@ def sum_slices(parts: DataFrame, dtype: str, size: int) -> np.ndarray:
 
     schema = "slice int, part binary"
     slices = -(-size // SLICE)
-    once = parts.repartition(max(8, min(64, slices)), "slice", F.pmod(F.hash("part"), F.lit(16))).mapInPandas(add, schema)
-    twice = once.repartition(max(1, min(64, slices)), "slice").mapInPandas(add, schema)
+    once = parts.repartition(min(12, slices), "slice", F.pmod(F.hash("part"), F.lit(16))).mapInPandas(add, schema)
+    twice = once.repartition(min(12, slices), "slice").mapInPandas(add, schema)
     total = np.zeros(slices * SLICE, dtype)
     for row in twice.toLocalIterator():
         at = row["slice"] * SLICE
