@@ -12,6 +12,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.llm.suffix_dedup import remove_repeats
 
@@ -37,6 +49,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_minhash": op6_minhash,
     "op8_token_counts": op8_token_counts,
