@@ -119,16 +119,22 @@ def _sums(path: str):
         sums: dict[int, np.ndarray] = {}
 
         def emit() -> Iterator[pa.RecordBatch]:
+            packed = []
             for base, total in sums.items():
                 at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(total[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())], names=["row", "n", "doc_id", "n_bytes"])
+                packed.append((base, at.astype(np.uint16).tobytes(), total[at].astype(np.uint32).tobytes()))
+            none = pa.nulls(len(packed), pa.int64())
+            columns = zip(*packed, strict=True) if packed else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)), none, none, none, none], names=SUMS)
             sums.clear()
 
         for batch in batches:
             words = batch.column(0)
             docs = batch.filter(words.is_null())
             if len(docs):
-                yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(6), docs.column(4), docs.column(5)], names=["row", "n", "doc_id", "n_bytes"])
+                at = docs.column(1).to_numpy()
+                none = pa.nulls(len(docs), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at - at % BLOCK_DOCS), none, none, pa.array(at % BLOCK_DOCS), docs.column(4), docs.column(5), docs.column(6)], names=SUMS)
                 batch = batch.filter(words.is_valid())
             if not len(batch):
                 continue
@@ -157,12 +163,43 @@ def _sums(path: str):
     return run
 
 
+SUMS = ["block", "owners", "sums", "place", "doc_id", "n_bytes", "n_special"]
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each block with the sums of all partitions added up; rows of a block follow each other."""
+    block, total, docs = None, np.zeros(BLOCK_DOCS, np.int64), []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for d in docs:
+            at = d.column(3).to_numpy()
+            n = total[at] + d.column(6).to_numpy()
+            yield pa.RecordBatch.from_arrays([d.column(4), d.column(5), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if blocks[a] != block:
+                yield from done()
+                block, docs = blocks[a], []
+                total[:] = 0
+            part = batch.slice(a, b - a)
+            packed = part.column(1).is_valid()
+            for at, n in zip(part.filter(packed).column(1).to_pylist(), part.filter(packed).column(2).to_pylist(), strict=True):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+            docs.append(part.filter(part.column(1).is_null()))
+    yield from done()
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs (doc_id, text), as encoding whole texts gives.
 
     Each task lists the distinct pre-tokens of a block of its documents with the documents that hold them, so one row
     leaves it for each pre-token and block rather than for each occurrence. Rows meet by pre-token: pieces are counted
-    once for it, and a partial sum for each document goes on. A pre-token that every document has is one row a block.
+    once for it, and the partial sums of a block go on packed in one row. A pre-token that every document has is one row a block.
 
     A null text counts as empty, and an empty text has no tokens. Null ids and repeated rows stay: a row comes out for
     every row that goes in. Other columns are not read. Special strings inside a text count as one token each, as the
@@ -171,6 +208,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = rows.mapInArrow(_postings(tokenizer_path), "word string, base long, owners binary, counts binary, doc_id long, n_bytes long, n_special long")
     met = listed.repartition(F.coalesce("word", F.col("base").cast("string")))
-    sums = met.mapInArrow(_sums(tokenizer_path), "row long, n long, doc_id long, n_bytes long")
-    total = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    sums = met.mapInArrow(_sums(tokenizer_path), "block long, owners binary, sums binary, place long, doc_id long, n_bytes long, n_special long")
+    total = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
+    return total.withColumn("over_limit", F.col("n_tokens") > limit)
