@@ -39,6 +39,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=400)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.secrets import BASE, find_secrets
+    from findlake.llm.spans import joined
+
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["order"] < len(BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.llm.minhash import near_duplicates
 
@@ -70,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_minhash": op6_minhash,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
