@@ -128,6 +128,17 @@ def _signatures(size: int, bands: int, rows: int, idf_held):
     return run
 
 
+def _weighted_shingles(size: int, idf_held):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, texts in chunks(batch["text"].tolist()):
+                f = Features(texts, size)
+                ids = batch["class_id"].to_numpy()[first : first + len(texts)]
+                yield pd.DataFrame({"class_id": np.repeat(ids, np.diff(f.bounds)), "key": f.key.view(np.int64), "weight": (f.tf * idf_held.value[f.cell()]).astype(np.float64)})
+
+    return run
+
+
 def _verify(size: int, threshold: float, idf_held):
     """Of rows (a, b, text_a, text_b) those whose weighted Jaccard similarity reaches the threshold."""
 
@@ -168,7 +179,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     Candidates share a band of `rows` samples. In each bucket all classes are first compared with the smallest one,
     so a bucket of near copies costs one comparison a class; then, in buckets that still hold several groups, classes
     of different groups are compared with each other. No pair within a group is made just to be confirmed, and a
-    candidate pair is left out only if its ends are already connected.
+    candidate pair is left out only if its ends are already connected, or if the weights that either end shares with
+    any other class are too small for the threshold.
 
     Null and empty texts, and texts without a word, are classes of their own and never linked. Texts of one to four
     words have a single shingle. Rows that share a doc_id are one document. Rows without doc_id are named by a
@@ -206,9 +218,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     grouped = materialise(grouped, "grouped")
     mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     still = grouped.join(mixed, "bucket").select("bucket", "class_id", "component", "total", "first")
-    other = still.select("bucket", F.col("class_id").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"))
+    # no similarity is above what the shingles that some other class of these buckets has too allow
+    rare = materialise(texts.join(still.select("class_id").distinct(), "class_id").mapInPandas(_weighted_shingles(size, idf), "class_id long, key long, weight double"), "shingles")
+    common = rare.groupBy("key").count().where("count > 1").select("key")
+    shared_weight = rare.join(common, "key", "left_semi").groupBy("class_id").agg(F.sum("weight").alias("shared"))
+    still = still.join(shared_weight, "class_id").where(F.col("shared") >= F.col("total") * threshold * (1 - 1e-6))
+    other = still.select("bucket", F.col("class_id").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"), F.col("shared").alias("shared_b"))
+    enough = F.least("shared", "shared_b") >= (F.col("total") + F.col("total_b")) * (threshold / (1 + threshold) * (1 - 1e-6))
     # pairs with the bucket's first class were compared before
-    across = still.join(other, "bucket").where((F.col("class_id") < F.col("b")) & (F.col("component") != F.col("component_b")) & (F.col("first") != F.col("class_id")) & close)
+    across = still.join(other, "bucket").where((F.col("class_id") < F.col("b")) & (F.col("component") != F.col("component_b")) & (F.col("first") != F.col("class_id")) & close & enough)
     across = across.select(F.col("class_id").alias("a"), "b").distinct()
     edges = edges.select("a", "b").union(materialise(verified(across), "links").select("a", "b"))
     group = connected_components(edges)
