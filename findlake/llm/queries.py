@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,6 +57,16 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=5, threshold=0.8).drop("rid")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.pii import BASE, find_personal_data
+    from findlake.llm.spans import joined
+
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["order"] < len(BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.llm.token_counts import count_tokens
 
@@ -82,9 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash": op6_minhash,
+    "op7_personal_data": op7_personal_data,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
