@@ -163,11 +163,11 @@ class _Items:
             self.ids.append(item)
             self.words.append(w.hashes.tolist())
             self.answers.append(Words([_answer(text)]).hashes.tolist())
-            for i in range(0, len(w.hashes), PASSAGE):
-                owner.append(len(self.ids) - 1)
-                latent.append(self.latent(self.places(w.hashes[i : i + PASSAGE])))
+            begin = np.arange(0, len(w.hashes), PASSAGE)
+            owner += [len(self.ids) - 1] * len(begin)
+            latent.append(self.latents(self.places(w.hashes), begin, np.minimum(begin + PASSAGE, len(w.hashes))))
         self.owner = np.array(owner, np.int64)
-        self.latents = np.array(latent, np.float32).reshape(-1, rank)
+        self.held = np.concatenate(latent) if latent else np.zeros((0, rank), np.float32)
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Place in the vocabulary, or -1."""
@@ -178,10 +178,25 @@ class _Items:
             out[some] = np.where(self.vocabulary[at] == h[some], at, -1)
         return out
 
-    def latent(self, places: np.ndarray) -> np.ndarray:
-        at, n = np.unique(places[places >= 0], return_counts=True)
-        z = (np.sqrt(n) * self.weight[at]) @ self.v[at] if len(at) else np.zeros(self.v.shape[1])
-        return z / max(float(np.linalg.norm(z)), 1e-12)
+    def latents(self, places: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Unit latent vectors of windows of words, given as places in the vocabulary."""
+        inside = np.flatnonzero(places >= 0)
+        lo, hi = np.searchsorted(inside, begin), np.searchsorted(inside, end)
+        size = hi - lo
+        window = np.repeat(np.arange(len(begin)), size)
+        word = places[inside[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(len(window))]]
+        both = np.sort(window * len(self.vocabulary) + word)
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(both)))
+        window, word = np.divmod(both[first], max(len(self.vocabulary), 1))
+        weight = np.sqrt(n, dtype=np.float32) * self.weight[word]
+        z = np.zeros((len(begin), self.v.shape[1]), np.float32)
+        count = np.bincount(window, minlength=len(begin))
+        start = np.cumsum(count) - count
+        for k in range(int(count.max(initial=0))):  # the windows' k-th words together; a window has few
+            some = np.flatnonzero(count > k)
+            z[some] += self.v[word[start[some] + k]] * weight[start[some] + k][:, None]
+        return z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)[:, None]
 
 
 def _search(items_held, idf_held, share: float, cosine: float, overlap: float, loose: float, answer: float):
@@ -196,7 +211,8 @@ def _search(items_held, idf_held, share: float, cosine: float, overlap: float, l
                 w = Words(texts)
                 n = np.diff(w.doc)
                 places = items.places(w.hashes)
-                square = idf[_cells(w.hashes)].astype(np.float64) ** 2
+                square = idf[_cells(w.hashes)].astype(np.float64)
+                square *= square
                 everything = np.concatenate([[0.0], np.cumsum(square)])
                 known = np.concatenate([[0.0], np.cumsum(np.where(places >= 0, square, 0))])
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -211,9 +227,10 @@ def _search(items_held, idf_held, share: float, cosine: float, overlap: float, l
                     for part in np.array_split(few, max(1, len(few) // 2048)):
                         if not len(part):
                             continue
-                        z = np.array([items.latent(places[begin[k] : end[k]]) for k in part], np.float32)
-                        row, col = np.nonzero(z @ items.latents.T >= cosine)
-                        score = np.einsum("ij,ij->i", z[row], items.latents[col])
+                        z = items.latents(places, begin[part], end[part])
+                        cosines = z @ items.held.T
+                        row, col = np.divmod(np.flatnonzero(cosines.reshape(-1) >= cosine), max(len(items.held), 1))
+                        score = cosines[row, col]
                         for k, c, s in sorted(zip(part[row].tolist(), items.owner[col].tolist(), score.tolist(), strict=True), key=lambda x: -x[2]):
                             at = (int(doc[k]), c)
                             if at in best and best[at][1] >= 0.999:
