@@ -157,8 +157,9 @@ def _sorted_buckets(length: int):
     return run
 
 
-def _window_hashes(length: int, step: int):
-    """Of rows (context, n, gram, left, right[, k]) hashes of the bytes that windows have in common, for all starts of a step."""
+def _window_hashes(length: int, step: int, within: int):
+    """Of rows (context, n, gram, left, right[, k]) two hashes for each run of `step` window starts: of the bytes that
+    all its windows have (kind 0) and of all bytes that any has (kind 1); with k only for starts in k's run of `within`."""
     reach = Anchors(length).reach
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,21 +171,25 @@ def _window_hashes(length: int, step: int):
                 prefix = np.zeros((len(part), reach + length + 1), np.uint64)
                 np.cumsum(_CODE[raw] * _power(_BASE, reach + length), axis=1, dtype=np.uint64, out=prefix[:, 1:])
                 l_len, r_len = (part[c].map(len).to_numpy() for c in ("left", "right"))
+                runs = part["k"].to_numpy() // within if "k" in part else np.zeros(len(part), np.int64)
+                ids, n, gram = (part[c].to_numpy() for c in ("context", "n", "gram"))
                 out = []
-                for d in range(0, reach + 1, step):
-                    begin, size = reach - d, length - min(step - 1, reach - d)
-                    ok = (l_len >= d) & (r_len >= size - d)
-                    if "k" in part:
-                        ok &= part["k"].to_numpy() == d // GROUP * GROUP
-                    h = mix(prefix[:, begin + size] - prefix[:, begin] + np.uint64(d))
-                    out.append(pd.DataFrame({"context": part["context"], "n": part["n"], "gram": part["gram"], "d": d, "h": h.view(np.int64)})[ok])
-                yield pd.concat(out)
+                for r in np.unique(runs):
+                    mine = np.flatnonzero(runs == r)
+                    for d in range(int(r) * within, min((int(r) + 1) * within, reach + 1), step):
+                        last = min(d + step - 1, reach)
+                        for kind, near, far in ((0, d, last), (1, last, d)) if step > 1 else ((1, d, d),):
+                            some = mine[(l_len[mine] >= near) & (r_len[mine] >= length - far)]
+                            h = mix(prefix[some, reach + length - far] - prefix[some, reach - near] + np.uint64(2 * d + kind))
+                            out.append((ids[some], n[some], gram[some], np.full(len(some), d), np.full(len(some), kind), h.view(np.int64)))
+                if out:
+                    yield pd.DataFrame(dict(zip(("context", "n", "gram", "d", "kind", "h"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
 
-#: Window starts that are tried together before each alone, where a gram has very many contexts.
-GROUP = 50
+#: Window starts that are tried together, then fewer, then each alone, where a gram has very many contexts.
+STEPS = (50, 10, 1)
 
 
 def _contexts(length: int):
@@ -239,7 +244,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = False,
        that lead their suffix, with splitters that Spark samples; equal leads meet in a bucket, which sorts its
        suffixes by multikey quicksort and compares neighbours at every window start.
     3. A lead with more than `crowd` contexts would fill a bucket alone. Its windows are counted by hash instead, with
-       partial counts before the shuffle: first what a run of window starts has in common, then each start.
+       partial counts before the shuffle, for runs of window starts: if all bytes of a run's windows are repeated, so
+       is each window; if the bytes that they share are not, none is; other runs are taken in shorter ones.
     4. The bytes covered come back by context to all places that have it.
     Texts are rows' UTF-8 bytes; null counts as empty, and a text shorter than `length` stays whole. Equal rows repeat
     each other. Other columns are not read; an empty table gives no rows.
@@ -273,15 +279,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = False,
     found = calm.repartitionByRange(buckets, F.substring("right", 1, anchors.gram)).mapInPandas(_sorted_buckets(length), "context long, lo int, hi int")
 
     crowded = around.where("crowded").drop("crowded")
-    hashed = "context long, n long, gram long, d int, h long"
-
-    def repeated(windows: DataFrame) -> DataFrame:
-        often = windows.groupBy("gram", "d", "h").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-        return windows.join(often, ["gram", "d", "h"], "left_semi")
-
-    groups = repeated(crowded.mapInPandas(_window_hashes(length, GROUP), hashed)).select("context", F.col("d").alias("k")).distinct()
-    exact = repeated(crowded.join(groups, "context").mapInPandas(_window_hashes(length, 1), hashed))
-    found = materialise(found.union(exact.select("context", -F.col("d"), F.lit(length) - F.col("d"))), "covered")
+    hashed = "context long, n long, gram long, d int, kind int, h long"
+    for step, within in zip(STEPS, (anchors.reach + 1, *STEPS), strict=False):
+        windows = materialise(crowded.mapInPandas(_window_hashes(length, step, within), hashed), "windows")
+        often = materialise(windows.groupBy("gram", "d", "kind", "h").agg(F.sum("n").alias("all"), F.min("context").alias("one")).where("all > 1"), "often")
+        level = windows.join(often, ["gram", "d", "kind", "h"]).groupBy("context", "gram", "d").agg(F.max("kind").alias("kind"))
+        level = materialise(level, "level")
+        last = F.least(F.col("d") + step - 1, F.lit(anchors.reach))
+        found = found.union(level.where("kind = 1").select("context", -last, F.lit(length) - F.col("d")))
+        if step > 1:
+            # one context stands for all that have the same bytes throughout a run, so that the others still meet them
+            doubtful = level.where("kind = 0").select("context", "gram", F.col("d").alias("k"))
+            others = often.where("kind = 1").join(doubtful.select("gram", F.col("k").alias("d")).distinct(), ["gram", "d"]).select(F.col("one").alias("context"), "gram", F.col("d").alias("k"), F.col("all").alias("n"))
+            base = around.where("crowded").select("context", "gram", "left", "right", "n")
+            crowded = base.join(doubtful, ["context", "gram"]).select("context", "n", "gram", "left", "right", "k").union(base.drop("n").join(others, ["context", "gram"]).select("context", "n", "gram", "left", "right", "k"))
+    found = materialise(found, "covered")
 
     spans = again.join(found, "context").select("rid", F.struct((F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")).alias("span"))
     spans = spans.groupBy("rid").agg(F.collect_set("span").alias("spans"))
