@@ -25,4 +25,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from findlake.queries import reports as _reports  # noqa: E402,F401  registers its queries
+from findlake.queries import reports as _reports  # noqa: E402,F401  these register their queries
+from findlake.queries import rules as _rules  # noqa: E402,F401
