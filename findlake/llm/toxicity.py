@@ -18,6 +18,8 @@ WINDOW, STEP, HIDDEN, WIDTH, GRAMS = 64, 48, 8, 8, 2048
 PREFIXES, PREFIX_CELLS = (4, 5, 6, 7, 8), 1 << 14
 #: Words that get a vector of their own: those in at least so many training documents, the most frequent first.
 MIN_DOCS, MAX_WORDS = 3, 20_000
+#: Windows of each training document that the network sees; the final weights see all.
+SEEN = 6
 
 Params = dict[str, np.ndarray]
 
@@ -182,31 +184,40 @@ class Model:
         if len(set(labels)) < 2:
             return
         counts: dict[int, int] = {}
-        for _, some in chunks(texts):
+        seen: list[str] = []
+        owner: list[int] = []
+        for first, some in chunks(texts):
             w = Words(some)
             for i in range(len(some)):
-                for h in np.unique(w.hashes[w.doc[i] : w.doc[i + 1]]).tolist():
+                lo, hi = int(w.doc[i]), int(w.doc[i + 1])
+                for h in np.unique(w.hashes[lo:hi]).tolist():
                     counts[h] = counts.get(h, 0) + 1
+                starts = range(lo, max(lo + 1, hi - WINDOW + STEP), STEP) if hi > lo else ()
+                for at in rng.permutation(len(starts))[:SEEN]:
+                    end = min(starts[at] + WINDOW, hi)
+                    seen.append(w.data[w.start[starts[at]] : w.end[end - 1]].decode("utf-8", "replace"))
+                    owner.append(first + i)
         often = sorted((h for h, n in counts.items() if n >= MIN_DOCS), key=lambda h: (-counts[h], h))[:MAX_WORDS]
         self.vocabulary = np.sort(np.array(often, np.uint64))
-        x = Inputs(texts, self.vocabulary)
+        x = Inputs(seen, self.vocabulary)
+        label = y[np.array(owner, np.int64)[x.doc]] if len(x.doc) else np.zeros(0, np.float32)
         draw = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
         p: Params = {"word": draw(len(self.vocabulary) + 1, WIDTH, scale=0.1), "gram": draw(GRAMS, WIDTH, scale=0.1), "prefix": draw(PREFIX_CELLS, WIDTH, scale=0.05), "wa": draw(2 * HIDDEN, HIDDEN), "va": draw(HIDDEN), "wo": draw(2 * HIDDEN), "bo": np.float32(0)}
         p["word"][0] = p["prefix"][0] = 0
         for d in "fb":
             p |= {"w" + d: draw(2 * WIDTH, 3 * HIDDEN), "u" + d: draw(HIDDEN, 3 * HIDDEN), "b" + d: np.zeros(3 * HIDDEN, np.float32)}
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-        one, none = (np.flatnonzero(y[x.doc] == k) for k in (1, 0))
+        one, none = (np.flatnonzero(label == k) for k in (1, 0))
         for step in range(1, steps + 1) if len(one) and len(none) else ():
             rows = np.concatenate([rng.choice(one, batch // 2), rng.choice(none, batch // 2)])
-            g = _gradients(p, x, rows, y[x.doc[rows]], np.ones(len(rows), np.float32))
+            g = _gradients(p, x, rows, label[rows], np.ones(len(rows), np.float32))
             rate = 0.02 * min(1, (steps - step + 1) / (steps * 0.5))
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         self.params = p
-        f = _pooled(window_logits(p, x), x.doc, len(texts))
+        f = np.concatenate([self.pooled(some) for _, some in chunks(texts)])
         f, y, by = f[f[:, 2] > 0], y[f[:, 2] > 0], by[f[:, 2] > 0]
         beta = np.zeros(3)
         for _ in range(50):  # Newton steps of a logistic regression on the pooled logits
@@ -215,13 +226,16 @@ class Model:
             beta += np.linalg.solve(h, f.T @ (by * (y - q)) - 1e-2 * by.mean() * beta)
         self.final = beta
 
+    def pooled(self, texts: list[str]) -> np.ndarray:
+        x = Inputs(texts, self.vocabulary)
+        return _pooled(window_logits(self.params, x), x.doc, len(texts))
+
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         if self.params is None:
             return out
         for first, some in chunks(texts):
-            x = Inputs(some, self.vocabulary)
-            f = _pooled(window_logits(self.params, x), x.doc, len(some))
+            f = self.pooled(some)
             out[first : first + len(some)] = np.where(f[:, 2] > 0, _sigmoid(f @ self.final), self.prior)
         return out
 
