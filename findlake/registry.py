@@ -30,3 +30,4 @@ from findlake.queries import events as _events  # noqa: E402,F401
 from findlake.queries import files as _files  # noqa: E402,F401
 from findlake.queries import reports as _reports  # noqa: E402,F401  these register their queries
 from findlake.queries import rules as _rules  # noqa: E402,F401
+from findlake.queries import stores as _stores  # noqa: E402,F401
