@@ -56,6 +56,10 @@ def _weights(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word, np.sqrt(n) * idf[_cells(word)]
 
 
+def _vectors(rows: dict[int, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"word": pd.Series(list(rows), dtype="int64"), "b": pd.Series(list(rows.values()), dtype=object)})
+
+
 def latent_space(passages: DataFrame, n_passages: int, rank: int, oversample: int = 16) -> DataFrame:
     """(word long, v array<float>): right singular vectors of the TF-IDF matrix of passages (words array<long>,
     weights array<double>), by randomised SVD. Rows and words stay distributed; only matrices of the sketch's width
@@ -86,16 +90,16 @@ def latent_space(passages: DataFrame, n_passages: int, rank: int, oversample: in
                 for word, weight in zip(words, weights, strict=True):
                     total[word] = total.get(word, 0) + weight * q
             if len(total) > 20_000:
-                yield pd.DataFrame({"word": list(total), "b": list(total.values())})
+                yield _vectors(total)
                 total = {}
-        yield pd.DataFrame({"word": list(total), "b": list(total.values())})
+        yield _vectors(total)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for word, b in zip(batch["word"], batch["b"], strict=True):
                 total[word] = total.get(word, 0) + np.asarray(b)
-        yield pd.DataFrame({"word": list(total), "b": list(total.values())})
+        yield _vectors(total)
 
     shape = "word long, b array<double>"
     reduced = materialise(passages.mapInPandas(project, shape).repartition("word").mapInPandas(add, shape), "reduced")
