@@ -51,8 +51,9 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
     def flush(run: set[str]) -> None:
         alternatives = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in sorted(run)]
-        if alternatives and all(alternatives):
-            clauses.append(list(dict.fromkeys(alternatives)))
+        least = [a for a in dict.fromkeys(alternatives) if not any(b < a for b in alternatives)]
+        if least and all(least):
+            clauses.append(least)
 
     def strings(node) -> set[str] | None:
         """All lower-cased strings of a part, if they are few."""
