@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,21 +158,21 @@ def _part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), _path_column(F.col("p_partkey")).alias("path"))
 
 
-def _path_query(name: str, sql: str, value: Column, doc: str) -> None:
+def _path_query(name: str, sql: str, value: Callable[[Column], Column], doc: str) -> None:
     @query(name, f"WITH {_PATHS} SELECT key, path, {sql} AS value FROM paths")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _part_paths(spark, sf_dir).select("key", "path", value.alias("value"))
+        return _part_paths(spark, sf_dir).select("key", "path", value(F.col("path")).alias("value"))
 
     run.__doc__ = doc
 
 
 _TEST = r"(?i)(^|/)(tests?|testing|__tests__|spec|e2e|fixtures?)/|(^|/)(test_[^/]+|[^/]+_test)\.py$|\.(test|spec)\.[jt]sx?$"
-_path_query("f034_language_detect", _LANG, paths.language(F.col("path")), "Language of a path by name or suffix.")
-_path_query("f035_should_read", f"NOT ({_SKIPPED}) AND (list_contains({_list(paths.ALWAYS_READ)}, {_LOW}) OR NOT (list_contains({_list(paths.SKIP_SUFFIXES)}, {_SUFFIX_SQL}) OR {_LOW} LIKE '%.min.js' OR {_LOW} LIKE '%.min.css'))", paths.should_read(F.col("path")), "Whether a file is read.")
-_path_query("f036_should_analyse", f"NOT ({_SKIPPED}) AND coalesce(list_contains({_list(paths.ANALYSABLE)}, {_LANG}), false)", paths.should_analyse(F.col("path")), "Whether rules run on a file.")
-_path_query("f038_test_path", f"regexp_matches(path, '{_TEST}')", F.col("path").rlike(rules.TEST_PATH), "Whether a path is a test.")
-_path_query("f039_vendored_path", f"regexp_matches(path, '{rules.VENDOR_PATH}')", F.col("path").rlike(rules.VENDOR_PATH), "Whether a path is third-party or built.")
-_path_query("f044_safe_path", "CASE WHEN key % 3 = 0 THEN NULL ELSE path END", paths.safe_path(F.concat(F.when(F.col("key") % 3 == 0, "../").when(F.col("key") % 3 == 1, "./").otherwise(" "), F.col("path"))), "A path as asked for, or null if it leaves the tree.")
+_path_query("f034_language_detect", _LANG, paths.language, "Language of a path by name or suffix.")
+_path_query("f035_should_read", f"NOT ({_SKIPPED}) AND (list_contains({_list(paths.ALWAYS_READ)}, {_LOW}) OR NOT (list_contains({_list(paths.SKIP_SUFFIXES)}, {_SUFFIX_SQL}) OR {_LOW} LIKE '%.min.js' OR {_LOW} LIKE '%.min.css'))", paths.should_read, "Whether a file is read.")
+_path_query("f036_should_analyse", f"NOT ({_SKIPPED}) AND coalesce(list_contains({_list(paths.ANALYSABLE)}, {_LANG}), false)", paths.should_analyse, "Whether rules run on a file.")
+_path_query("f038_test_path", f"regexp_matches(path, '{_TEST}')", lambda p: p.rlike(rules.TEST_PATH), "Whether a path is a test.")
+_path_query("f039_vendored_path", f"regexp_matches(path, '{rules.VENDOR_PATH}')", lambda p: p.rlike(rules.VENDOR_PATH), "Whether a path is third-party or built.")
+_path_query("f044_safe_path", "CASE WHEN key % 3 = 0 THEN NULL ELSE path END", lambda p: paths.safe_path(F.concat(F.when(F.col("key") % 3 == 0, "../").when(F.col("key") % 3 == 1, "./").otherwise(" "), p)), "A path as asked for, or null if it leaves the tree.")
 
 
 @query("f037_snapshot_views", f"WITH {_PATHS}, l AS (SELECT path, {_LANG} AS language FROM paths) SELECT coalesce(language, 'none') AS language, count(*) AS files, count_if(lower(string_split(path, '/')[-1]) = 'package.json') AS manifests FROM l GROUP BY ALL")

@@ -1,0 +1,117 @@
+"""Rules, scores, stores and streams on small fixtures, and the same results at any partitioning."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from findlake.functions.text import with_lines
+from findlake.operators import diff, facts, rules, scoring, stores
+from findlake.plans import bindings
+from findlake.sources import sarif
+from findlake.streaming import jobs
+
+SF = "/root/testdata/sf0.001"
+BY_ID = {r.id: r for r in rules.RULES}
+
+
+def _files(spark, project: dict[str, tuple[str | None, str]]):
+    rows = [("r", p, lang, t) for p, (lang, t) in project.items()] + [("r", "package.json", "json", '{"dependencies": {"react": "1.0.0"}}'), ("r", "m.py", "python", "")]
+    return spark.createDataFrame(rows, "repo string, path string, language string, text string")
+
+
+def _run(spark, rule: str, project):
+    files = _files(spark, project)
+    found = rules.run_rule(BY_ID[rule], with_lines(files), facts.project_facts(files)).collect()
+    return sorted((f.file, f.line, f.severity, f.confidence) for f in found)
+
+
+def test_unrelated_taint_on_a_neighbouring_line_does_not_raise_the_grade(spark):
+    project = {
+        "a.js": ("javascript", "const q = req.query.q;\nconst sql = `SELECT * FROM t WHERE a = ${name}`;\ndb.query(sql);\n"),
+        "b.js": ("javascript", "const name = req.query.q;\nconst sql = `SELECT * FROM t WHERE a = ${name}`;\ndb.query(sql);\n"),
+        "c.js": ("javascript", "if (name == req.query.q) {}\ndb.query(`SELECT * FROM t WHERE a = ${name}`);\n"),
+        "d.js": ("javascript", "// SELECT ${x}\ndb.query('SELECT 1');\n"),
+    }
+    assert _run(spark, "security/sql-injection", project) == [("a.js", 2, "medium", "medium"), ("b.js", 2, "critical", "high"), ("c.js", 2, "medium", "medium")]
+
+
+def test_rules_stay_silent_where_they_should(spark):
+    quiet = {
+        "security/ssrf": {"a.py": ("python", "urllib.request.urlopen(url)\n")},
+        "security/weak-hash": {"a.js": ("javascript", "const e = createHash('md5').update(etag);\n")},
+        "security/permissive-cors": {"a.js": ("javascript", "cors({ origin: '*' })\n")},
+        "python/bare-except": {"a.py": ("python", "try:\n    a()\nexcept ValueError:\n    b()\n")},
+        "python/unsafe-deserialisation": {"tests/a.py": ("python", "pickle.loads(x)\n"), "b.py": ("python", "# pickle.loads(x)\n")},
+        "security/hardcoded-secret": {"a.env.example": (None, 'TOKEN="q8Zr4Tw1Yx9Kp3Lm7Nv2"\n'), "b.py": ("python", 'password = "your_password_here"\nsecret = os.environ["A_SECRET_NAME"]\n')},
+    }
+    for rule, project in quiet.items():
+        assert _run(spark, rule, project) == [], rule
+
+
+def test_cap_is_checked_between_files(spark):
+    rows = [("r", f"f{i:02d}.py", 1) for i in range(20) for _ in range(10)]
+    hits = spark.createDataFrame(rows, "repo string, path string, line int")
+    assert {r.path for r in rules.capped(hits, 25).collect()} == {"f00.py", "f01.py", "f02.py"}
+
+
+def test_findings_do_not_depend_on_partitions(spark):
+    f = bindings.findings(spark, SF)
+    once = scoring.truncated(f.coalesce(1), 5).select("repo", "fingerprint", "place")
+    many = scoring.truncated(f.repartition(16, F.rand(1)), 5).select("repo", "fingerprint", "place")
+    assert sorted(once.collect()) == sorted(many.collect())
+
+
+def test_scores(spark):
+    shape = "repo int, category string, severity string, confidence string, file string, line int, rule_id string, title string, fingerprint string"
+    made = [(1, "security", "critical", "high", "a", 1, "s", "SQL built", "x"), (2, "security", "critical", "medium", "a", 1, "s", "t", "x"), (3, "metric", "info", "high", "a", 1, "s", "t", "x")]
+    repos = spark.createDataFrame([(i, 10) for i in range(5)], "repo int, files int")
+    f = spark.createDataFrame(made, shape)
+    got = {r.repo: (r.score, r.grade, r.cap) for r in scoring.report_scores(f, repos).collect()}
+    assert got[0] == (100, "A", 100) and got[1][0] <= 39 and got[1][1] == "F" and got[2][2] == 100 and got[3] == (100, "A", 100)
+    text = {r.repo: r.summary for r in scoring.summaries(f, repos).collect()}
+    assert text[1] == "Start with SQL built in a." and text[0].startswith("No issues") and text[2].startswith("1 finding of high severity, not confirmed") and text[3].startswith("Nothing blocking found. 1 lower-severity finding ")
+
+
+def test_delta_sets_are_apart(spark):
+    runs = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (2, "a"), (2, "c"), (2, ""), (3, "c")], "run long, fingerprint string")
+    got = {(r.run, r.fingerprint): r.status for r in diff.status_per_run(runs).collect()}
+    assert got == {(1, "a"): "resolved", (1, "b"): "unchanged", (2, "a"): "reopened", (2, "c"): "new", (2, "b"): "resolved", (3, "c"): "unchanged", (3, "a"): "resolved"}
+
+
+def test_greedy_budget_passes_over_what_does_not_fit(spark):
+    files = spark.createDataFrame([(1, i, s) for i, s in enumerate([5, 9, 3, 4])], "g int, k int, size int")
+    assert sorted(r["size"] for r in stores.greedy(files, "g", "size", ["k"], 12).collect()) == [3, 4, 5]
+
+
+def test_sarif_document(spark):
+    shape = "repo int, category string, severity string, confidence string, file string, line int, rule_id string, title string, fingerprint string, suppressed boolean"
+    f = spark.createDataFrame([(1, "security", "high", "high", "a.py", 3, "r/b", "t", "x", True), (1, "secret", "critical", "high", None, None, "r/a", "u", "y", False)], shape)
+    doc = json.loads(sarif.documents(f).first().document)
+    run = doc["runs"][0]
+    assert doc["version"] == "2.1.0" and [r["id"] for r in run["tool"]["driver"]["rules"]] == ["r/a", "r/b"]
+    assert [r["ruleIndex"] for r in run["results"]] == [0, 1] and "locations" not in run["results"][0]
+    assert run["results"][1]["suppressions"][0]["status"] == "accepted" and run["results"][1]["level"] == "error"
+
+
+def test_stream_breaker_equals_the_batch_form(spark):
+    log = bindings.log(spark, SF)
+    batch = jobs.breaker(log.select(F.col("job_id").alias("key"), "seq", "ts", (F.col("stage") == "error").alias("bad")))
+    stream = jobs.run_once(spark, jobs.stream_breaker(jobs.read_log(spark, SF)), "update")
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.select("key", "trips", "refused").collect()))
+
+
+def test_nothing_in_the_library_needs_the_optional_part():
+    import ast
+    from pathlib import Path
+
+    import findlake
+
+    root = Path(findlake.__file__).parent
+    for path in root.rglob("*.py"):
+        if "llm" in path.relative_to(root).parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+            assert not [n for n in names if n.startswith("findlake.llm")], path
