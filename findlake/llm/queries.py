@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of_kind(order: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["order"] == order)).cast("long")
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.llm.embedding_dedup import near_duplicate_vectors
 
@@ -47,7 +51,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_secrets(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(BASE)]
+    counts = [_of_kind(k).alias(f"n_{rule.kind}") for k, rule in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -63,7 +67,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_personal_data(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    counts = [_of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -101,4 +105,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LINKS = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98)"""
+
+
+def _secret_sql() -> str:
+    """Matches of each rule with their places, from the gaps between them."""
+    from findlake.llm.secrets import ADDED, BASE
+
+    parts = []
+    for order, rule in enumerate(BASE + ADDED):
+        pattern = rule.pattern.replace("'", "''")
+        keep = f" WHERE length(g[i]) >= {rule.least}" if rule.least else ""
+        parts.append(
+            f"SELECT k, {order} AS o, '{rule.kind}' AS kind, s AS start, s + length(m[i]) AS stop FROM (SELECT k, m, g, i, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s "
+            f"FROM (SELECT k, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS gaps FROM d) x WHERE len(m) > 0) y{keep}) z"
+        )
+    counts = ", ".join(f"count(o) FILTER (o = {k}) AS n_{rule.kind}" for k, rule in enumerate(BASE))
+    joined = "coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, o){}, '')"
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), spans AS (" + " UNION ALL ".join(parts) + ") "
+        f"SELECT doc_id, {counts}, sha256({joined.format(f' FILTER (o < {len(BASE)})')}) AS base_sha256, {joined.format('')} AS spans FROM d LEFT JOIN spans USING (k) GROUP BY k, doc_id"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a""",
+    "op5_secret_scan": _secret_sql(),
+}

@@ -77,6 +77,34 @@ def test_secrets_against_plain_scans(spark):
     assert find_secrets(documents(spark, [])).count() == 0
 
 
+def test_registered_counts_are_those_of_the_spans(spark):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    for name, kinds in (("op5_secret_scan", ("assign", "access", "hex")), ("op7_personal_data", ("email", "ip", "card", "phone"))):
+        total = 0
+        for r in entry.queries()[name](spark, "/root/testdata/sf0.01").collect():
+            spans = [s for s in r.spans.split(",") if s]
+            base = [s for s in spans if s.split(":")[0] in kinds]
+            assert [r[f"n_{k}"] for k in kinds] == [sum(s.startswith(f"{k}:") for s in base) for k in kinds]
+            assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+            total += len(base)
+        assert total > 20
+
+
+def test_sql_of_the_registered_queries(spark):
+    import __spark_entry__ as entry
+    from findlake.llm.queries import ORACLE_SQL
+    from tests import oracle
+
+    duck = oracle.connect("/root/testdata/sf0.01")
+    for name, sql in ORACLE_SQL.items():
+        got = entry.queries()[name](spark, "/root/testdata/sf0.01")
+        want = duck.execute(sql)
+        assert oracle.rows(got.columns, got.collect()) == oracle.rows([d[0] for d in want.description], want.fetchall()), name
+
+
 def test_trigram_queries():
     assert trigram_query(r"[0-9a-f]{16,}") == []
     assert trigram_query(r"AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
