@@ -176,9 +176,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     documents, is at least `threshold`. group_id is the smallest class_id reachable over links, and kept marks the
     rows whose doc_id is the group's.
 
-    Candidates share a band of `rows` samples. In each bucket all classes are first compared with the smallest one,
-    so a bucket of near copies costs one comparison a class; then, in buckets that still hold several groups, classes
-    of different groups are compared with each other. No pair within a group is made just to be confirmed, and a
+    Candidates share a band of `rows` samples. In each bucket all classes are first compared with the smallest one, and
+    where that leaves several groups with the one that has least of its own, so a bucket of near copies costs a few
+    comparisons a class; then classes of groups that are still apart are compared with each other. No pair within a group is made just to be confirmed, and a
     candidate pair is left out only if its ends are already connected, or if the weights that either end shares with
     any other class are too small for the threshold.
 
@@ -223,12 +223,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     common = rare.groupBy("key").count().where("count > 1").select("key")
     shared_weight = rare.join(common, "key", "left_semi").groupBy("class_id").agg(F.sum("weight").alias("shared"))
     still = still.join(shared_weight, "class_id").where(F.col("shared") >= F.col("total") * threshold * (1 - 1e-6))
-    other = still.select("bucket", F.col("class_id").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"), F.col("shared").alias("shared_b"))
+    still = materialise(still.drop("component"), "still")
     enough = F.least("shared", "shared_b") >= (F.col("total") + F.col("total_b")) * (threshold / (1 + threshold) * (1 - 1e-6))
-    # pairs with the bucket's first class were compared before
-    across = still.join(other, "bucket").where((F.col("class_id") < F.col("b")) & (F.col("component") != F.col("component_b")) & (F.col("first") != F.col("class_id")) & close & enough)
+
+    def in_groups(links: DataFrame) -> DataFrame:
+        found = connected_components(links).withColumnRenamed("id", "class_id")
+        return still.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", F.col("class_id").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"), F.col("shared").alias("shared_b"))
+
+    # then with the class that has least of its own, which is nearest to what the others were copied from
+    apart = F.col("component") != F.col("component_b")
+    now = still.join(group.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    nearest = now.groupBy("bucket").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("share"), "class_id", "component", "total", "shared")).alias("p")).select("bucket", "p.*")
+    stars = now.join(renamed(nearest), "bucket").where(apart & close & enough).select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
+    edges = edges.select("a", "b").union(materialise(verified(stars), "links").select("a", "b"))
+    # and what is still apart with each other; pairs with the bucket's first class were compared before
+    now = materialise(in_groups(edges), "grouped")
+    across = now.join(renamed(now), "bucket").where((F.col("class_id") < F.col("b")) & apart & (F.col("first") != F.col("class_id")) & close & enough)
     across = across.select(F.col("class_id").alias("a"), "b").distinct()
-    edges = edges.select("a", "b").union(materialise(verified(across), "links").select("a", "b"))
+    edges = edges.union(materialise(verified(across), "links").select("a", "b"))
     group = connected_components(edges)
 
     named = signed.select("doc_id", "rid", "words").join(classes.select("words", "class_id", "n_copies"), "words", "left")

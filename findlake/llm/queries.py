@@ -123,10 +123,10 @@ def _secret_sql() -> str:
             f"FROM (SELECT k, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS gaps FROM d) x WHERE len(m) > 0) y{keep}) z"
         )
     counts = ", ".join(f"count(o) FILTER (o = {k}) AS n_{rule.kind}" for k, rule in enumerate(BASE))
-    joined = "coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, o){}, '')"
+    joined = "coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, o) FILTER (o < {}), '')"
     return (
         "WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), spans AS (" + " UNION ALL ".join(parts) + ") "
-        f"SELECT doc_id, {counts}, sha256({joined.format(f' FILTER (o < {len(BASE)})')}) AS base_sha256, {joined.format('')} AS spans FROM d LEFT JOIN spans USING (k) GROUP BY k, doc_id"
+        f"SELECT doc_id, {counts}, sha256({joined.format(len(BASE))}) AS base_sha256, {joined.format(99)} AS spans FROM d LEFT JOIN spans USING (k) GROUP BY k, doc_id"
     )
 
 
