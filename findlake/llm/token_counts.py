@@ -151,11 +151,12 @@ def _sums(path: str):
             owner = np.frombuffer(b"".join(blobs), np.uint16)
             value = np.frombuffer(b"".join(times), np.uint8) * np.repeat(pieces, lens)
             of = np.repeat(bases, lens)
-            for base in np.unique(bases):
-                mine = of == base
-                if base not in sums:
-                    sums[base] = np.zeros(BLOCK_DOCS, np.int64)
-                sums[base] += np.bincount(owner[mine], value[mine], minlength=BLOCK_DOCS).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            of, owner, value = of[order], owner[order], value[order]
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                total = sums.setdefault(int(of[a]), np.zeros(BLOCK_DOCS, np.int64))
+                total += np.bincount(owner[a:b], value[a:b], minlength=BLOCK_DOCS).astype(np.int64)
             if len(sums) > 256:
                 yield from emit()
         yield from emit()
