@@ -264,7 +264,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = False,
                 yield pd.DataFrame({"rid": rid[index][owner], "pos": (at - starts[owner]).astype(np.int32), "gram": gram.view(np.int64), "context": context.view(np.int64)})
 
     sampled = materialise(rows.select("rid", "text").mapInPandas(places, "rid long, pos int, gram long, context long"), "places")
-    twice = sampled.groupBy("gram").count().where("count > 1").select("gram")
+    # written, so that the join can split a gram that very many places have
+    twice = materialise(sampled.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     again = materialise(sampled.join(twice, "gram", "left_semi"), "again")
     contexts = again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one"))
     contexts = materialise(contexts, "contexts")
