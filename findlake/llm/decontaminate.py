@@ -170,6 +170,11 @@ class _Items:
             begin = np.arange(0, len(w.hashes), PASSAGE)
             owner += [len(self.ids) - 1] * len(begin)
             latent.append(self.latents(self.places(w.hashes), begin, np.minimum(begin + PASSAGE, len(w.hashes))))
+        counts = [len(words) for words in self.words]
+        self.size = np.array(counts, np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = self.places(np.array([h for words in self.words for h in words], np.uint64))
+        self.longest = max(counts, default=0)
         self.owner = np.array(owner, np.int64)
         self.held = np.concatenate(latent) if latent else np.zeros((0, rank), np.float32)
 
@@ -182,6 +187,30 @@ class _Items:
             out[some] = np.where(self.vocabulary[at] == h[some], at, -1)
         return out
 
+    def possible(self, places: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray, item: np.ndarray, least: float) -> np.ndarray:
+        """Of pairs of a region of words (row, ascending) and an item, those in which `least` of the item's words occur in
+        the region: a common subsequence cannot be longer than that."""
+        keep = np.zeros(len(row), bool)
+        inside = np.flatnonzero(places >= 0)
+        lo, size = np.searchsorted(inside, begin), np.searchsorted(inside, end)
+        size = size - lo
+        block = max(8, 50_000 // max(len(self.words), 1))
+        for r in range(0, len(begin), block):
+            a, b = np.searchsorted(row, [r, r + block])
+            if a == b:
+                continue
+            n = size[r : r + block]
+            region = np.repeat(np.arange(len(n)), n)
+            present = np.zeros((len(n), len(self.vocabulary)), bool)
+            present[region, places[inside[np.repeat(lo[r : r + block] - np.cumsum(n) + n, n) + np.arange(len(region))]]] = True
+            mine, m = item[a:b], self.size[item[a:b]]
+            pair = np.repeat(np.arange(b - a), m)
+            start = np.cumsum(m) - m
+            words = self.flat[np.repeat(self.first[mine] - start, m) + np.arange(len(pair))]
+            found = np.add.reduceat(present[(row[a:b] - r)[pair], words].astype(np.int64), start)
+            keep[a:b] = found >= least * m * (1 - 1e-9)
+        return keep
+
     def latents(self, places: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Unit latent vectors of windows of words, given as places in the vocabulary."""
         inside = np.flatnonzero(places >= 0)
@@ -205,7 +234,8 @@ class _Items:
 
 def _search(items_held, idf_held, share: float, cosine: float, overlap: float, loose: float, answer: float):
     def confirm(words: list[int], item: list[int], reply: list[int]) -> tuple[float, float]:
-        return common_subsequence(item, words) / len(item), common_subsequence(reply, words) / len(reply) if reply else 0.0
+        ratio = common_subsequence(item, words) / len(item)
+        return ratio, common_subsequence(reply, words) / len(reply) if reply and ratio >= min(overlap, loose) else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, idf = items_held.value, idf_held.value
@@ -235,13 +265,17 @@ def _search(items_held, idf_held, share: float, cosine: float, overlap: float, l
                         cosines = z @ items.held.T
                         row, col = np.divmod(np.flatnonzero(cosines.reshape(-1) >= cosine), max(len(items.held), 1))
                         score = cosines[row, col]
-                        for k, c, s in sorted(zip(part[row].tolist(), items.owner[col].tolist(), score.tolist(), strict=True), key=lambda x: -x[2]):
+                        item = items.owner[col]
+                        whole = np.maximum(w.doc[doc[part]], begin[part] - items.longest), np.minimum(w.doc[doc[part] + 1], end[part] + items.longest)
+                        some = items.possible(places, *whole, row, item, min(overlap, loose))
+                        row, item, score = row[some], item[some], score[some]
+                        for k, c, s in sorted(zip(part[row].tolist(), item.tolist(), score.tolist(), strict=True), key=lambda x: -x[2]):
                             at = (int(doc[k]), c)
                             if at in best and best[at][1] >= 0.999:
                                 continue
-                            item = items.words[c]
-                            lo, hi = max(int(w.doc[doc[k]]), int(begin[k]) - len(item)), min(int(w.doc[doc[k] + 1]), int(end[k]) + len(item))
-                            ratio, reply = confirm(w.hashes[lo:hi].tolist(), item, items.answers[c])
+                            words = items.words[c]
+                            lo, hi = max(int(w.doc[doc[k]]), int(begin[k]) - len(words)), min(int(w.doc[doc[k] + 1]), int(end[k]) + len(words))
+                            ratio, reply = confirm(w.hashes[lo:hi][places[lo:hi] >= 0].tolist(), words, items.answers[c])
                             if ratio >= overlap or (ratio >= loose and reply >= answer):
                                 best[at] = max(best.get(at, (0.0, 0.0, 0.0)), (s, ratio, reply), key=lambda x: x[1])
                 for (d, c), (s, ratio, reply) in best.items():

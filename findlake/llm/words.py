@@ -10,7 +10,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 _rng = np.random.default_rng(20240501)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHINGLE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 IS_WORD = np.zeros(256, bool)
@@ -54,15 +53,16 @@ class Words:
         if inside[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[::2], edge[1::2]
-        lens = self.end - self.start
-        if len(lens):
-            at = np.flatnonzero(inside)
-            first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            place = np.arange(len(at)) - np.repeat(first, lens)
-            value = _BYTE[raw[at]] * _PLACE[place & 255]
-            if lens.max() > 256:
-                value += (place >> 8).astype(np.uint64) * _BYTE[(raw[at] + 1) & 255]
-            self.hashes = mix(np.add.reduceat(value, first))
+        if len(edge):
+            # runs of word bytes and of others in turn; a hash is a sum of bytes, each times a number of its place in the run
+            place = np.arange(edge[0], len(raw))
+            place -= np.repeat(edge, np.diff(np.append(edge, len(raw))))
+            value = raw[edge[0] :].astype(np.uint64)
+            value += np.uint64(257)
+            value *= _PLACE.take(place & 255)
+            if (self.end - self.start).max() > 256:
+                value *= (place >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            self.hashes = mix(np.add.reduceat(value, edge - edge[0])[::2])
         else:
             self.hashes = np.zeros(0, np.uint64)
         begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])

@@ -173,3 +173,20 @@ def test_multikey_quicksort_sorts():
     for i in range(1, 200):
         same = next((k for k in range(6) if rows[i][k] != rows[i - 1][k]), 6)
         assert differs[i] == same
+
+
+def test_words_are_runs_and_hash_by_content():
+    import re
+
+    from findlake.llm.words import Words, shingles
+
+    texts = ["The cat, the CAT!", "", "...", "Ünïcode 漢字_1 x", "a" * 700 + " " + "a" * 701, "cat"]
+    w = Words(texts)
+    plain = [re.findall(r"[\w\u0080-\U0010ffff]+", t.lower()) for t in texts]
+    assert np.diff(w.doc).tolist() == [len(p) for p in plain]
+    flat = [x for p in plain for x in p]
+    assert [w.word(i) for i in range(len(flat))] == flat
+    assert len(set(w.hashes.tolist())) == len(set(flat))
+    assert all((w.hashes[i] == w.hashes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+    h, bounds = shingles(w.hashes, w.doc, 2)
+    assert np.diff(bounds).tolist() == [max(len(p) - 1, min(len(p), 1)) for p in plain] and len(set(h.tolist())) == len(h) - 1  # "the cat" twice
