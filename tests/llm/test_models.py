@@ -14,25 +14,24 @@ from findlake.llm.shared import materialise
 from findlake.llm.toxicity import Inputs, Model, score_toxicity
 from tests.llm.fixtures import documents, hard_rows
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def _accuracy(spark, name, label):
     got = entry.queries()[name](spark, SF)
     held = got.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     r = held.agg(F.avg((F.col("predicted") == F.col(label)).cast("int")).alias("a"), F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-    assert r.n > 50 and 0 <= r.lo and r.hi <= 1
-    assert got.count() == 1000
+    assert r.n > 800 and 0 <= r.lo and r.hi <= 1
     return r.a
 
 
 def test_toxicity_on_the_held_out_fold(spark):
-    # 0.87 of the labels are 0; about 0.3 of the toxic ones here have nothing in the text that marks them
-    assert _accuracy(spark, "op3_toxicity", "toxic") >= 0.91
+    # 0.88 of the labels are 0
+    assert _accuracy(spark, "op3_toxicity", "toxic") >= 0.95
 
 
 def test_quality_on_the_held_out_fold(spark):
-    assert _accuracy(spark, "op9_quality", "quality") >= 0.93
+    assert _accuracy(spark, "op9_quality", "quality") >= 0.97
 
 
 def test_folds_are_crc32(spark):
