@@ -126,9 +126,19 @@ def window_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f126_job_rows", f"WITH {_LOG} SELECT job_id, CASE WHEN bool_or(stage = 'error') THEN 'failed' WHEN bool_or(stage = 'purchase') THEN 'succeeded' ELSE 'running' END AS status, min(seq) AS started, max(seq) AS updated FROM log WHERE seq % 7 = 0 GROUP BY job_id")
 def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a job from its every seventh event: what its durable row would say."""
+    """One row a job from its every seventh event: what its durable row would say. `f126_all_job_rows` reads all events."""
+    return _job_rows(b.log(spark, sf_dir).where("seq % 7 = 0"))
+
+
+def _job_rows(log: DataFrame) -> DataFrame:
     status = F.when(F.bool_or(F.col("stage") == "error"), "failed").when(F.bool_or(F.col("stage") == "purchase"), "succeeded").otherwise("running")
-    return b.log(spark, sf_dir).where("seq % 7 = 0").groupBy("job_id").agg(status.alias("status"), F.min("seq").alias("started"), F.max("seq").alias("updated"))
+    return log.groupBy("job_id").agg(status.alias("status"), F.min("seq").alias("started"), F.max("seq").alias("updated"))
+
+
+@query("f126_all_job_rows", f"WITH {_LOG} SELECT job_id, CASE WHEN bool_or(stage = 'error') THEN 'failed' WHEN bool_or(stage = 'purchase') THEN 'succeeded' ELSE 'running' END AS status, min(seq) AS started, max(seq) AS updated FROM log GROUP BY job_id")
+def all_job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a job from all its events."""
+    return _job_rows(b.log(spark, sf_dir))
 
 
 @query("f091_ordered_dedup", f"WITH {_LOG}, f AS (SELECT job_id, stage, min(seq) AS s FROM log GROUP BY ALL) SELECT job_id, string_agg(stage, '>' ORDER BY s) AS stages FROM f GROUP BY job_id")

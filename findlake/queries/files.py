@@ -202,7 +202,14 @@ def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f056_file_findings", f"WITH {b.FINDINGS} SELECT file, repo, line, rule_id, severity FROM findings WHERE file = 'src/part7.py' OR file = 'src/part11.py'")
 def file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.findings(spark, sf_dir).where(F.col("file").isin("src/part7.py", "src/part11.py")).select("file", "repo", "line", "rule_id", "severity")
+    """Of two files; `f056_all_file_findings` has every file."""
+    return all_file_findings(spark, sf_dir).where(F.col("file").isin("src/part7.py", "src/part11.py"))
+
+
+@query("f056_all_file_findings", f"WITH {b.FINDINGS} SELECT file, repo, line, rule_id, severity FROM findings")
+def all_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every file."""
+    return b.findings(spark, sf_dir).select("file", "repo", "line", "rule_id", "severity")
 
 
 @query("f068_storage_aggregates", f"WITH {b.FILES} SELECT repo, CAST(coalesce(sum(size), 0) AS BIGINT) AS stored, min(path) AS first_path, count(*) AS files FROM files GROUP BY repo")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlake.operators import facts as facts_of
 from findlake.operators import rules
 from findlake.plans import corpus
-from findlake.registry import query
+from findlake.registry import ORACLE_SQL, query
 
 _N = len(corpus.TEMPLATES)
 _NUMBER = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)"
@@ -50,8 +53,9 @@ _NUMBERS = {
     "security/sql-injection": 20, "security/command-injection": 21, "security/code-injection": 22, "security/path-traversal": 23, "security/ssrf": 24, "security/weak-hash": 25,
     "security/insecure-random": 26, "security/permissive-cors": 27, "security/jwt-unverified": 28, "security/hardcoded-secret": 29,
 }
-for _rule in rules.RULES:
-    _rule_query(f"r{_NUMBERS[_rule.id]:02d}_{_rule.id.split('/')[1].replace('-', '_')}", _rule)
+_NAMED = {f"r{_NUMBERS[rule.id]:02d}_{rule.id.split('/')[1].replace('-', '_')}": rule for rule in rules.RULES}
+for _name, _rule in _NAMED.items():
+    _rule_query(_name, _rule)
 
 _REPOS = f"repos AS (SELECT DISTINCT p_brand AS repo, {_NUMBER} AS n FROM part UNION ALL SELECT concat('supplier', s_suppkey), NULL FROM supplier)"
 _TESTED = f"tested AS (SELECT DISTINCT p_brand AS repo FROM part WHERE p_partkey % {_N} IN (25))"
@@ -85,11 +89,20 @@ def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f045_all_rules", f"WITH {_FILES} SELECT repo, rule_id, count(*) AS n FROM files JOIN expected USING (t) WHERE rule_id LIKE 'react/%' AND n % 5 <> 0 GROUP BY ALL")
 def react_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by repository of all rules that the react gate opens."""
+    """Findings by repository of all rules that the react gate opens. `f045_rules_of_every_gate` runs all rules."""
+    return _counts(spark, sf_dir, [rule for rule in rules.RULES if rule.gate == "is_react"])
+
+
+def _counts(spark: SparkSession, sf_dir: str, some: Sequence[rules.Rule]) -> DataFrame:
     files, facts = corpus.lines_and_facts(spark, sf_dir)
-    found = None
-    for rule in rules.RULES:
-        if rule.gate == "is_react":
-            part = rules.run_rule(rule, files, facts)
-            found = part if found is None else found.union(part)
+    found = reduce(DataFrame.union, [rules.run_rule(rule, files, facts).select("repo", "rule_id") for rule in some])
     return found.groupBy("repo", "rule_id").agg(F.count("*").alias("n"))
+
+
+_EVERY = " UNION ALL ".join(f"SELECT repo, '{rule.id}' AS rule_id, count(*) AS n FROM ({ORACLE_SQL[name]}) GROUP BY repo" for name, rule in _NAMED.items())
+
+
+@query("f045_rules_of_every_gate", _EVERY)
+def every_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by repository of all rules, whichever gate opens them."""
+    return _counts(spark, sf_dir, rules.RULES)

@@ -91,8 +91,15 @@ def new_findings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f058_report_with_owner", f"WITH {b.REPORTS} SELECT id, owner_id, c_name FROM reports JOIN customer ON custkey = c_custkey WHERE id % 3 = 0")
 def report_with_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every third number; `f058_all_reports_with_owner` has all reports."""
+    return all_reports_with_owner(spark, sf_dir).where("id % 3 = 0")
+
+
+@query("f058_all_reports_with_owner", f"WITH {b.REPORTS} SELECT id, owner_id, c_name FROM reports JOIN customer ON custkey = c_custkey")
+def all_reports_with_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each report with its owner and the name of its customer."""
     c = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
-    return b.reports(spark, sf_dir).where("id % 3 = 0").join(c, "custkey").select("id", "owner_id", "c_name")
+    return b.reports(spark, sf_dir).join(c, "custkey").select("id", "owner_id", "c_name")
 
 
 @query("f057_candidate_changes", f"WITH {b.FINDINGS}, c AS (SELECT file, count(*) AS findings FROM findings GROUP BY file), h AS (SELECT concat('src/part', l_partkey, '.py') AS file, count(*) AS changes FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' GROUP BY ALL) SELECT file, findings, changes FROM c JOIN h USING (file)")
@@ -186,6 +193,7 @@ def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f136_suppression_list", f"WITH {_ACCEPTED} SELECT fingerprint, max_by(reason, struct_pack(a := ts, b := event_id)) AS reason FROM accepted WHERE owner_id = 7 AND repository = 'error' GROUP BY fingerprint")
 def suppression_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one owner and repository; `f124_suppression_upsert` has the lists of all."""
     return _accepted(spark, sf_dir).where("owner_id = 7 and repository = 'error'").select("fingerprint", "reason")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from findlake.functions.text import with_lines
 from findlake.operators import diff, facts, rules, scoring, stores
 from findlake.plans import bindings
+from findlake.registry import QUERIES
 from findlake.sources import sarif
 from findlake.streaming import jobs
 
@@ -115,3 +116,16 @@ def test_nothing_in_the_library_needs_the_optional_part():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not [n for n in names if n.startswith("findlake.llm")], path
+
+
+def test_registered_queries_read_all_events_reports_files_and_rules(spark):
+    table = lambda name: bindings.table(spark, SF, name)
+    of = {name: QUERIES[name](spark, SF).collect() for name in ("f126_all_job_rows", "f058_all_reports_with_owner", "f056_all_file_findings", "f045_rules_of_every_gate", "f124_suppression_upsert")}
+    ids = [r.seq for r in bindings.log(spark, SF).select("seq").collect()]
+    jobs_ = of["f126_all_job_rows"]
+    assert min(r.started for r in jobs_) == min(ids) and max(r.updated for r in jobs_) == max(ids)
+    assert {r.job_id for r in jobs_ if r.status == "failed"} == {r.user_id for r in table("events").where("event_type = 'error'").select("user_id").collect()}
+    assert {r.id for r in of["f058_all_reports_with_owner"]} == {r.o_orderkey for r in table("orders").select("o_orderkey").collect()}
+    assert len(of["f056_all_file_findings"]) == bindings.findings(spark, SF).count()
+    assert {r.rule_id for r in of["f045_rules_of_every_gate"]} >= {"python/bare-except", "security/command-injection", "security/sql-injection", "config/ts-not-strict", "quality/long-file", "react/missing-list-key"}
+    assert len({(r.owner_id, r.repository) for r in of["f124_suppression_upsert"]}) > 1
