@@ -45,7 +45,10 @@ def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for _, texts in chunks(batch["text"].tolist()):
                 f = Features(texts, size)
-                total[:CELLS] += np.bincount(f.cell(), minlength=CELLS)
+                owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(f.bounds))
+                both = np.sort((owner * CELLS) | f.cell())  # a document counts once a cell, however many of its shingles share it
+                first = np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.zeros(0, bool)
+                total[:CELLS] += np.bincount(both[first] & (CELLS - 1), minlength=CELLS)
                 total[CELLS] += int((np.diff(f.bounds) > 0).sum())
         yield emit_slices(total)
 
@@ -55,7 +58,7 @@ def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
 def idf_table(df: np.ndarray) -> np.ndarray:
     """From 2 for a shingle of no other document down to 1 for one of all: the ratio is bounded, so a few words changed in a common text do not outweigh it."""
     n = max(int(df[-1]), 1)
-    return (1 + np.log((1 + n) / (1 + df[:-1])) / np.log(1 + n)).astype(np.float32)
+    return np.clip(1 + np.log((1 + n) / (1 + df[:-1])) / np.log(1 + n), 1, 2).astype(np.float32)
 
 
 class Sampler:

@@ -190,3 +190,13 @@ def test_words_are_runs_and_hash_by_content():
     assert all((w.hashes[i] == w.hashes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
     h, bounds = shingles(w.hashes, w.doc, 2)
     assert np.diff(bounds).tolist() == [max(len(p) - 1, min(len(p), 1)) for p in plain] and len(set(h.tolist())) == len(h) - 1  # "the cat" twice
+
+
+def test_document_frequencies_count_a_cell_once_a_document(spark):
+    long = " ".join(np.random.default_rng(5).integers(0, 10**9, 200_000).astype(str))
+    docs = documents(spark, [(1, long), (2, long + " end"), (3, "")])
+    df = document_frequencies(docs, 5)
+    assert df[-1] == 2 and df[:-1].max() == 2
+    idf = idf_table(df)
+    assert idf.min() >= 1 and idf.max() <= 2
+    assert {r.doc_id: r.group_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
