@@ -136,8 +136,8 @@ def _weighted_shingles(size: int, idf_held):
         for batch in batches:
             for first, texts in chunks(batch["text"].tolist()):
                 f = Features(texts, size)
-                ids = batch["class_id"].to_numpy()[first : first + len(texts)]
-                yield pd.DataFrame({"class_id": np.repeat(ids, np.diff(f.bounds)), "key": f.key.view(np.int64), "weight": (f.tf * idf_held.value[f.cell()]).astype(np.float64)})
+                ids = batch["node"].to_numpy()[first : first + len(texts)]
+                yield pd.DataFrame({"node": np.repeat(ids, np.diff(f.bounds)), "key": f.key.view(np.int64), "weight": (f.tf * idf_held.value[f.cell()]).astype(np.float64)})
 
     return run
 
@@ -176,8 +176,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
 
     Texts with the same words in order are one class, named by its smallest doc_id (n_copies: its rows). Classes are
     linked where their weighted Jaccard similarity over `size`-word shingles, weighted by count times IDF over all
-    documents, is at least `threshold`. group_id is the smallest class_id reachable over links, and kept marks the
-    rows whose doc_id is the group's.
+    documents, is at least `threshold`. A group is what is reachable over links; group_id is the class_id of the class
+    that holds its first row, the one with the smallest (doc_id, rid), rows without doc_id last. kept marks that row;
+    rows equal in doc_id and text share the mark.
 
     Candidates share a band of `rows` samples. In each bucket all classes are first compared with the smallest one, and
     where that leaves several groups with the one that has least of its own, so a bucket of near copies costs a few
@@ -186,8 +187,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     any other class are too small for the threshold.
 
     Null and empty texts, and texts without a word, are classes of their own and never linked. Texts of one to four
-    words have a single shingle. Rows that share a doc_id are one document. Rows without doc_id are named by a
-    negative number from their words, so copies meet still. Other columns are not read; an empty table gives no rows.
+    words have a single shingle. Classes are told apart by their words, not by doc_id: rows that share a doc_id but not
+    their words are linked each by its own text, and where they are not near copies their groups share a number and each
+    keeps a row. A class without any doc_id is named by a negative number from its words. Other columns are not read;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -195,62 +198,70 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     keyed = rows_in.withColumn("rid", content_key())
     signed = materialise(keyed.mapInPandas(_signatures(size, bands, rows, idf), "doc_id long, rid binary, words binary, total double, bands array<long>"), "signed")
     unnamed = -F.abs(F.xxhash64("words") % (1 << 62)) - 1
-    classes = signed.where("words is not null").groupBy("words").agg(F.min(F.struct("doc_id", "rid")).alias("least"), F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("total").alias("total"), F.first("bands").alias("bands"))
-    classes = materialise(classes.select("words", F.coalesce("id", unnamed).alias("class_id"), F.col("least.rid").alias("rid"), "n_copies", "total", "bands"), "classes")
-
-    exploded = classes.select("class_id", "total", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("first")).where("n > 1").drop("n")
-    members = materialise(exploded.join(shared, "bucket"), "buckets")
-    needed = members.select("class_id").distinct().join(classes.select("class_id", "rid"), "class_id")
-    texts = materialise(keyed.select("rid", "text").join(needed, "rid").dropDuplicates(["class_id"]).select("class_id", "text"), "texts")
-    totals = classes.select("class_id", "total")
+    least = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "rid"))
+    classes = signed.where("words is not null").groupBy("words").agg(least.alias("least"), F.count("*").alias("n_copies"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    # a class goes by a number from its words, node, while links are sought
+    classes = materialise(classes.select("words", F.xxhash64("words").alias("node"), "least.unnamed", F.coalesce("least.doc_id", unnamed).alias("class_id"), F.col("least.rid").alias("rid"), "n_copies", "total", "bands"), "classes")
+
+    exploded = classes.select("node", "unnamed", "class_id", "total", F.explode("bands").alias("bucket"))
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("unnamed", "class_id", "node")).alias("first")).where("n > 1").select("bucket", F.col("first.node").alias("first"))
+    members = materialise(exploded.drop("unnamed", "class_id").join(shared, "bucket"), "buckets")
+    needed = members.select("node").distinct().join(classes.select("node", "rid"), "node")
+    texts = materialise(keyed.select("rid", "text").join(needed, "rid").dropDuplicates(["node"]).select("node", "text"), "texts")
+    totals = classes.select("node", "total")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verify(size, threshold, idf), "a long, b long, similarity double")
 
     # the similarity is at most the smaller total over the larger
     close = F.least("total", "total_b") >= F.greatest("total", "total_b") * threshold * (1 - 1e-9)
-    stars = members.where("first <> class_id").select(F.col("first").alias("a"), F.col("class_id").alias("b"), F.col("total").alias("total_b")).distinct()
-    stars = stars.join(totals.withColumnRenamed("class_id", "a"), "a").where(close).select("a", "b")
+    stars = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("total").alias("total_b")).distinct()
+    stars = stars.join(totals.withColumnRenamed("node", "a"), "a").where(close).select("a", "b")
     edges = materialise(verified(stars), "links")
     group = connected_components(edges.select("a", "b"))
 
-    grouped = members.join(group.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    grouped = members.join(group.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped, "grouped")
     mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    still = grouped.join(mixed, "bucket").select("bucket", "class_id", "component", "total", "first")
+    still = grouped.join(mixed, "bucket").select("bucket", "node", "component", "total", "first")
     # no similarity is above what the shingles that some other class of these buckets has too allow
-    rare = materialise(texts.join(still.select("class_id").distinct(), "class_id").mapInPandas(_weighted_shingles(size, idf), "class_id long, key long, weight double"), "shingles")
+    rare = materialise(texts.join(still.select("node").distinct(), "node").mapInPandas(_weighted_shingles(size, idf), "node long, key long, weight double"), "shingles")
     common = rare.groupBy("key").count().where("count > 1").select("key")
-    shared_weight = rare.join(common, "key", "left_semi").groupBy("class_id").agg(F.sum("weight").alias("shared"))
-    still = still.join(shared_weight, "class_id").where(F.col("shared") >= F.col("total") * threshold * (1 - 1e-6))
+    shared_weight = rare.join(common, "key", "left_semi").groupBy("node").agg(F.sum("weight").alias("shared"))
+    still = still.join(shared_weight, "node").where(F.col("shared") >= F.col("total") * threshold * (1 - 1e-6))
     still = materialise(still.drop("component"), "still")
     enough = F.least("shared", "shared_b") >= (F.col("total") + F.col("total_b")) * (threshold / (1 + threshold) * (1 - 1e-6))
 
     def in_groups(links: DataFrame) -> DataFrame:
-        found = connected_components(links).withColumnRenamed("id", "class_id")
-        return still.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        found = connected_components(links).withColumnRenamed("id", "node")
+        return still.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def renamed(rows: DataFrame) -> DataFrame:
-        return rows.select("bucket", F.col("class_id").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"), F.col("shared").alias("shared_b"))
+        return rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"), F.col("shared").alias("shared_b"))
 
     # then with the class that has least of its own, which is nearest to what the others were copied from
     apart = F.col("component") != F.col("component_b")
-    now = still.join(group.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    nearest = now.groupBy("bucket").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("share"), "class_id", "component", "total", "shared")).alias("p")).select("bucket", "p.*")
-    stars = now.join(renamed(nearest), "bucket").where(apart & close & enough).select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
+    now = still.join(group.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nearest = now.groupBy("bucket").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("share"), "node", "component", "total", "shared")).alias("p")).select("bucket", "p.*")
+    stars = now.join(renamed(nearest), "bucket").where(apart & close & enough).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     edges = edges.select("a", "b").union(materialise(verified(stars), "links").select("a", "b"))
     # and what is still apart with each other; pairs with the bucket's first class were compared before
     now = materialise(in_groups(edges), "grouped")
-    across = now.join(renamed(now), "bucket").where((F.col("class_id") < F.col("b")) & apart & (F.col("first") != F.col("class_id")) & close & enough)
-    across = across.select(F.col("class_id").alias("a"), "b").distinct()
+    across = now.join(renamed(now), "bucket").where((F.col("node") < F.col("b")) & apart & (F.col("first") != F.col("node")) & close & enough)
+    across = across.select(F.col("node").alias("a"), "b").distinct()
     edges = edges.union(materialise(verified(across), "links").select("a", "b"))
     group = connected_components(edges)
 
-    named = signed.select("doc_id", "rid", "words").join(classes.select("words", "class_id", "n_copies"), "words", "left")
-    named = named.join(group.withColumnRenamed("id", "class_id"), "class_id", "left")
+    # of each group its first row
+    named = group.withColumnRenamed("id", "node").join(classes.select("node", "unnamed", "class_id", "rid"), "node")
+    heads = named.groupBy("component").agg(F.min(F.struct("unnamed", "class_id", "rid")).alias("head")).select("component", F.col("head.class_id").alias("group_id"), F.col("head.rid").alias("head_rid"))
+    grouped = group.withColumnRenamed("id", "node").join(heads, "component").drop("component")
+
+    named = signed.select("doc_id", "rid", "words").join(classes.select("words", "node", "class_id", "n_copies", F.col("rid").alias("class_rid")), "words", "left")
+    named = named.join(grouped, "node", "left")
     alone = F.coalesce("doc_id", -F.abs(F.xxhash64("rid") % (1 << 62)) - 1)
-    named = named.withColumn("class_id", F.coalesce("class_id", alone)).withColumn("group_id", F.coalesce("component", "class_id"))
-    return named.select("doc_id", "rid", "class_id", F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "group_id", (F.coalesce("doc_id", "class_id") == F.col("group_id")).alias("kept"))
+    named = named.withColumn("class_id", F.coalesce("class_id", alone)).withColumn("group_id", F.coalesce("group_id", "class_id"))
+    kept = F.col("rid") == F.coalesce("head_rid", "class_rid", "rid")
+    return named.select("doc_id", "rid", "class_id", F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "group_id", kept.alias("kept"))

@@ -200,3 +200,20 @@ def test_document_frequencies_count_a_cell_once_a_document(spark):
     idf = idf_table(df)
     assert idf.min() >= 1 and idf.max() <= 2
     assert {r.doc_id: r.group_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_one_row_of_a_group_is_kept_whatever_the_ids(spark):
+    base = prose(41, 200)
+    edited = base.replace(base.split()[100], "edited", 1)
+    other = prose(42, 200)
+    # copies without id of document 7, also in capitals; a group without ids; a repeated id with two texts, each near to another document
+    rows = [(7, base), (None, base), (None, base.upper()), (None, edited), (None, "one two three"), (None, "One, two, three!"), (20, other), (20, prose(43, 200)), (21, other + " end"), (22, prose(43, 200) + " end")]
+    got = near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.group_id].append((r.doc_id, r.kept))
+    assert sorted(by[7], key=str) == [(7, True), (None, False), (None, False), (None, False)]
+    assert sorted(by[20]) == [(20, True), (20, True), (21, False), (22, False)]
+    rest = [v for k, v in by.items() if k not in (7, 20)]
+    assert len(rest) == 1 and sorted(kept for _, kept in rest[0]) == [False, True]
