@@ -217,3 +217,9 @@ def test_one_row_of_a_group_is_kept_whatever_the_ids(spark):
     assert sorted(by[20]) == [(20, True), (20, True), (21, False), (22, False)]
     rest = [v for k, v in by.items() if k not in (7, 20)]
     assert len(rest) == 1 and sorted(kept for _, kept in rest[0]) == [False, True]
+
+
+def test_components_that_are_not_joined_in_time_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not joined after 2 rounds"):
+        connected_components(path, max_rounds=2)
