@@ -240,8 +240,8 @@ class Model:
         return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `columns` of docs with score: the probability that `labels` (doc_id, toxic) calls the whole text toxic.
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500, columns: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
+    """The `columns` of docs with a further one called `score`, a name that none of them has: the probability that `labels` (doc_id, toxic) calls the whole text toxic.
 
     The network is trained in numpy on the driver from at most `per_class` documents of each label for which `learn`
     holds. It reads words in windows that overlap: a word's vector, beside that of its character trigrams and beginnings, goes through
@@ -258,9 +258,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             part = batch[list(columns)].copy()
-            part["score"] = model.value.scores(batch["text"].tolist())
+            part[score] = model.value.scores(batch["text"].tolist())
             yield part
 
     rows = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in held])
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInPandas(run, f"{schema}, score double")
+    return rows.mapInPandas(run, f"{schema}, `{score}` double")

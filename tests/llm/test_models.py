@@ -119,3 +119,11 @@ def test_pipeline_of_hard_rows(spark):
 def test_the_ten_are_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_the_toxicity_stage_keeps_a_column_called_score(spark, tmp_path):
+    spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, [(i, f"some words {i}") for i in range(20)]).withColumn("score", F.lit("a")).withColumn("Own Score", F.lit(0.9))
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.score, r["Own Score"]) for r in kept.collect()) == [(i, "a", 0.9) for i in range(20)]
