@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.shared import materialise
+from findlake.llm.shared import content_key, materialise
 from findlake.llm.words import mix
 
 _rng = np.random.default_rng(41)
@@ -29,16 +30,16 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Places of a text that depend only on the bytes near them: the least hashed `gram` of each window of `length` bytes.
+    """Places of a text that depend only on the bytes near them: the least hashed `gram` of each string of `span` bytes.
 
-    Two equal strings of `length` bytes have the same places in them, wherever they stand, so every repeat is seen from one."""
+    Two equal strings of `span` bytes have the same places in them, wherever they stand, so every repeat is seen from one."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.gram = length, length // 4
-        self.reach = length - self.gram  # a window starts at most so far before its place
+    def __init__(self, span: int) -> None:
+        self.span, self.gram = span, span * 2 // 7
+        self.reach = span - self.gram  # a string starts at most so far before its place
 
-    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, hashes of the grams, hashes of the contexts) in the joined bytes of texts; no window crosses texts."""
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes of the grams) in the joined bytes of texts; no string crosses texts."""
         n, k, width = len(raw), self.gram, self.reach + 1
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(_CODE[raw] * _power(_BASE, n), dtype=np.uint64)])
         back = _power(_BACK, n + 1)
@@ -52,14 +53,11 @@ class Anchors:
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         least = np.minimum(behind[: len(key) - width + 1], ahead[width - 1 : len(key)])
         inside = np.zeros(len(least) + 1, np.int32)
-        long = ends - starts >= self.length
+        long = ends - starts >= self.span
         np.add.at(inside, starts[long], 1)
-        np.add.at(inside, ends[long] - self.length + 1, -1)
+        np.add.at(inside, ends[long] - self.span + 1, -1)
         at = np.unique(least[np.cumsum(inside[:-1]) > 0] & low).astype(np.int64)
-        owner = np.searchsorted(ends, at, side="right")
-        left, right = np.maximum(at - self.reach, starts[owner]), np.minimum(at + self.length, ends[owner])
-        context = mix((prefix[right] - prefix[left]) * back[left] + mix(((at - left) << 20 | (right - at)).astype(np.uint64)))
-        return at, h[at], context
+        return at, h[at]
 
 
 def _joined(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -80,24 +78,32 @@ def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of `words` (rows, symbols), and for each place of the order but the first the symbol at which
     its row differs from the one before (the number of symbols if it does not).
 
-    One symbol at a time: rows that agree so far are partitioned by the next symbol, and only runs of equal rows go on.
+    Each run of rows that agree so far is split in three by a pivot, the median of three of their next symbols: smaller,
+    equal, larger. Equal ones go on with the symbol after it. All runs are split together, one numpy step a round.
     """
     n, depth = words.shape
     order, differs = np.arange(n), np.full(n, depth)
-    active, run = np.arange(n), np.zeros(n, np.int64)
-    for d in range(depth):
-        if len(active) < 2:
-            break
-        symbol = words[order[active], d]
-        sort = np.lexsort((symbol, run))
-        order[active] = order[active][sort]
-        symbol = symbol[sort]
-        same_run = np.concatenate([[False], run[1:] == run[:-1]])
-        new = same_run & np.concatenate([[False], symbol[1:] != symbol[:-1]])
-        differs[active[new]] = d
-        run = np.cumsum(~same_run | new)
-        keep = np.bincount(run)[run] > 1
-        active, run = active[keep], run[keep]
+    at = np.arange(n) if n > 1 and depth else np.zeros(0, np.int64)  # places in runs that are not done
+    first, symbol = np.zeros(min(len(at), 1), np.int64), np.zeros(min(len(at), 1), np.int64)  # of each run
+    while len(at):
+        size = np.diff(np.append(first, len(at)))
+        run = np.repeat(np.arange(len(first)), size)
+        value = words[order[at], symbol[run]]
+        three = np.sort(np.stack([value[first], value[first + size // 2], value[first + size - 1]]), axis=0)
+        pivot = three[1][run]
+        part = run * 3 + (value >= pivot) + (value > pivot)
+        sort = np.argsort(part, kind="stable")
+        order[at] = order[at][sort]
+        part = part[sort]
+        new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        inner = new[~np.isin(new, first)]
+        differs[at[inner]] = symbol[run[inner]]
+        size = np.diff(np.append(new, len(at)))
+        deep = symbol[part[new] // 3] + (part[new] % 3 == 1)
+        on = (size > 1) & (deep < depth)
+        at = at[np.repeat(on, size)]
+        symbol, size = deep[on], size[on]
+        first = np.cumsum(size) - size
     return order, differs
 
 
@@ -118,12 +124,15 @@ def _table(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(b.ljust(width8, b"\0") for b in blobs), np.uint8).reshape(-1, width8), np.array([len(b) for b in blobs])
 
 
-def _sorted_buckets(length: int):
-    """Rows of a bucket (context, n, left, right) -> (context, lo, hi): bytes about the place that repeats cover.
+def _sorted_buckets(length: int, span: int):
+    """Rows of a bucket (context, doc, docs, near, far, left, right) -> (context, lo, hi, passage).
 
-    Suffixes are sorted by what follows the place, and by what stands before it, read backwards. A window that starts d
-    bytes before the place is repeated if another row agrees with it in d bytes before and length - d bytes after."""
-    reach = Anchors(length).reach
+    lo, hi: bytes about the place that strings of `length` cover which another row of the bucket has too; passage: rows
+    of another document share a string of `span` bytes. Suffixes are sorted by what follows the place, and by what
+    stands before it, read backwards; neighbours in either order give what rows have in common. A string that starts d
+    bytes before the place is repeated if two rows agree in d bytes before and length - d bytes after. Only starts from
+    `near` to `far` are looked at; rows of different ranges are different buckets."""
+    reach = Anchors(span).reach
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -135,90 +144,99 @@ def _sorted_buckets(length: int):
         left, l_len = _table(bucket["left"].tolist(), reach)
         r_order, r_common = _common(right)
         l_order, l_common = _common(left)
-        many = bucket["n"].to_numpy() > 1
-        hits = np.zeros((n, reach + 3), bool)
+        near, far, docs = (bucket[c].to_numpy() for c in ("near", "far", "docs"))
+        doc = np.unique(np.array([bytes(x) for x in bucket["doc"]], object), return_inverse=True)[1]
+        hits, passage = np.zeros((n, reach + 3), bool), np.zeros(n, bool)
         r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
-        for d in range(reach + 1):
-            r_class[r_order] = np.cumsum(r_common < length - d)
+
+        def alike(d: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+            """Rows that could start a string of `size` bytes d before their place, and the first of each set of equal strings among them."""
+            r_class[r_order] = np.cumsum(r_common < size - d)
             l_class[l_order] = np.cumsum(l_common < d)
-            fits = np.flatnonzero((l_len >= d) & (r_len >= length - d))
-            both = r_class[fits] * (n + 1) + l_class[fits]
-            order = np.argsort(both)
-            same = both[order][1:] == both[order][:-1]
-            twice = np.zeros(len(fits), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            hits[fits, d + 1] = twice | many[fits]
+            fits = np.flatnonzero((l_len >= d) & (r_len >= size - d) & (near <= d) & (far >= d))
+            key = (r_class[fits] * (n + 1) + l_class[fits]) * (reach + 1) + near[fits]
+            order = np.argsort(key)
+            key = key[order]
+            return fits[order], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+        for d in range(int(near.min()), int(far.max()) + 1):
+            rows, first = alike(d, length)
+            hits[rows, d + 1] = np.repeat(np.diff(np.append(first, len(rows))) > 1, np.diff(np.append(first, len(rows))))
+            if d % _STRIDE == 0:
+                rows, first = alike(d, span)
+                if len(rows):
+                    several = (np.minimum.reduceat(doc[rows], first) < np.maximum.reduceat(doc[rows], first)) | np.logical_or.reduceat(docs[rows], first)
+                    passage[rows] |= np.repeat(several, np.diff(np.append(first, len(rows))))
         step = np.diff(hits.astype(np.int8), axis=1)
-        row, first = np.nonzero(step == 1)
+        row, begin = np.nonzero(step == 1)
         _, end = np.nonzero(step == -1)
-        yield pd.DataFrame({"context": bucket["context"].to_numpy()[row], "lo": -(end - 1), "hi": length - first})
+        context = bucket["context"].to_numpy()
+        yield pd.DataFrame({"context": context[row], "lo": (-(end - 1)).astype(np.int32), "hi": (length - begin).astype(np.int32), "passage": passage[row]})
+        only = np.setdiff1d(np.flatnonzero(passage), row)
+        yield pd.DataFrame({"context": context[only], "lo": np.zeros(len(only), np.int32), "hi": np.zeros(len(only), np.int32), "passage": passage[only]})
 
     return run
 
 
-def _window_hashes(length: int, step: int, within: int):
-    """Of rows (context, n, gram, left, right[, k]) two hashes for each run of `step` window starts: of the bytes that
-    all its windows have (kind 0) and of all bytes that any has (kind 1); with k only for starts in k's run of `within`."""
-    reach = Anchors(length).reach
+#: A passage is looked for at every so many starts: one of span + _STRIDE - 1 bytes is always found.
+_STRIDE = 10
+#: Starts of strings that are tried together where a lead has too many contexts for a bucket, then fewer, then each alone.
+STEPS = (50, 10, 1)
+
+
+def _leads(size: int, reach: int, step: int):
+    """Of rows (context, left, right[, near, far]) a row for each run of `step` starts (within near to far): key, a digest
+    of the bytes that all strings of `size` bytes have which start there. Rows that share none of these share no such string."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512]
-                blobs = [le[::-1].rjust(reach, b"\0") + r.ljust(length, b"\0") for le, r in zip(part["left"], part["right"], strict=True)]
-                raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(part), reach + length)
-                prefix = np.zeros((len(part), reach + length + 1), np.uint64)
-                np.cumsum(_CODE[raw] * _power(_BASE, reach + length), axis=1, dtype=np.uint64, out=prefix[:, 1:])
-                l_len, r_len = (part[c].map(len).to_numpy() for c in ("left", "right"))
-                runs = part["k"].to_numpy() // within if "k" in part else np.zeros(len(part), np.int64)
-                ids, n, gram = (part[c].to_numpy() for c in ("context", "n", "gram"))
-                out = []
-                for r in np.unique(runs):
-                    mine = np.flatnonzero(runs == r)
-                    for d in range(int(r) * within, min((int(r) + 1) * within, reach + 1), step):
-                        last = min(d + step - 1, reach)
-                        for kind, near, far in ((0, d, last), (1, last, d)) if step > 1 else ((1, d, d),):
-                            some = mine[(l_len[mine] >= near) & (r_len[mine] >= length - far)]
-                            h = mix(prefix[some, reach + length - far] - prefix[some, reach - near] + np.uint64(2 * d + kind))
-                            out.append((ids[some], n[some], gram[some], np.full(len(some), d), np.full(len(some), kind), h.view(np.int64)))
-                if out:
-                    yield pd.DataFrame(dict(zip(("context", "n", "gram", "d", "kind", "h"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            out = []
+            limits = zip(batch["near"], batch["far"], strict=True) if "near" in batch else ((0, reach) for _ in range(len(batch)))
+            for context, left, right, (first, last) in zip(batch["context"], batch["left"], batch["right"], limits, strict=True):
+                for near in range(first, last + 1, step):
+                    far = min(near + step - 1, last)
+                    if len(left) >= near and len(right) >= size - far:
+                        core = left[:near][::-1] + right[: size - far]
+                        out.append((context, near, far, hashlib.blake2b(core, digest_size=16, salt=near.to_bytes(8, "little")).digest()))
+            yield pd.DataFrame(out, columns=["context", "near", "far", "key"]).astype({"near": "int32", "far": "int32"})
 
     return run
 
 
-#: Window starts that are tried together, then fewer, then each alone, where a gram has very many contexts.
-STEPS = (50, 10, 1)
-
-
-def _contexts(length: int):
-    reach = Anchors(length).reach
-
+def _contexts(length: int, reach: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["context", "n", "doc", "docs", "gram", "crowded", "left", "right"]
         for batch in batches:
             out = []
-            for text, places in zip(batch["text"], batch["places"], strict=True):
-                raw = (text or "").encode("utf-8", "replace")
+            for rid, packed, places in zip(batch["rid"], batch["packed"], batch["places"], strict=True):
+                raw = zlib.decompress(packed)
                 for p in places:
                     at = p["pos"]
-                    out.append((p["context"], p["n"], p["gram"], p["crowded"], raw[max(0, at - reach) : at][::-1], raw[at : at + length]))
+                    out.append((p["context"], p["n"], rid, p["docs"], p["gram"], p["crowded"], raw[max(0, at - reach) : at][::-1], raw[at : at + length]))
                 if len(out) > 4096:
-                    yield pd.DataFrame(out, columns=["context", "n", "gram", "crowded", "left", "right"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
-            yield pd.DataFrame(out, columns=["context", "n", "gram", "crowded", "left", "right"])
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as compressed bytes, which are what is shuffled."""
+    for batch in batches:
+        texts = batch.pop("text")
+        batch["packed"] = [zlib.compress((t or "").encode("utf-8", "replace"), 1) for t in texts]
+        yield batch
+
+
 def _cut(keep_bytes: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                raw = (text or "").encode("utf-8", "replace")
+            for packed, spans in zip(batch["packed"], batch["spans"], strict=True):
+                raw = zlib.decompress(packed)
                 merged: list[list[int]] = []
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in (spans if spans is not None else [])):
+                for lo, hi in sorted((s["lo"], s["hi"]) for s in (spans if spans is not None else []) if s["lo"] < s["hi"]):
                     if merged and lo <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], hi)
                     else:
@@ -229,74 +247,108 @@ def _cut(keep_bytes: bool):
                     at = hi
                 left = b"".join([*kept, raw[at:]])
                 out.append((len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left if keep_bytes else None))
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
+            found = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pd.concat([batch[["doc_id", "shares_passage"]].reset_index(drop=True), found], axis=1)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = False, crowd: int = 200, bucket_rows: int = 20_000) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left).
+def _meet(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """rows joined with counted (key, c: rows of that key, ...). Keys of over a thousandth of all rows, of which there are
+    under a thousand, are broadcast, so that no task gets the rows of such a key."""
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    hot = counted.where(F.col("c") > total / 1000)
+    cold = counted.where(F.col("c") <= total / 1000)
+    return rows.join(F.broadcast(hot), key).union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, span: int | None = None, keep_bytes: bool = False, crowd: int = 2000, bucket_rows: int = 20_000) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage (and kept, the bytes left).
 
     A byte goes if a string of `length` bytes covers it that also starts elsewhere, in another text or the same one.
-    1. Places are sampled from the bytes around them, at least one in any `length` bytes, and equal strings have equal
-       places; those whose gram occurs once are done with, for no repeat holds them.
-    2. Places with the same bytes all around are counted as one context. Contexts are range-partitioned by the bytes
-       that lead their suffix, with splitters that Spark samples; equal leads meet in a bucket, which sorts its
-       suffixes by multikey quicksort and compares neighbours at every window start.
-    3. A lead with more than `crowd` contexts would fill a bucket alone. Its windows are counted by hash instead, with
-       partial counts before the shuffle, for runs of window starts: if all bytes of a run's windows are repeated, so
-       is each window; if the bytes that they share are not, none is; other runs are taken in shorter ones.
-    4. The bytes covered come back by context to all places that have it.
+    shares_passage says that another document has a passage of the text, `span` bytes (7/10 of `length`, about fifty
+    words of prose for 400) or a few more: passages from `span` to `length` are reported, not removed.
+    1. Suffixes are sampled at places that the bytes around them choose, at least one in any `span` bytes, and equal
+       strings have equal places; those whose gram occurs once are done with, for no repeat holds them.
+    2. Places with the same bytes all around (by a digest of 128 bits) are one context with a count.
+    3. Contexts are range-partitioned by the bytes that lead their suffix, with splitters that Spark samples. Each bucket
+       sorts its suffixes by multikey quicksort and compares neighbours. Ranges are cut between leads, never inside
+       one, so nothing is left to compare across the boundary of two buckets: they differ in the lead.
+    4. A lead with more than `crowd` contexts is split by further bytes: once for each run of string starts, by all bytes
+       that the strings of the run have in common. What then has few contexts is sorted in the same way, the rest is
+       split by shorter runs, at last by whole strings. A lead that nobody shares is done with.
+    5. The bytes covered come back by context to all places that have it.
     Texts are rows' UTF-8 bytes; null counts as empty, and a text shorter than `length` stays whole. Equal rows repeat
-    each other. Other columns are not read; an empty table gives no rows.
+    each other; they do not make a passage shared. Other columns are not read; an empty table gives no rows.
     """
-    anchors = Anchors(length)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    span = span or length * 7 // 10
+    anchors = Anchors(span)
+    reach = anchors.reach
+    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", content_key())
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rid = batch["rid"].to_numpy()
             for index, raw, starts, ends in _joined(batch["text"].tolist()):
-                if (ends - starts).max(initial=0) < length:
+                if (ends - starts).max(initial=0) < span:
                     continue
-                at, gram, context = anchors.of(raw, starts, ends)
+                at, gram = anchors.of(raw, starts, ends)
                 owner = np.searchsorted(ends, at, side="right")
-                yield pd.DataFrame({"rid": rid[index][owner], "pos": (at - starts[owner]).astype(np.int32), "gram": gram.view(np.int64), "context": context.view(np.int64)})
-
-    sampled = materialise(rows.select("rid", "text").mapInPandas(places, "rid long, pos int, gram long, context long"), "places")
-    # written, so that the join can split a gram that very many places have
-    twice = materialise(sampled.groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    again = materialise(sampled.join(twice, "gram", "left_semi"), "again")
-    contexts = again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one"))
-    contexts = materialise(contexts, "contexts")
-    crowds = contexts.groupBy("gram").agg(F.count("*").alias("c"))
-    one = contexts.join(crowds, "gram").select(F.col("one.rid").alias("rid"), F.struct(F.col("one.pos").alias("pos"), "context", "n", "gram", (F.col("c") > crowd).alias("crowded")).alias("place"))
+                low, high = np.maximum(at - reach, starts[owner]), np.minimum(at + length, ends[owner])
+                data = raw.tobytes()
+                context = [hashlib.blake2b(data[i:j], digest_size=16, salt=k.to_bytes(8, "little")).digest() for i, j, k in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)]
+                yield pd.DataFrame({"rid": rid[index][owner], "pos": (at - starts[owner]).astype(np.int32), "gram": gram.view(np.int64), "context": context})
+
+    sampled = materialise(rows.select("rid", "text").mapInPandas(places, "rid binary, pos int, gram long, context binary"), "places")
+    grams = materialise(sampled.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "grams")
+    again = materialise(_meet(sampled, grams, "gram").drop("c"), "again")
+    contexts = again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one"), F.max("rid").alias("other"))
+    contexts = materialise(contexts.select("gram", "context", "n", "one", (F.col("one.rid") != F.col("other")).alias("docs")), "contexts")
+    crowds = materialise(contexts.groupBy("gram").agg(F.count("*").alias("c")), "crowds")
+    one = _meet(contexts, crowds, "gram").select(F.col("one.rid").alias("rid"), F.struct(F.col("one.pos").alias("pos"), "context", "n", "docs", "gram", (F.col("c") > crowd).alias("crowded")).alias("place"))
     wanted = one.groupBy("rid").agg(F.collect_list("place").alias("places"))
-    shape = "context long, n long, gram long, crowded boolean, left binary, right binary"
-    around = materialise(rows.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]).mapInPandas(_contexts(length), shape), "around")
-
-    calm = around.where("not crowded").select("context", "n", "left", "right")
-    buckets = max(1, -(-contexts.count() // bucket_rows), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = calm.repartitionByRange(buckets, F.substring("right", 1, anchors.gram)).mapInPandas(_sorted_buckets(length), "context long, lo int, hi int")
-
-    crowded = around.where("crowded").drop("crowded")
-    hashed = "context long, n long, gram long, d int, kind int, h long"
-    for step, within in zip(STEPS, (anchors.reach + 1, *STEPS), strict=False):
-        windows = materialise(crowded.mapInPandas(_window_hashes(length, step, within), hashed), "windows")
-        often = materialise(windows.groupBy("gram", "d", "kind", "h").agg(F.sum("n").alias("all"), F.min("context").alias("one")).where("all > 1"), "often")
-        level = windows.join(often, ["gram", "d", "kind", "h"]).groupBy("context", "gram", "d").agg(F.max("kind").alias("kind"))
-        level = materialise(level, "level")
-        last = F.least(F.col("d") + step - 1, F.lit(anchors.reach))
-        found = found.union(level.where("kind = 1").select("context", -last, F.lit(length) - F.col("d")))
-        if step > 1:
-            # one context stands for all that have the same bytes throughout a run, so that the others still meet them
-            doubtful = level.where("kind = 0").select("context", "gram", F.col("d").alias("k"))
-            others = often.where("kind = 1").join(doubtful.select("gram", F.col("k").alias("d")).distinct(), ["gram", "d"]).select(F.col("one").alias("context"), "gram", F.col("d").alias("k"), F.col("all").alias("n"))
-            base = around.where("crowded").select("context", "gram", "left", "right", "n")
-            crowded = base.join(doubtful, ["context", "gram"]).select("context", "n", "gram", "left", "right", "k").union(base.drop("n").join(others, ["context", "gram"]).select("context", "n", "gram", "left", "right", "k"))
+    shape = "context binary, n long, doc binary, docs boolean, gram long, crowded boolean, left binary, right binary"
+    packed = rows.select("rid", "text").mapInPandas(_packed, "rid binary, packed binary")
+    around = materialise(packed.join(wanted, "rid").dropDuplicates(["rid"]).mapInPandas(_contexts(length, reach), shape), "around")
+
+    result = "context binary, lo int, hi int, passage boolean"
+
+    def sorted_by(df: DataFrame, *lead) -> DataFrame:
+        buckets = max(1, -(-df.count() // bucket_rows), parallel)
+        return df.repartitionByRange(buckets, *lead).select("context", "doc", "docs", "near", "far", "left", "right").mapInPandas(_sorted_buckets(length, span), result)
+
+    calm = around.where("not crowded").withColumn("near", F.lit(0)).withColumn("far", F.lit(reach))
+    found = sorted_by(calm, F.substring("right", 1, anchors.gram))
+    # a context that occurs more than once repeats every string in it
+    least, most = F.greatest(F.lit(0), F.lit(length) - F.octet_length("right")), F.least(F.octet_length("left"), F.lit(reach))
+    whole = F.when(least <= most, F.struct((-most).alias("lo"), (F.lit(length) - least).alias("hi"))).otherwise(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    shared = F.col("docs") & (F.octet_length("left") + F.octet_length("right") >= span)
+    found = found.union(around.where("n > 1").select("context", whole.alias("w"), shared.alias("passage")).select("context", "w.lo", "w.hi", "passage"))
+
+    crowded = around.where("crowded").drop("crowded", "gram", "n")
+    keyed = "context binary, near int, far int, key binary"
+    part = crowded
+    for step in STEPS:
+        lead = materialise(part.select("context", "left", "right", *(["near", "far"] if step < STEPS[0] else [])).mapInPandas(_leads(length, reach, step), keyed), "leads")
+        often = materialise(lead.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "often")
+        met = materialise(_meet(lead, often, "key"), "met")
+        if step == 1:
+            found = found.union(met.select("context", -F.col("near"), F.lit(length) - F.col("near"), F.lit(False)))
+        else:
+            few = crowded.join(met.where(F.col("c") <= crowd).drop("c"), "context")
+            found = found.union(sorted_by(few, "key"))
+            part = crowded.join(met.where(F.col("c") > crowd).select("context", "near", "far"), "context")
+    # passages of crowded leads, at every _STRIDE starts
+    starts = crowded.withColumn("near", F.explode(F.sequence(F.lit(0), F.lit(reach), F.lit(_STRIDE)))).withColumn("far", F.col("near"))
+    lead = materialise(starts.select("context", "left", "right", "near", "far").mapInPandas(_leads(span, reach, 1), keyed), "passages").join(crowded.select("context", "doc", "docs"), "context")
+    often = materialise(lead.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("docs").alias("docs")).where("a <> b or docs").select("key", "c"), "often")
+    found = found.union(_meet(lead.select("context", "key"), often, "key").select("context", F.lit(0), F.lit(0), F.lit(True)).distinct())
     found = materialise(found, "covered")
 
-    spans = again.join(found, "context").select("rid", F.struct((F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")).alias("span"))
-    spans = spans.groupBy("rid").agg(F.collect_set("span").alias("spans"))
-    cut = rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInPandas(_cut(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = again.join(found, "context").select("rid", F.struct((F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")).alias("span"), "passage")
+    spans = spans.groupBy("rid").agg(F.collect_set("span").alias("spans"), F.max("passage").alias("shares_passage"))
+    texts = rows.mapInPandas(_packed, "doc_id long, rid binary, packed binary")
+    cut = texts.join(spans, "rid", "left").select("doc_id", "packed", "spans", F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
+    cut = cut.mapInPandas(_cut(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept binary")
     return cut if keep_bytes else cut.drop("kept")

@@ -151,8 +151,15 @@ def test_repeats_against_brute_force(spark, crowd):
     texts = [para(rng.randint(0, 20)) + " " + " ".join(rng.choice(shared) for _ in range(rng.randint(0, 4))) + para(rng.randint(0, 12)) for _ in range(150)]
     texts += [None, "", "ab" * 300, "a" * 500, "x" * 39, texts[5], texts[6], "é" * 100, "\0" * 90]
     docs = documents(spark, list(enumerate(texts))).repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, 40, crowd=crowd, bucket_rows=300).collect()}
-    assert got == dict(enumerate(_brute(texts, 40)))
+    rows = remove_repeats(docs, 40, crowd=crowd, bucket_rows=300).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == dict(enumerate(_brute(texts, 40)))
+    # a passage of span bytes of another document; found for sure from span + 9 bytes on
+    of = lambda size: {t: {t[i : i + size] for i in range(len(t) - size + 1)} for t in ((x or "").encode() for x in texts)}
+    grams, longer = of(28), of(37)
+    shares = lambda held, i: any(held[(texts[i] or "").encode()] & held[(texts[j] or "").encode()] for j in range(len(texts)) if j != i)
+    for r in rows:
+        assert not r.shares_passage or shares(grams, r.doc_id)
+        assert r.shares_passage or not shares(longer, r.doc_id)
 
 
 def test_repeats_of_hard_rows(spark):
