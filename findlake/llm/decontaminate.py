@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.shared import content_key, emit_slices, materialise, sum_slices
+from findlake.llm.shared import PARTS, content_key, emit_slices, materialise, sum_slices
 from findlake.llm.words import Words, chunks, mix
 
 #: Cells to which words are hashed for their document frequencies; the table's size does not depend on the corpus.
@@ -20,6 +20,8 @@ CELLS = 1 << 20
 PASSAGE, WINDOWS = 64, ((16, 8), (48, 16))
 #: Benchmark items that are searched for in one pass; more of them make more passes, so that what is broadcast stays small.
 ITEMS = 2000
+#: Passages (of 64 words) of one pass.
+PASSAGES = 8000
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -41,7 +43,7 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
                 total[CELLS] += len(texts)
         yield emit_slices(total)
 
-    return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "slice int, part binary"), "int64", CELLS + 1)
+    return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, PARTS), "int64", CELLS + 1)
 
 
 def _signs(h: np.ndarray, width: int) -> np.ndarray:
@@ -77,7 +79,7 @@ def latent_space(passages: DataFrame, n_passages: int, rank: int, oversample: in
         yield emit_slices(total)
 
     def sums(df: DataFrame, by) -> np.ndarray:
-        return sum_slices(df.mapInPandas(by, "slice int, part binary"), "float64", width * width).reshape(width, width)
+        return sum_slices(df.mapInPandas(by, PARTS), "float64", width * width).reshape(width, width)
 
     values, vectors = np.linalg.eigh(sums(passages, gram))
     good = values > max(values.max(), 1e-12) * 1e-10
@@ -151,11 +153,11 @@ def _answer(text: str) -> str:
 class _Items:
     """A block of benchmark items as a task needs them."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, vectors: dict[int, np.ndarray]) -> None:
-        self.vocabulary = np.array(sorted(vectors), np.int64).view(np.uint64)
-        self.vocabulary.sort()
-        rank = len(next(iter(vectors.values()))) if vectors else 1
-        self.v = np.array([vectors[int(w)] for w in self.vocabulary.view(np.int64)], np.float32).reshape(-1, rank)
+    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, vectors: tuple[np.ndarray, np.ndarray]) -> None:
+        words = vectors[0].view(np.uint64)
+        order = np.argsort(words)
+        self.vocabulary, self.v = words[order], np.ascontiguousarray(vectors[1][order], np.float32)
+        rank = self.v.shape[1]
         self.weight = idf[_cells(self.vocabulary)]
         self.flag = np.zeros(CELLS, bool)
         self.flag[_cells(self.vocabulary)] = True
@@ -297,7 +299,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, share:
     if the longest common subsequence of words covers `overlap` of the item, or `loose` of it and `answer` of the
     item's answer (its last sentence).
 
-    The benchmark is searched in blocks of ITEMS items, each a pass over the documents that broadcasts one block.
+    The benchmark is searched in blocks of about ITEMS items and PASSAGES passages, each a pass over the documents that
+    broadcasts one block. All items that a document has are reported; of one item, the place with the largest overlap
+    (of equal ones the first by cosine).
     Null and empty texts, and texts without a word, neither match nor are matched. Repeated rows each come out. Items
     with a null id keep it. Other columns are not read; an empty table on either side gives no rows.
     """
@@ -319,9 +323,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, share:
             yield pd.DataFrame(out, columns=["words", "weights"])
 
     cut = materialise(items.select("text").mapInPandas(passages, "words array<long>, weights array<double>"), "passages")
-    vectors = materialise(latent_space(cut, cut.count(), rank), "latent")
+    n_passages = cut.count()
+    vectors = materialise(latent_space(cut, n_passages, rank), "latent")
     n_items = items.count()
-    blocks = max(1, -(-n_items // ITEMS))
+    blocks = max(1, -(-n_items // ITEMS), -(-n_passages // PASSAGES))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,7 +338,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, share:
     for b in range(blocks):
         mine = numbered.where(F.col("block") == b).select("item_id", "text")
         own = mine.select("text").mapInPandas(words_of, "word long").distinct()
-        held = {r["word"]: np.array(r["v"], np.float32) for r in vectors.join(own, "word").collect()}
+        table = vectors.join(own, "word").toArrow()  # as packed arrays
+        held = table["word"].to_numpy(), table["v"].combine_chunks().values.to_numpy().reshape(len(table), -1) if len(table) else np.zeros((0, 1), np.float32)
         block = spark.sparkContext.broadcast(_Items([tuple(r) for r in mine.collect()], idf, held))
         part = rows.withColumn("rid", content_key()).mapInPandas(_search(block, idf_held, share, cosine, overlap, loose, answer), shape)
         found = part if found is None else found.union(part)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -34,25 +34,26 @@ def _code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Forest:
-    """Links of one tile pair, thinned to the edges that connect the same rows."""
+    """Links of one tile pair, thinned to the edges that connect the same rows. All links of a block are taken together."""
 
     def __init__(self, ids: np.ndarray) -> None:
-        self.ids, self.up = ids, list(range(len(ids)))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        self.ids, self.up = ids, np.arange(len(ids))
 
     def link(self, left: np.ndarray, right: np.ndarray) -> None:
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            a, b = self.root(i), self.root(j)
-            if a != b:
-                self.up[max(a, b)] = min(a, b)
+        while len(left):
+            a, b = self.up[left], self.up[right]
+            apart = a != b
+            left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                higher = self.up[self.up]
+                if (higher == self.up).all():
+                    break
+                self.up = higher
 
     def edges(self) -> list[tuple[int, int]]:
-        return [(int(self.ids[self.root(i)]), int(self.ids[i])) for i in range(len(self.up)) if self.root(i) != i]
+        some = np.flatnonzero(self.up != np.arange(len(self.up)))
+        return list(zip(self.ids[self.up[some]].tolist(), self.ids[some].tolist(), strict=True))
 
 
 def _compare(threshold: float, block: int = 512):
@@ -94,16 +95,18 @@ def _compare(threshold: float, block: int = 512):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024, most: int = 1 << 21) -> DataFrame:
     """One row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors of one label with cosine of at least `threshold` are linked; n_links counts the other rows linked directly,
     component_id is the smallest vec_id reachable, and kept says that it is the row's own.
 
     Equal vectors of a label are one class with a count, so copies are never compared with each other. Classes are
-    dealt by hash to tiles of about `tile`, and a task compares two tiles: products of int8 codes with a bound on
+    dealt by hash to tiles, and a task compares two tiles block by block: products of int8 codes with a bound on
     their error from each vector's own quantisation error settle most pairs, and double precision the rest. Tasks
-    return counts and connecting edges, not pairs. What a task holds is two tiles, however large a label is.
+    return counts and connecting edges, not pairs. A label has as many tiles as give each core a pair of them, of
+    `tile` classes at least and `most` components (16 MB) at most, so what a task holds is bounded and a vector is sent
+    to few tiles: to (classes of its label) * (components) / `most` of them where a label is large.
 
     Links need a label and a vector that is not null, not zero and has only finite components: rows without have 0
     links and their own id. Vectors of different lengths in a label are not compared. A row without vec_id counts as a
@@ -123,7 +126,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, tile: in
     classes = classes.withColumn("id", F.coalesce("id", -F.abs(F.xxhash64("key") % (1 << 62)) - 1)).withColumn("dim", F.size("v"))
     classes = materialise(classes, "classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    tiled = classes.join(sizes, ["label", "dim"]).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    side = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+    tiles = F.greatest(F.ceil(F.col("size") * F.col("dim") / most), F.least(F.ceil(F.col("size") / tile), F.lit(side))).cast("int")
+    tiled = classes.join(sizes, ["label", "dim"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("label", "dim", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id", "n", "v")
     compared = pairs.groupBy("label", "dim", "lo", "hi").applyInPandas(_compare(threshold), "a long, b long, links long")
     compared = materialise(compared, "compared")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlake.llm.components import connected_components
-from findlake.llm.shared import content_key, emit_slices, materialise, sum_slices
+from findlake.llm.shared import PARTS, content_key, emit_slices, materialise, sum_slices
 from findlake.llm.words import Words, chunks, mix, shingles
 
 #: Cells of the table of document frequencies: shingles are hashed to them, as in a hashed TF-IDF, so it never outgrows a broadcast.
@@ -54,7 +54,7 @@ def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
                 total[CELLS] += int((np.diff(f.bounds) > 0).sum())
         yield emit_slices(total)
 
-    return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "slice int, part binary"), "int64", CELLS + 1)
+    return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, PARTS), "int64", CELLS + 1)
 
 
 def idf_table(df: np.ndarray, common: float = COMMON) -> np.ndarray:

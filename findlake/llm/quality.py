@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findlake.llm.labelled import training_sample
-from findlake.llm.shared import emit_slices, sum_slices
+from findlake.llm.shared import PARTS, emit_slices, sum_slices
 from findlake.llm.words import Words, chunks
 
 #: Features of a text: trigrams of character kinds, hashed words, and binned measures of repetition and length.
 KINDS, WORD_CELLS, BINS = 16, 8192, 16
 SHAPES = KINDS**3
 SIZE = SHAPES + WORD_CELLS + 4 * BINS
+#: Texts whose features are held at once, 25 MB.
+SLICE = 512
 
 _KIND = np.full(256, 6, np.uint8)  # other punctuation
 _KIND[[*range(ord("a"), ord("z") + 1)]] = 0
@@ -71,11 +73,21 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SIZE + 1, np.int64)
         for batch in batches:
             for _, texts in chunks(batch["text"].tolist()):
-                total[:SIZE] += (features(texts) > 0).sum(axis=0)
+                for i in range(0, len(texts), SLICE):
+                    total[:SIZE] += (features(texts[i : i + SLICE]) > 0).sum(axis=0)
                 total[SIZE] += len(texts)
         yield emit_slices(total)
 
-    return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "slice int, part binary"), "int64", SIZE + 1)
+    return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, PARTS), "int64", SIZE + 1)
+
+
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The k columns with the largest values of each row; of equal ones the first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    tied = np.flatnonzero((cosine >= last[:, None]).sum(axis=1) > k)
+    near[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
+    return near
 
 
 class Voters:
@@ -88,7 +100,7 @@ class Voters:
         self.prior = float((self.y * self.by).sum() / total) if total else 0.5
         if not texts:
             return
-        a = np.concatenate([self.weigh(some) for _, some in chunks(texts)])
+        a = np.concatenate([self.weigh(some[i : i + SLICE]) for _, some in chunks(texts) for i in range(0, len(some), SLICE)])
         rng = np.random.default_rng(seed)
         width = min(rank + 16, *a.shape)
         q = np.linalg.qr(a @ rng.standard_normal((a.shape[1], width), dtype=np.float32))[0]
@@ -113,9 +125,9 @@ class Voters:
             return out
         k = min(self.k, len(self.y))
         for first, some in chunks(texts):
-            for i in range(0, len(some), 512):
-                cosine = self.latent(self.weigh(some[i : i + 512])) @ self.held.T
-                near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            for i in range(0, len(some), SLICE):
+                cosine = self.latent(self.weigh(some[i : i + SLICE])) @ self.held.T
+                near = nearest(cosine, k)
                 # a sampled neighbour counts for all the labelled documents of its class that it stands for
                 w = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** 8 * self.by[near]
                 out[first + i : first + i + len(near)] = (w * self.y[near]).sum(axis=1) / w.sum(axis=1)
@@ -130,7 +142,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     label for which `learn` holds are projected to a latent space and broadcast; every document's cosine with all of
     them is computed exactly, in blocks. Only the text is an input.
 
-    Null and empty texts are compared like others (by their measures). If there is no labelled document every score is
+    Of neighbours that are equally near, those with the smaller doc_id vote. Null and empty texts are compared like others (by their measures). If there is no labelled document every score is
     0.5. Repeated rows each come out. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which all executors see; where it is unset (tests), a new local one is set."""
+    """The folder of `spark.checkpoint.dir`, which all executors see. Where it is unset and all executors are threads of
+    this process (tests), a new local one is set; on a cluster that is an error, for no folder of one machine would do."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         held = tempfile.mkdtemp(prefix="findlake-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(held)
     return held
@@ -41,39 +46,53 @@ def content_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 #: Cells of an array that is summed over tasks travel in slices of this many.
 SLICE = 1 << 14
+#: Arrays that are added up in one place in each round of a sum, and the rounds before the last.
+FAN, ROUNDS = 64, 2
 
 
 def emit_slices(counts: np.ndarray) -> pd.DataFrame:
-    """One row per slice of a task's array that has anything in it."""
+    """One row per slice of a task's array that has anything in it, with the number of the task's group."""
+    task = TaskContext.get()
+    group = task.partitionId() // FAN if task else 0
     flat = np.ascontiguousarray(counts).reshape(-1)
-    parts = [(i // SLICE, flat[i : i + SLICE].tobytes()) for i in range(0, len(flat), SLICE) if flat[i : i + SLICE].any()]
-    return pd.DataFrame(parts, columns=["slice", "part"])
+    parts = [(i // SLICE, group, flat[i : i + SLICE].tobytes()) for i in range(0, len(flat), SLICE) if flat[i : i + SLICE].any()]
+    return pd.DataFrame(parts, columns=["slice", "group", "part"])
+
+
+#: Rows of `emit_slices`.
+PARTS = "slice int, group long, part binary"
 
 
 def sum_slices(parts: DataFrame, dtype: str, size: int) -> np.ndarray:
     """Sum the arrays of all tasks, slice by slice, and bring the `size` cells to the driver.
 
-    The input is one row per task and slice; two rounds keep what one task reads to about the square root of the
-    number of tasks. What reaches the driver has a fixed size, whatever the corpus is.
+    The input is one row per task and slice. Slices of FAN tasks are added up in one place, then those of FAN such
+    groups, so the number of places follows the number of tasks; the last round adds (tasks / 4096) rows a slice.
+    What reaches the driver has a fixed size, whatever the corpus is.
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, part in zip(batch["slice"], batch["part"], strict=True):
+            for k, group, part in zip(batch["slice"], batch["group"], batch["part"], strict=True):
                 values = np.frombuffer(part, dtype)
-                if k in held:
-                    held[k] += values
+                if (k, group) in held:
+                    held[k, group] += values
                 else:
-                    held[k] = values.copy()
-        yield pd.DataFrame([(k, v.tobytes()) for k, v in held.items()], columns=["slice", "part"])
-
-    schema = "slice int, part binary"
-    slices = -(-size // SLICE)
-    once = parts.repartition(min(12, slices), "slice", F.pmod(F.hash("part"), F.lit(16))).mapInPandas(add, schema)
-    twice = once.repartition(min(12, slices), "slice").mapInPandas(add, schema)
-    total = np.zeros(slices * SLICE, dtype)
-    for row in twice.toLocalIterator():
+                    held[k, group] = values.copy()
+            if len(held) > 1024:
+                yield rows(held)
+                held = {}
+        yield rows(held)
+
+    def rows(held: dict[tuple[int, int], np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame([(k, group // FAN, v.tobytes()) for (k, group), v in held.items()], columns=["slice", "group", "part"])
+
+    summed = parts
+    for _ in range(ROUNDS):
+        summed = summed.repartition("slice", "group").mapInPandas(add, PARTS)
+    total = np.zeros(-(-size // SLICE) * SLICE, dtype)
+    for row in summed.repartition("slice").mapInPandas(add, PARTS).toLocalIterator():
         at = row["slice"] * SLICE
         values = np.frombuffer(bytes(row["part"]), dtype)
         total[at : at + len(values)] += values

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 _BEYOND = regex.compile("[^\x00-ɏ]")
 #: Documents of a task whose postings are held together (their numbers fit in 16 bits), and postings that end a block before that.
 BLOCK_DOCS, BLOCK_POSTINGS = 1 << 15, 4_000_000
+#: Tasks (a power of two) whose blocks meet by pre-token.
+TASKS_BITS = 6
 #: Pre-tokens whose counts a task remembers; beyond it forgets them all and counts anew.
 REMEMBER = 500_000
 
@@ -200,7 +202,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     Each task lists the distinct pre-tokens of a block of its documents with the documents that hold them, so one row
     leaves it for each pre-token and block rather than for each occurrence. Rows meet by pre-token: pieces are counted
-    once for it, and the partial sums of a block go on packed in one row. A pre-token that every document has is one row a block.
+    once for it, and the partial sums of a block go on packed in one row. A pre-token that every document has is one row
+    a block; the blocks of every 64 tasks meet apart from others', so its rows do not all go to one task, and its pieces
+    are counted once for 64 tasks.
 
     A null text counts as empty, and an empty text has no tokens. Null ids and repeated rows stay: a row comes out for
     every row that goes in. Other columns are not read. Special strings inside a text count as one token each, as the
@@ -208,7 +212,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = rows.mapInArrow(_postings(tokenizer_path), "word string, base long, owners binary, counts binary, doc_id long, n_bytes long, n_special long")
-    met = listed.repartition(F.coalesce("word", F.col("base").cast("string")))
+    met = listed.repartition(F.coalesce("word", F.col("base").cast("string")), F.shiftright("base", 33 + TASKS_BITS))
     sums = met.mapInArrow(_sums(tokenizer_path), "block long, owners binary, sums binary, place long, doc_id long, n_bytes long, n_special long")
     total = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
     return total.withColumn("over_limit", F.col("n_tokens") > limit)

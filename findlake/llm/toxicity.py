@@ -18,8 +18,6 @@ WINDOW, STEP, HIDDEN, WIDTH, GRAMS = 64, 48, 8, 8, 2048
 PREFIXES, PREFIX_CELLS = (4, 5, 6, 7, 8), 1 << 14
 #: Words that get a vector of their own: those in at least so many training documents, the most frequent first.
 MIN_DOCS, MAX_WORDS = 3, 20_000
-#: Windows of each training document that the network sees; the final weights see all.
-SEEN = 6
 
 Params = dict[str, np.ndarray]
 
@@ -184,31 +182,31 @@ class Model:
         if len(set(labels)) < 2:
             return
         counts: dict[int, int] = {}
-        seen: list[str] = []
-        owner: list[int] = []
-        for first, some in chunks(texts):
+        shuffled = rng.permutation(len(texts))
+        mixed = [texts[i] for i in shuffled]
+        for _, some in chunks(mixed):
             w = Words(some)
             for i in range(len(some)):
-                lo, hi = int(w.doc[i]), int(w.doc[i + 1])
-                for h in np.unique(w.hashes[lo:hi]).tolist():
+                for h in np.unique(w.hashes[int(w.doc[i]) : int(w.doc[i + 1])]).tolist():
                     counts[h] = counts.get(h, 0) + 1
-                starts = range(lo, max(lo + 1, hi - WINDOW + STEP), STEP) if hi > lo else ()
-                for at in rng.permutation(len(starts))[:SEEN]:
-                    end = min(starts[at] + WINDOW, hi)
-                    seen.append(w.data[w.start[starts[at]] : w.end[end - 1]].decode("utf-8", "replace"))
-                    owner.append(first + i)
         often = sorted((h for h, n in counts.items() if n >= MIN_DOCS), key=lambda h: (-counts[h], h))[:MAX_WORDS]
         self.vocabulary = np.sort(np.array(often, np.uint64))
-        x = Inputs(seen, self.vocabulary)
-        label = y[np.array(owner, np.int64)[x.doc]] if len(x.doc) else np.zeros(0, np.float32)
+        # all windows of all texts, in chunks of texts in random order
+        held = []
+        for first, some in chunks(mixed):
+            x = Inputs(some, self.vocabulary)
+            label = y[shuffled[first + x.doc]]
+            held.append((x, label, np.flatnonzero(label == 1), np.flatnonzero(label == 0)))
+        held = [h for h in held if len(h[2]) and len(h[3])]
+        sizes = np.array([len(h[1]) for h in held], float)
         draw = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
         p: Params = {"word": draw(len(self.vocabulary) + 1, WIDTH, scale=0.1), "gram": draw(GRAMS, WIDTH, scale=0.1), "prefix": draw(PREFIX_CELLS, WIDTH, scale=0.05), "wa": draw(2 * HIDDEN, HIDDEN), "va": draw(HIDDEN), "wo": draw(2 * HIDDEN), "bo": np.float32(0)}
         p["word"][0] = p["prefix"][0] = 0
         for d in "fb":
             p |= {"w" + d: draw(2 * WIDTH, 3 * HIDDEN), "u" + d: draw(HIDDEN, 3 * HIDDEN), "b" + d: np.zeros(3 * HIDDEN, np.float32)}
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-        one, none = (np.flatnonzero(label == k) for k in (1, 0))
-        for step in range(1, steps + 1) if len(one) and len(none) else ():
+        for step in range(1, steps + 1) if held else ():
+            x, label, one, none = held[rng.choice(len(held), p=sizes / sizes.sum())]
             rows = np.concatenate([rng.choice(one, batch // 2), rng.choice(none, batch // 2)])
             g = _gradients(p, x, rows, label[rows], np.ones(len(rows), np.float32))
             rate = 0.02 * min(1, (steps - step + 1) / (steps * 0.5))
