@@ -118,8 +118,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, tile: in
     fits = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     fits = fits & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     # -0.0 equals 0.0 in every product, so both have one key; values far out of range are scaled before they are squared
-    most = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda x: x / most + F.lit(0.0))
+    largest = F.array_max(F.transform("v", F.abs))
+    scaled = F.transform("v", lambda x: x / largest + F.lit(0.0))
     keyed = plain.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("v", F.when(F.col("fits"), scaled)).withColumn("key", F.when(F.col("fits"), F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("v").cast("array<string>")))))
     keyed = materialise(keyed, "vectors")
     classes = keyed.where("fits").groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
