@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.shared import content_key, materialise
+from findlake.llm.shared import content_key, discard, materialise
 from findlake.llm.words import mix
 
 _rng = np.random.default_rng(41)
@@ -178,7 +178,8 @@ def _sorted_buckets(length: int, span: int):
     return run
 
 
-#: A passage is looked for at every so many starts: one of span + _STRIDE - 1 bytes is always found.
+#: A passage is looked for at every so many starts, and in crowded leads at every fourth of these: one of span + _STRIDE - 1
+#: bytes is always found, in crowded leads one of span + 4 * _STRIDE - 1.
 _STRIDE = 10
 #: Starts of strings that are tried together where a lead has too many contexts for a bucket, then fewer, then each alone.
 STEPS = (50, 10, 1)
@@ -190,15 +191,19 @@ def _leads(size: int, reach: int, step: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, kept = [], []
             limits = zip(batch["near"], batch["far"], strict=True) if "near" in batch else ((0, reach) for _ in range(len(batch)))
-            for context, left, right, (first, last) in zip(batch["context"], batch["left"], batch["right"], limits, strict=True):
+            for i, (context, left, right, (first, last)) in enumerate(zip(batch["context"], batch["left"], batch["right"], limits, strict=True)):
                 for near in range(first, last + 1, step):
                     far = min(near + step - 1, last)
                     if len(left) >= near and len(right) >= size - far:
                         core = left[:near][::-1] + right[: size - far]
                         out.append((context, near, far, hashlib.blake2b(core, digest_size=16, salt=near.to_bytes(8, "little")).digest()))
-            yield pd.DataFrame(out, columns=["context", "near", "far", "key"]).astype({"near": "int32", "far": "int32"})
+                        kept.append(i)
+            found = pd.DataFrame(out, columns=["context", "near", "far", "key"]).astype({"near": "int32", "far": "int32"})
+            for name in {"doc", "docs"} & set(batch.columns):
+                found[name] = batch[name].to_numpy()[kept]
+            yield found
 
     return run
 
@@ -262,7 +267,7 @@ def _meet(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).union(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, span: int | None = None, keep_bytes: bool = False, crowd: int = 2000, bucket_rows: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, span: int | None = None, keep_bytes: bool = False, crowd: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage (and kept, the bytes left).
 
     A byte goes if a string of `length` bytes covers it that also starts elsewhere, in another text or the same one.
@@ -303,6 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, span: int | None = None,
     sampled = materialise(rows.select("rid", "text").mapInPandas(places, "rid binary, pos int, gram long, context binary"), "places")
     grams = materialise(sampled.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "grams")
     again = materialise(_meet(sampled, grams, "gram").drop("c"), "again")
+    discard(sampled)
     contexts = again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one"), F.max("rid").alias("other"))
     contexts = materialise(contexts.select("gram", "context", "n", "one", (F.col("one.rid") != F.col("other")).alias("docs")), "contexts")
     crowds = materialise(contexts.groupBy("gram").agg(F.count("*").alias("c")), "crowds")
@@ -339,9 +345,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, span: int | None = None,
             few = crowded.join(met.where(F.col("c") <= crowd).drop("c"), "context")
             found = found.union(sorted_by(few, "key"))
             part = crowded.join(met.where(F.col("c") > crowd).select("context", "near", "far"), "context")
-    # passages of crowded leads, at every _STRIDE starts
-    starts = crowded.withColumn("near", F.explode(F.sequence(F.lit(0), F.lit(reach), F.lit(_STRIDE)))).withColumn("far", F.col("near"))
-    lead = materialise(starts.select("context", "left", "right", "near", "far").mapInPandas(_leads(span, reach, 1), keyed), "passages").join(crowded.select("context", "doc", "docs"), "context")
+    # passages of crowded leads
+    starts = crowded.withColumn("near", F.explode(F.sequence(F.lit(0), F.lit(reach), F.lit(_STRIDE * 4)))).withColumn("far", F.col("near"))
+    lead = materialise(starts.select("context", "doc", "docs", "left", "right", "near", "far").mapInPandas(_leads(span, reach, 1), f"{keyed}, doc binary, docs boolean"), "passages")
     often = materialise(lead.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("docs").alias("docs")).where("a <> b or docs").select("key", "c"), "often")
     found = found.union(_meet(lead.select("context", "key"), often, "key").select("context", F.lit(0), F.lit(0), F.lit(True)).distinct())
     found = materialise(found, "covered")
