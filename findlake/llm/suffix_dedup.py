@@ -352,8 +352,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, span: int | None = None,
     found = found.union(_meet(lead.select("context", "key"), often, "key").select("context", F.lit(0), F.lit(0), F.lit(True)).distinct())
     found = materialise(found, "covered")
 
-    spans = again.join(found, "context").select("rid", F.struct((F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")).alias("span"), "passage")
-    spans = spans.groupBy("rid").agg(F.collect_set("span").alias("spans"), F.max("passage").alias("shares_passage"))
+    # one row a context, so one a place
+    found = found.groupBy("context").agg(F.collect_set(F.struct("lo", "hi")).alias("about"), F.max("passage").alias("passage"))
+    spans = again.join(found, "context").select("rid", F.transform("about", lambda s: F.struct((F.col("pos") + s["lo"]).alias("lo"), (F.col("pos") + s["hi"]).alias("hi"))).alias("spans"), "passage")
+    spans = spans.groupBy("rid").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.max("passage").alias("shares_passage"))
     texts = rows.mapInPandas(_packed, "doc_id long, rid binary, packed binary")
     cut = texts.join(spans, "rid", "left").select("doc_id", "packed", "spans", F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
     cut = cut.mapInPandas(_cut(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept binary")
