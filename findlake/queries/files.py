@@ -151,7 +151,7 @@ _PATHS = f"paths AS (SELECT p_partkey AS key, concat({_list(_DIRS)}[1 + p_partke
 _LOW = "lower(string_split(path, '/')[-1])"
 _SUFFIX_SQL = f"regexp_extract({_LOW}, '^.+([.][^.]+)$', 1)"
 _SKIPPED = f"len(list_intersect(string_split(path, '/')[:-2], {_list(paths.SKIP_DIRECTORIES)})) > 0"
-_LANG = "CASE WHEN " + f"list_contains({_list(paths.NAMED)}, {_LOW}) THEN {_LOW} WHEN {_LOW} LIKE '%.min.js' OR {_LOW} LIKE '%.min.css' OR {_LOW} LIKE '%.d.ts' THEN NULL " + " ".join(f"WHEN list_contains({_list(s.split())}, {_SUFFIX_SQL}) THEN '{lang}'" for lang, s in paths.LANGUAGES.items()) + " END"
+_LANG = "CASE WHEN " + f"list_contains({_list(paths.NAMED)}, {_LOW}) THEN {_LOW} WHEN {_LOW} LIKE '%.min.js' OR {_LOW} LIKE '%.min.css' OR {_LOW} LIKE '%.d.ts' THEN NULL " + " ".join(f"WHEN {_SUFFIX_SQL} = '{suffix}' THEN '{lang}'" for suffix, lang in paths.LANGUAGES.items()) + " END"
 
 
 def _part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
