@@ -61,7 +61,9 @@ SECRET_KINDS = {
     "chat token": r"\b(xox[abprs]-[A-Za-z0-9-]{10,})\b",
     "web token": r"\b(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})",
 }
-ASSIGNED = r"""(?i)\b[\w.-]*(?:password|passwd|secret|token|api_?key)[\w-]*["']?\s*[:=]\s*["']([^"'\s]{12,})["']"""
+ASSIGNED = r"""(?i)\b([\w.-]*(?:password|passwd|secret|token|api_?key)[\w-]*)["']?\s*[:=]\s*["']([^"'\s]{12,})["']"""
+ENV_ASSIGNED = r"""(?i)^\s*(?:export\s+)?([\w.-]*(?:password|passwd|secret|token|api_?key)[\w-]*)\s*=\s*([^"'\s#]{12,})\s*(?:#.*)?$"""
+DOCUMENTATION_KEY = r"(?i)(^|[._-])(example|docs?)([._-]|$)"
 PLACEHOLDER = r"(?i)example|placeholder|changeme|change_me|your[_-]|xxxx|dummy|<.*>|\$\{|\{\{"
 LINE_CAP, QUALITY_CAP = 25, 40
 JS = ("javascript", "typescript")
@@ -279,7 +281,7 @@ def loose_types(files: DataFrame) -> DataFrame:
 
 
 def hardcoded_secret(files: DataFrame) -> DataFrame:
-    """Provider tokens anywhere, and quoted assignments of high entropy outside tests; documentation and placeholders are left alone."""
+    """Provider tokens anywhere, and assignments of high entropy outside tests, quoted or in environment files; placeholders and keys of documentation are left alone."""
     from findlake.functions.text import entropy
 
     name = F.lower(name_of(F.col("path")))
@@ -288,18 +290,22 @@ def hardcoded_secret(files: DataFrame) -> DataFrame:
     for pattern in SECRET_KINDS.values():
         known = pattern if known is None else f"{known}|{pattern}"
     test = F.col("path").rlike(TEST_PATH) | F.lower("path").rlike("(^|/)(certs?|test[^/]*)/")
-    hits = _hits(scanned, "raw", f"{known}|{ASSIGNED}").withColumn("test", test)
-    hits = hits.where(~F.lower("text").rlike(r"example|docs?[.:]"))
-    kind = None
+    env = name.rlike(r"^\.env|\.env$")
+    hits = _hits(scanned.withColumn("env", env), "raw", F.when(F.col("env"), _word(f"{known}|{ASSIGNED}|{ENV_ASSIGNED}")).otherwise(_word(f"{known}|{ASSIGNED}"))).withColumn("test", test)
+    kind, token = None, []
     for k, pattern in SECRET_KINDS.items():
         kind = F.when(F.col("text").rlike(pattern), k) if kind is None else kind.when(F.col("text").rlike(pattern), k)
-    value = F.regexp_extract("text", ASSIGNED, 1)
-    hits = hits.withColumn("kind", kind).withColumn("value", value)
+        token.append(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")))
+    quoted = F.col("text").rlike(_word(ASSIGNED))
+    part = lambda group: F.when(quoted, F.regexp_extract("text", _word(ASSIGNED), group)).otherwise(F.regexp_extract("text", _word(ENV_ASSIGNED), group))
+    hits = hits.withColumn("kind", kind).withColumn("key_name", part(1)).withColumn("value", F.coalesce(*token, part(2)))
+    # what is said about a value counts, not what else stands on its line
+    hits = hits.where(~F.lower("value").contains("example") & ~F.col("key_name").rlike(DOCUMENTATION_KEY))
     generic = F.col("kind").isNull()
     random = ~F.col("value").rlike(PLACEHOLDER) & ~F.col("value").rlike(r"[(\[].*[)\]]|^process\.|^os\.") & (entropy(F.col("value")) >= 3.0)
     hits = hits.where(~generic | (~F.col("test") & random))
     softened = F.col("test") & F.col("kind").isin("private key", "web token")
-    return hits.withColumns({"severity": F.when(generic, "high").otherwise("critical"), "confidence": F.when(softened | generic, "medium").otherwise("high")})
+    return hits.withColumns({"severity": F.when(generic, "high").otherwise("critical"), "confidence": F.when(softened | generic, "medium").otherwise("high")}).drop("key_name", "env")
 
 
 @dataclass(frozen=True)
