@@ -127,3 +127,37 @@ def test_the_toxicity_stage_keeps_a_column_called_score(spark, tmp_path):
     kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.score, r["Own Score"]) for r in kept.collect()) == [(i, "a", 0.9) for i in range(20)]
+
+
+def test_scores_against_a_plain_loop_over_windows():
+    from findlake.llm.words import Words
+    from tests.llm.fixtures import prose
+
+    texts = [f"{prose(i, 20 + 37 * i, 200)} {'idiot clown' if i % 2 else ''}" for i in range(12)]
+    model = Model(texts, [i % 2 for i in range(12)], [1.0] * 12, steps=20)
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        w = Words([text])
+        words, logits = [w.word(i) for i in range(len(w.hashes))], []
+        for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+            logits.append(float(toxicity.window_logits(model.params, Inputs([" ".join(words[at : at + toxicity.WINDOW])], model.vocabulary))[0]))
+        plain = 1 / (1 + np.exp(-(np.array([max(logits), np.mean(logits), 1]) @ model.final)))
+        assert abs(plain - score) < 1e-4
+
+
+def test_votes_against_a_plain_count():
+    from findlake.llm.quality import SIZE, Voters, features, nearest
+    from tests.llm.fixtures import prose
+
+    texts = [prose(i, 60, 80) if i % 3 else "!!! " * (i + 5) for i in range(40)]
+    labels, by = [int(i % 3 > 0) for i in range(40)], [1.0 + i % 2 for i in range(40)]
+    df = np.zeros(SIZE + 1, np.int64)
+    df[:SIZE], df[SIZE] = (features(texts) > 0).sum(axis=0), len(texts)
+    voters = Voters(texts, labels, by, df, rank=8, neighbours=5)
+    asked = [*texts[:6], "", prose(77, 30, 80), "!!! ???"]
+    for text, score in zip(asked, voters.scores(asked), strict=True):
+        z = voters.latent(voters.weigh([text]))[0]
+        near = sorted(((-float(z @ h), i) for i, h in enumerate(voters.held)))[:5]
+        weight = [max(-c, 1e-6) ** 8 * by[i] for c, i in near]
+        assert abs(sum(w * labels[i] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight) - score) < 1e-3
+    tied = np.array([[0.5, 0.9, 0.5, 0.5, 0.1]])
+    assert sorted(nearest(tied, 2)[0].tolist()) == [0, 1]

@@ -191,3 +191,27 @@ def test_redaction_keeps_rows_and_columns(spark):
     got = redact_documents(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in got.select("doc_id", F.col("text")).collect()) == [(0, "clean"), (1, "mail [EMAIL] or [PHONE] now"), (1, "mail [EMAIL] or [PHONE] now"), (2, "")]
+
+
+def test_retrieval_against_every_window_and_item(spark):
+    """Documents that hold `overlap` of an item in some window, by brute force: nine tenths at least are found, and a
+    paraphrase that keeps only the answer and just over half of the rest is confirmed by its answer."""
+    from findlake.llm.words import Words
+
+    items = [(i, f"{prose(i, 30, 900)}. {prose(900 + i, 6, 900)}.") for i in range(20)]
+    rows = []
+    for i in range(60):
+        words = items[i % 20][1].split()
+        kept = [w if k >= 30 or k % (2 + i % 5) else f"new{i}x{k}" for k, w in enumerate(words)]
+        rows.append((i, f"{prose(3000 + i, 60, 900)} {' '.join(kept)} {prose(5000 + i, 60, 900)}"))
+    held = {i: Words([t]).hashes.tolist() for i, t in items}
+    want = {(d, i) for d, t in rows for i, item in held.items() for words in [Words([t]).hashes.tolist()] if max(common_subsequence(item, words[k : k + 3 * len(item)]) for k in range(0, len(words), len(item))) >= 0.7 * len(item)}
+    assert len(want) > 20
+    got = {}
+    for share in (0.2, 0.0):
+        found = contaminated(documents(spark, rows), _benchmark(spark, items), share=share).collect()
+        got[share] = {(r.doc_id, r.item_id) for r in found}
+        assert len(want & got[share]) >= 0.9 * len(want)
+        assert all(r.overlap >= 0.7 or (r.overlap >= 0.55 and r.answer >= 0.9) for r in found)
+        assert any(r.overlap < 0.7 for r in found)
+    assert len(got[0.2]) >= 0.9 * len(got[0.0])
