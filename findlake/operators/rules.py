@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from findlake.functions import kernels
 from findlake.functions.ids import fingerprint
 from findlake.functions.text import context
+from findlake.functions.versions import coerced, major
 from findlake.operators.facts import name_of
 
 # The patterns by which the rules are defined.
@@ -308,6 +309,24 @@ def hardcoded_secret(files: DataFrame) -> DataFrame:
     return hits.withColumns({"severity": F.when(generic, "high").otherwise("critical"), "confidence": F.when(softened | generic, "medium").otherwise("high")}).drop("key_name", "env")
 
 
+def react_mismatch(files: DataFrame, locked: DataFrame | None = None) -> DataFrame:
+    """Manifests that declare react and react-dom at different major versions, at the first line that names react-dom.
+
+    A version that a lock file gives, locked (repo, name, version), goes before the declared range; a manifest is left
+    alone if one of the two names no release."""
+    shape = "struct<dependencies:map<string,string>,devDependencies:map<string,string>>"
+    manifests = files.where(name_of(F.col("path")) == "package.json").withColumn("declared", F.from_json(F.array_join("raw", "\n"), shape))
+    names = {"react": "react_version", "react-dom": "dom_version"}
+    spec = lambda name: F.coalesce(F.col("declared.devDependencies")[name], F.col("declared.dependencies")[name])
+    both = manifests.select("repo", "path", "raw", *[spec(name).alias(c) for name, c in names.items()]).dropna(subset=list(names.values()))
+    resolved = {c: coerced(F.col(c)) for c in names.values()}
+    if locked is not None:
+        held = locked.groupBy("repo").agg(*[F.max(F.when(F.col("name") == name, F.col("version"))).alias(f"locked_{c}") for name, c in names.items()])
+        both, resolved = both.join(held, "repo", "left"), {c: F.coalesce(f"locked_{c}", coerced(F.col(c))) for c in names.values()}
+    line = F.greatest(F.array_position(F.transform("raw", lambda r: F.contains(r, F.lit('"react-dom"'))), True), F.lit(1)).cast("int")
+    return _levels(both.withColumns(resolved).where(major(F.col("react_version")) != major(F.col("dom_version"))).withColumn("line", line), "high", "high")
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -319,6 +338,7 @@ class Rule:
 
 _EITHER = "is_node or is_python"
 RULES = (
+    Rule("dep/react-dom-mismatch", "dependencies", "is_node", react_mismatch),
     Rule("config/ts-not-strict", "configuration", "has_typescript", loose_types),
     Rule("python/mutable-default-argument", "correctness", "is_python", mutable_default, LINE_CAP),
     Rule("python/bare-except", "correctness", "is_python", bare_except, LINE_CAP),

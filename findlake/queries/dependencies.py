@@ -113,7 +113,7 @@ def coerced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _declared(spark, sf_dir).select("repo", "name", "spec", v.coerced(F.col("spec")).alias("version"))
 
 
-@query("r08_react_dom_mismatch", f"WITH {_DECLARED}, {_LOCKED}, r AS (SELECT repo, name, coalesce(version, {_COERCED}) AS resolved FROM declared LEFT JOIN locks USING (repo, name)) SELECT a.repo, a.name AS name, b.name AS other, split_part(a.resolved, '.', 1) AS major, split_part(b.resolved, '.', 1) AS other_major FROM r a JOIN r b ON a.repo = b.repo AND CAST(substr(b.name, 5) AS INT) = CAST(substr(a.name, 5) AS INT) + 1 WHERE split_part(a.resolved, '.', 1) <> split_part(b.resolved, '.', 1)")
+@query("f095_package_pair_mismatch", f"WITH {_DECLARED}, {_LOCKED}, r AS (SELECT repo, name, coalesce(version, {_COERCED}) AS resolved FROM declared LEFT JOIN locks USING (repo, name)) SELECT a.repo, a.name AS name, b.name AS other, split_part(a.resolved, '.', 1) AS major, split_part(b.resolved, '.', 1) AS other_major FROM r a JOIN r b ON a.repo = b.repo AND CAST(substr(b.name, 5) AS INT) = CAST(substr(a.name, 5) AS INT) + 1 WHERE split_part(a.resolved, '.', 1) <> split_part(b.resolved, '.', 1)")
 def package_pair_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages that belong together (here: neighbours by number) with different major versions in a repository."""
     r = deps.resolved(_declared(spark, sf_dir), _locked(spark, sf_dir)).select("repo", "name", F.substring("name", 5, 9).cast("int").alias("n"), v.major(F.col("resolved")).alias("major"))

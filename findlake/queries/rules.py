@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findlake.operators import engine, rules
 from findlake.operators import facts as facts_of
-from findlake.operators import rules
 from findlake.plans import corpus
+from findlake.queries import reports
 from findlake.registry import ORACLE_SQL, query
 
 _N = len(corpus.TEMPLATES)
@@ -39,6 +40,9 @@ def _rule_query(name: str, rule: rules.Rule) -> None:
         per = "SELECT repo, path, string_split(path, '/') AS parts, t FROM files WHERE t = 31"
         sql = f"WITH {_FILES}, todo AS ({per}) SELECT repo, min_by(path, parts) AS file, CAST(1 AS INT) AS line, 'info' AS severity, 'high' AS confidence FROM todo GROUP BY repo HAVING 2 * count(*) >= 10"
 
+    if rule.id == "dep/react-dom-mismatch":
+        sql = f"SELECT DISTINCT p_brand AS repo, 'package.json' AS file, CAST(1 AS INT) AS line, 'high' AS severity, 'high' AS confidence FROM part WHERE {_NUMBER} % 5 <> 0"
+
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files, facts = corpus.lines_and_facts(spark, sf_dir)
@@ -48,7 +52,7 @@ def _rule_query(name: str, rule: rules.Rule) -> None:
 
 
 _NUMBERS = {
-    "config/ts-not-strict": 4, "python/mutable-default-argument": 9, "python/bare-except": 10, "python/subprocess-shell": 11, "python/unsafe-deserialisation": 12, "quality/long-file": 13,
+    "config/ts-not-strict": 4, "dep/react-dom-mismatch": 8, "python/mutable-default-argument": 9, "python/bare-except": 10, "python/subprocess-shell": 11, "python/unsafe-deserialisation": 12, "quality/long-file": 13,
     "quality/long-function": 14, "quality/deep-nesting": 15, "quality/todo-markers": 16, "react/missing-list-key": 17, "react/array-index-key": 18, "react/dangerously-set-inner-html": 19,
     "security/sql-injection": 20, "security/command-injection": 21, "security/code-injection": 22, "security/path-traversal": 23, "security/ssrf": 24, "security/weak-hash": 25,
     "security/insecure-random": 26, "security/permissive-cors": 27, "security/jwt-unverified": 28, "security/hardcoded-secret": 29,
@@ -106,3 +110,46 @@ _EVERY = " UNION ALL ".join(f"SELECT repo, '{rule.id}' AS rule_id, count(*) AS n
 def every_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by repository of all rules, whichever gate opens them."""
     return _counts(spark, sf_dir, rules.RULES)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TITLES = "titles(rule_id, title) AS (VALUES " + ", ".join(f"('{rule}', {_quoted(title)})" for rule, (title, _) in engine.TEXTS.items()) + ")"
+_PLACED = " UNION ALL ".join(
+    [f"SELECT repo, '{rule.id}' AS rule_id, '{rule.category}' AS category, severity, confidence, file, line FROM ({ORACLE_SQL[name]})" for name, rule in _NAMED.items()]
+    + [f"SELECT repo, '{rule}' AS rule_id, '{engine.LACKS[rule]}' AS category, severity, confidence, NULL AS file, NULL AS line FROM ({ORACLE_SQL[name]})" for name, rule, *_ in _MISSING]
+)
+_SOURCE = f"""{_TITLES}, found AS (SELECT * FROM ({_PLACED}) JOIN titles USING (rule_id)),
+findings AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {reports._PRIORITY} DESC, {reports._RANK}, coalesce(file, ''), coalesce(line, 0), rule_id) AS place, {reports._PRIORITY} AS priority FROM found QUALIFY place <= 500)"""
+
+
+@query("f017_source_findings", f"WITH {_SOURCE} SELECT repo, place, priority, rule_id, category, severity, confidence, file, line, title FROM findings")
+def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule finds in all source files, in the order of the reports."""
+    found = engine.findings(corpus.source_files(spark, sf_dir))
+    return engine.scoring.truncated(found).select("repo", "place", "priority", "rule_id", "category", "severity", "confidence", "file", "line", "title")
+
+
+_FILE_COUNTS = "all_files AS (SELECT repo, count(*) AS files FROM (SELECT p_brand AS repo FROM part UNION ALL " + " UNION ALL ".join(f"SELECT DISTINCT p_brand FROM part WHERE {_NUMBER} % {abs(by)} {'<>' if by < 0 else '='} 0" for *_, by in corpus.MANIFESTS) + " UNION ALL SELECT concat('supplier', s_suppkey) FROM supplier) GROUP BY repo)"
+_ACRONYM = "(length(title) < 2 OR (upper(title[2]) = title[2] AND lower(title[2]) <> title[2]))"
+
+
+@query(
+    "f017_source_reports",
+    f"""WITH {_SOURCE}, {_FILE_COUNTS}, repositories AS (SELECT * FROM all_files), {reports._score_sql("findings")},
+lead AS (SELECT repo, title, file FROM findings WHERE {reports._SERIOUS} QUALIFY row_number() OVER (PARTITION BY repo ORDER BY place) = 1),
+sums AS (SELECT repo, count_if({reports._SERIOUS}) AS n, count_if(severity IN ('critical', 'high')) AS blocking, {", ".join(f"count_if(severity = '{s}') AS {s}" for s in engine.scoring.SEVERITIES)} FROM findings GROUP BY repo)
+SELECT v.repo, files, total, score, {reports._grade("score")} AS grade, cap, {", ".join(f"coalesce({s}, 0) AS {s}" for s in engine.scoring.SEVERITIES)}, title AS lead_title, coalesce(file, CASE WHEN title IS NOT NULL THEN '' END) AS lead_file,
+  CASE WHEN total = 0 THEN 'No issues detected across the rules that applied to this project.'
+  WHEN title IS NOT NULL THEN concat('Start with ', CASE WHEN {_ACRONYM} THEN title ELSE concat(lower(title[1]), title[2:]) END, CASE WHEN file IS NOT NULL THEN concat(' in ', file) ELSE '' END, CASE WHEN n > 1 THEN concat(', then ', n - 1, ' other issue', CASE WHEN n = 2 THEN '' ELSE 's' END, ' of the same kind') ELSE '' END, '.')
+  WHEN blocking > 0 THEN concat(blocking, ' finding', CASE WHEN blocking = 1 THEN '' ELSE 's' END, ' of high severity, ', CASE WHEN blocking = 1 THEN 'not confirmed' ELSE 'none of them confirmed' END, ' — worth reviewing before acting.')
+  ELSE concat('Nothing blocking found. ', total, ' lower-severity finding', CASE WHEN total = 1 THEN '' ELSE 's' END, ' to look at when convenient.') END AS summary
+FROM valued v JOIN all_files USING (repo) LEFT JOIN lead USING (repo) LEFT JOIN sums USING (repo)""",
+)
+def source_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run: source files to findings, scores, grades and summaries of every repository."""
+    files = corpus.source_files(spark, sf_dir)
+    made = engine.reports(files, engine.findings(files))
+    return made.select("repo", "files", "total", "score", "grade", "cap", *engine.scoring.SEVERITIES, "lead_title", "lead_file", "summary")

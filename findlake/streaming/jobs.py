@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from findlake.sources.folders import shared_folder
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A breaker opens after so many failures in a row and stays open for so many seconds.
@@ -26,8 +27,7 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is and read its result, which each batch writes to the shared folder.
 
     In complete mode the last batch holds all; in update mode the last row of a key (its first column) counts."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="findlake-", dir="/tmp")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     write = lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/batch={k}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda df, k: write(df.drop("batch") if "batch" in df.columns else df, k)).start().awaitTermination()
     out = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/batch=*")
