@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import io
+import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,31 +42,107 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), decoded(F.col("content")).alias("text"))
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What an archive may hold: bytes of a member (a larger one is rejected and reading goes on), members and bytes in
+    all, and bytes in all for each byte of the archive, to two digits (reading stops beyond them)."""
+
+    member: int = 8 << 20
+    members: int = 30_000
+    total: int = 500 << 20
+    ratio: float = 20.0
+
+
+#: Bytes that are unpacked at a time, and bytes of contents that a task holds before it passes them on.
+PIECE, BATCH = 1 << 16, 8 << 20
+
+
+def _refused(name: str, depth: int = 24) -> str | None:
+    """`rejection` of a single name, for the budget that is kept while an archive is read."""
+    plain = name.replace("\\", "/")
+    parts = [p for p in plain.split("/") if p not in ("", ".")]
+    if not name or "\0" in name:
+        return "traversal"
+    if plain.startswith("/"):
+        return "absolute_path"
+    if re.match("[A-Za-z]:", plain):
+        return "drive_letter"
+    return "traversal" if ".." in parts else "too_deep" if len(parts) > depth else None
+
+
 def _zip(raw: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for i, m in enumerate(z.infolist()):
+        for m in z.infolist():
             link = (m.external_attr >> 16) & 0o170000 == 0o120000
-            yield i, m.filename, m.file_size, m.is_dir(), link, None if m.is_dir() or link or m.file_size > MOST_BYTES else z.read(m)
+            yield m.filename, m.is_dir(), link, functools.partial(z.open, m)
 
 
 def _tar(raw: bytes) -> Iterator[tuple]:
-    with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as t:
-        for i, m in enumerate(t):
+    with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as t:
+        for m in t:
             name = m.name.split("/", 1)[1] if "/" in m.name else ""
-            yield i, name, m.size, m.isdir(), not (m.isdir() or m.isreg()), t.extractfile(m).read() if m.isreg() and m.size <= MOST_BYTES else None
-
-
-def read_archives(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(archive, seq, name, size, reason, content) of the members of all zip or tar.gz files of a folder; a task unpacks
-    whole archives. Links and special files are rejected, and the first folder of a tar member's name is dropped."""
+            yield name, m.isdir(), not (m.isdir() or m.isreg()), functools.partial(t.extractfile, m)
+
+
+def _members(raw: bytes, unpack: Callable[[bytes], Iterator[tuple]], limits: Limits) -> Iterator[tuple]:
+    """(seq, name, size, reason, content) of an archive's files. Sizes are those that come out, whatever the archive says;
+    what is rejected takes no part of the limits of bytes, but counts as a member.
+
+    Ends with a row without a name whose reason is the limit that was passed, or 'unreadable' for a broken archive. Files of no bytes give no rows."""
+    used = count = 0
+    ratio = int((limits.ratio + 0.005) * len(raw))
+    most, over = min((limits.total, "total_bytes"), (ratio, "compression_ratio"))
+    seq = -1
+    try:
+        for seq, (name, folder, special, opened) in enumerate(unpack(raw)):
+            if folder:
+                continue
+            count += 1
+            if count > limits.members:
+                yield seq, None, None, "file_count", None
+                return
+            if special:
+                yield seq, name, None, "symlink", None
+                continue
+            reason = _refused(name)
+            held = bytearray()
+            with opened() as source:
+                while len(held) <= limits.member and (piece := source.read(PIECE)):
+                    held += piece
+                    if not reason and used + len(held) > most:
+                        yield seq, None, None, over, None
+                        return
+            if len(held) > limits.member:
+                yield seq, name, None, reason or "too_large", None
+                continue
+            used += 0 if reason else len(held)
+            yield seq, name, len(held), reason, bytes(held)
+    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, zlib.error, RuntimeError, NotImplementedError):
+        yield seq + 1, None, None, "unreadable", None
+
+
+def read_archives(spark: SparkSession, path: str, pattern: str, limits: Limits = Limits()) -> DataFrame:
+    """(archive, seq, name, size, reason, content) of the files in all zip or tar.gz archives of a folder.
+
+    A rejected file has a reason; a link or a file that is too large has neither size nor content. Where a limit of the whole archive is passed, reading of
+    it stops and its last row has that reason and no name: the archive as a whole is then to be refused. A task unpacks
+    whole archives by pieces and passes contents on in batches. The first folder of a tar member's name is dropped."""
     unpack = _zip if pattern.endswith(".zip") else _tar
+    columns = ["archive", "seq", "name", "size", "reason", "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, *m) for m in unpack(bytes(content))]
-                yield pd.DataFrame(rows, columns=["archive", "seq", "name", "size", "folder", "special", "content"])
+            for archive, content in zip(batch["path"], batch["content"], strict=True):
+                for member in _members(bytes(content), unpack, limits):
+                    rows.append((archive, *member))
+                    held += len(member[-1] or b"")
+                    if held > BATCH or len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=columns, dtype=object)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    members = files.mapInPandas(run, "archive string, seq int, name string, size long, folder boolean, special boolean, content binary").where("not folder")
-    return members.select("archive", "seq", "name", "size", F.coalesce(F.when(F.col("special"), "symlink"), rejection(F.col("name"))).alias("reason"), "content")
+    return files.mapInPandas(run, "archive string, seq int, name string, size long, reason string, content binary")
