@@ -200,10 +200,11 @@ def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.withColumn("place", place).where("place <= 5000").select("repo", "path", "size", "language", F.coalesce("n", F.lit(0)).alias("findings"))
 
 
-@query("f056_file_findings", f"WITH {b.FINDINGS} SELECT file, repo, line, rule_id, severity FROM findings WHERE file = 'src/part7.py' OR file = 'src/part11.py'")
+@query("f056_file_findings", f"WITH {b.FINDINGS} SELECT file, repo, line, rule_id, severity, row_number() OVER (PARTITION BY file ORDER BY line, rule_id, repo) AS place FROM findings")
 def file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two files; `f056_all_file_findings` has every file."""
-    return all_file_findings(spark, sf_dir).where(F.col("file").isin("src/part7.py", "src/part11.py"))
+    """Findings of every file, numbered from its top."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line", "rule_id", "repo"))
+    return all_file_findings(spark, sf_dir).withColumn("place", place)
 
 
 @query("f056_all_file_findings", f"WITH {b.FINDINGS} SELECT file, repo, line, rule_id, severity FROM findings")

@@ -91,9 +91,9 @@ def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_of.project_facts(corpus.source_files(spark, sf_dir)).select("repo", "is_node", "is_react", "has_tests", "has_ci", "has_lockfile", "has_readme")
 
 
-@query("f045_all_rules", f"WITH {_FILES} SELECT repo, rule_id, count(*) AS n FROM files JOIN expected USING (t) WHERE rule_id LIKE 'react/%' AND n % 5 <> 0 GROUP BY ALL")
+@query("f045_react_rules", f"WITH {_FILES} SELECT repo, rule_id, count(*) AS n FROM files JOIN expected USING (t) WHERE rule_id LIKE 'react/%' AND n % 5 <> 0 GROUP BY ALL")
 def react_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by repository of all rules that the react gate opens. `f045_rules_of_every_gate` runs all rules."""
+    """Findings by repository of all rules that the react gate opens. `f045_all_rules` runs all rules."""
     return _counts(spark, sf_dir, [rule for rule in rules.RULES if rule.gate == "is_react"])
 
 
@@ -125,6 +125,12 @@ _SOURCE = f"""{_TITLES}, found AS (SELECT * FROM ({_PLACED}) JOIN titles USING (
 findings AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {reports._PRIORITY} DESC, {reports._RANK}, coalesce(file, ''), coalesce(line, 0), rule_id) AS place, {reports._PRIORITY} AS priority FROM found QUALIFY place <= 500)"""
 
 
+@query("f045_all_rules", f"SELECT repo, rule_id, count(*) AS n FROM ({_PLACED}) GROUP BY ALL")
+def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by repository of the whole registry, with the rules about what a repository lacks."""
+    return engine.findings(corpus.source_files(spark, sf_dir)).groupBy("repo", "rule_id").agg(F.count("*").alias("n"))
+
+
 @query("f017_source_findings", f"WITH {_SOURCE} SELECT repo, place, priority, rule_id, category, severity, confidence, file, line, title FROM findings")
 def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every rule finds in all source files, in the order of the reports."""

@@ -185,16 +185,16 @@ def context_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(wide, snippet, F.lit("no source")).alias("context"))
 
 
-@query("f134_source_tree", f"WITH {b.FILES} SELECT repo, path, size FROM files WHERE language = 'en' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 5000")
+@query("f134_source_tree", f"WITH {b.FILES} SELECT repo, path, size FROM files QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path) <= 5000")
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = b.files(spark, sf_dir).where("language = 'en'").select("repo", "path", "size")
+    f = b.files(spark, sf_dir).select("repo", "path", "size")
     return f.withColumn("k", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).where("k <= 5000").drop("k")
 
 
-@query("f136_suppression_list", f"WITH {_ACCEPTED} SELECT fingerprint, max_by(reason, struct_pack(a := ts, b := event_id)) AS reason FROM accepted WHERE owner_id = 7 AND repository = 'error' GROUP BY fingerprint")
+@query("f136_suppression_list", f"WITH {_ACCEPTED} SELECT owner_id, repository, fingerprint, max_by(reason, struct_pack(a := ts, b := event_id)) AS reason FROM accepted GROUP BY ALL")
 def suppression_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one owner and repository; `f124_suppression_upsert` has the lists of all."""
-    return _accepted(spark, sf_dir).where("owner_id = 7 and repository = 'error'").select("fingerprint", "reason")
+    """Of every owner and repository."""
+    return _accepted(spark, sf_dir).select("owner_id", "repository", "fingerprint", "reason")
 
 
 @query("f139_source_scope", "SELECT p_brand, count(*) AS n FROM part WHERE p_partkey % 42 IN (0, 1, 5, 6, 9, 10, 12, 14, 16, 17, 18, 19, 29, 30, 32, 33, 34) GROUP BY p_brand")
