@@ -28,6 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 from findlake.queries import dependencies as _dependencies  # noqa: E402,F401
 from findlake.queries import events as _events  # noqa: E402,F401
 from findlake.queries import files as _files  # noqa: E402,F401
+from findlake.queries import guards as _guards  # noqa: E402,F401
 from findlake.queries import manifests as _manifests  # noqa: E402,F401
 from findlake.queries import reports as _reports  # noqa: E402,F401  these register their queries
 from findlake.queries import rules as _rules  # noqa: E402,F401
