@@ -91,6 +91,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5, rare=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontamination": op2_decontamination,
@@ -102,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
+    "op13_spelling": op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -130,9 +144,45 @@ def _secret_sql() -> str:
     )
 
 
+# Between a source's cap and its share of the level lies its target; the level is the largest of what is left to the rest
+# when the sources of the smallest caps by weight have theirs.
+_MIX_SQL = r"""WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(text, '')) AS h,
+ len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY k) - 1 AS r FROM d GROUP BY k),
+w AS (SELECT *, [5, 2, 1][r % 3 + 1] AS w, 2 * source_size AS cap FROM s),
+b AS (SELECT CAST(sum(source_size) AS DOUBLE) * 1.5 AS budget, sum(w) AS weight FROM w),
+held AS (SELECT sum(cap) OVER o AS cap, sum(w) OVER o AS w FROM w WINDOW o AS (ORDER BY cap / w, k ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT max(x) AS level FROM (SELECT budget / weight AS x FROM b UNION ALL SELECT (budget - CAST(cap AS DOUBLE)) / (weight - held.w) FROM held, b WHERE weight > held.w)),
+t AS (SELECT k, r, source_size, CASE WHEN cap <= w * level THEN CAST(cap AS DOUBLE) ELSE w * level END AS target FROM w, level),
+q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER () AS n FROM d JOIN t USING (k)),
+p AS (SELECT *, before + pass * source_size AS start FROM q, (SELECT unnest([0, 1]) AS pass)),
+c AS (SELECT *, greatest(0, least(size, floor(target) - start)) AS words, least(1.0, (start + size) / target) AS finish FROM p),
+m AS (SELECT n, words, sum(words) OVER (ORDER BY finish, r, start ROWS UNBOUNDED PRECEDING) - words AS place FROM c WHERE words > 0)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(sum(words), 0) AS BIGINT) AS taken, CAST(min(place) AS BIGINT) AS first_at FROM q LEFT JOIN m USING (n) GROUP BY n, doc_id, size, source_size, target"""
+
+# The check sum of RFC 1952 over the bytes of a string: the table of its 256 bytes is made by eight steps of division.
+# DuckDB's levenshtein counts bytes, so each letter of two bytes stands as a sign of one that words do not have.
+_TWO_BYTES = "".join(map(chr, range(0xC0, 0x100)))
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if c != "'" and not c.islower())[: len(_TWO_BYTES)]
+_SPELLING_SQL = rf"""WITH RECURSIVE bits AS (SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS step FROM range(256) r(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE step = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+many AS (SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+bytes AS (SELECT *, hex(encode(s)) AS x FROM many),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST(('0x' || substr(x, 2 * i + 1, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+signs AS (SELECT *, translate(word, '{_TWO_BYTES}', '{_SIGNS}') AS z FROM words),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM signs a JOIN signs b ON length(b.z) BETWEEN length(a.z) - 1 AND length(a.z) + 1 AND levenshtein(a.z, b.z) = 1),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS form_n FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT chain.word, f.form, depth + 1 FROM chain JOIN f ON chain.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, arg_max(root, depth) AS root, n, n_near, form_n FROM f JOIN chain USING (word) GROUP BY word, form, n, n_near, form_n"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": f"""WITH RECURSIVE {_LINKS}, reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
 SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a""",
     "op5_secret_scan": _secret_sql(),
+    "op11_mixing": _MIX_SQL,
+    "op13_spelling": _SPELLING_SQL,
 }
