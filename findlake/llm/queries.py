@@ -97,6 +97,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from findlake.llm.ranked_search import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.llm.spelling import spelling_variants
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_mixing": op11_mixing,
+    "op12_ranked_search": op12_ranked_search,
     "op13_spelling": op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
@@ -160,6 +167,14 @@ c AS (SELECT *, greatest(0, least(size, floor(target) - start)) AS words, least(
 m AS (SELECT n, words, sum(words) OVER (ORDER BY finish, r, start ROWS UNBOUNDED PRECEDING) - words AS place FROM c WHERE words > 0)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(sum(words), 0) AS BIGINT) AS taken, CAST(min(place) AS BIGINT) AS first_at FROM q LEFT JOIN m USING (n) GROUP BY n, doc_id, size, source_size, target"""
 
+_SEARCH_SQL = r"""WITH t AS (SELECT *, len(terms) AS n FROM (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents) x),
+c AS (SELECT count(*) FILTER (n > 0) AS docs, CAST(sum(n) AS BIGINT) AS total FROM t),
+o AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM t) x GROUP BY k, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM o GROUP BY term) x, c),
+i AS (SELECT j, item_id, term, count(*) AS q FROM (SELECT row_number() OVER () AS j, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) x GROUP BY ALL),
+s AS (SELECT j, item_id, k, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)))) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN o USING (term) JOIN t USING (k), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 # The check sum of RFC 1952 over the bytes of a string: the table of its 256 bytes is made by eight steps of division.
 # DuckDB's levenshtein counts bytes, so each letter of two bytes stands as a sign of one that words do not have.
 _TWO_BYTES = "".join(map(chr, range(0xC0, 0x100)))
@@ -184,5 +199,6 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT vec_id, min(r
 SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a""",
     "op5_secret_scan": _secret_sql(),
     "op11_mixing": _MIX_SQL,
+    "op12_ranked_search": _SEARCH_SQL,
     "op13_spelling": _SPELLING_SQL,
 }
