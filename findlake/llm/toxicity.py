@@ -16,8 +16,10 @@ from findlake.llm.words import Words, chunks, mix
 WINDOW, STEP, HIDDEN, WIDTH, GRAMS = 64, 48, 8, 8, 2048
 #: Lengths in bytes of the beginnings of a word that are inputs too, and the cells to which they are hashed (0: none).
 PREFIXES, PREFIX_CELLS = (4, 5, 6, 7, 8), 1 << 14
-#: Words that get a vector of their own: those in at least so many training documents, the most frequent first.
-MIN_DOCS, MAX_WORDS = 3, 20_000
+#: Words that get a vector of their own are in at least so many training documents.
+MIN_DOCS = 3
+#: One of so many shares of the labelled texts is kept back from a network; it is tried on them after so many steps each.
+HELD_BACK, TRIED = 5, 30
 
 Params = dict[str, np.ndarray]
 
@@ -170,34 +172,65 @@ def _pooled(logits: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _logistic(f: np.ndarray, y: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression of y on f, by Newton steps."""
+    beta = np.zeros(f.shape[1])
+    for _ in range(50):
+        q = _sigmoid(f @ beta)
+        h = (f * (by * q * (1 - q))[:, None]).T @ f + np.eye(f.shape[1]) * 1e-2 * by.mean()
+        beta += np.linalg.solve(h, f.T @ (by * (y - q)) - 1e-2 * by.mean() * beta)
+    return beta
+
+
+def _loss(f: np.ndarray, y: np.ndarray, by: np.ndarray, beta: np.ndarray) -> float:
+    q = np.clip(_sigmoid(f @ beta), 1e-6, 1 - 1e-6)
+    return float(-(by * np.where(y == 1, np.log(q), np.log(1 - q))).sum() / by.sum())
+
+
 class Model:
-    """Trained on whole labelled texts; scores whole texts by all their overlapping windows."""
+    """Networks trained on whole labelled texts; scores whole texts by all their overlapping windows.
 
-    def __init__(self, texts: list[str], labels: list[int], weights: list[float], steps: int = 400, batch: int = 128, seed: int = 11) -> None:
+    `networks` networks of different beginnings are trained, each on other texts: one share of HELD_BACK of each class
+    after the other is kept from the training of one of them. On these texts the steps are chosen after which it stops,
+    and the logistic function of its windows' logits is fitted to them, as a network is too sure of texts that it has
+    seen. A score is that of the mean of their logits.
+    """
+
+    def __init__(self, texts: list[str], labels: list[int], weights: list[float], steps: int = 240, batch: int = 128, seed: int = 11, networks: int = 3) -> None:
         rng = np.random.default_rng(seed)
         y, by = np.array(labels, np.float32), np.array(weights)
         total = float(by.sum())
         self.prior = float((y * by).sum() / total) if total else 0.5
-        self.vocabulary, self.params, self.final = np.zeros(0, np.uint64), None, np.zeros(3)
+        self.vocabulary, self.networks = np.zeros(0, np.uint64), []
         if len(set(labels)) < 2:
             return
         counts: dict[int, int] = {}
-        shuffled = rng.permutation(len(texts))
-        mixed = [texts[i] for i in shuffled]
-        for _, some in chunks(mixed):
+        for _, some in chunks(texts):
             w = Words(some)
             for i in range(len(some)):
                 for h in np.unique(w.hashes[int(w.doc[i]) : int(w.doc[i + 1])]).tolist():
                     counts[h] = counts.get(h, 0) + 1
-        often = sorted((h for h, n in counts.items() if n >= MIN_DOCS), key=lambda h: (-counts[h], h))[:MAX_WORDS]
-        self.vocabulary = np.sort(np.array(often, np.uint64))
+        self.vocabulary = np.sort(np.array([h for h, n in counts.items() if n >= MIN_DOCS], np.uint64))
+        share = np.empty(len(texts), np.int64)  # each class is dealt in HELD_BACK shares
+        for value in (0, 1):
+            of = np.flatnonzero(y == value)
+            share[rng.permutation(of)] = np.arange(len(of)) % HELD_BACK
+        for k in range(networks):
+            self._train(texts, y, by, share == k % HELD_BACK, steps, batch, rng)
+
+    def _train(self, texts: list[str], y: np.ndarray, by: np.ndarray, apart: np.ndarray, steps: int, batch: int, rng: np.random.Generator) -> None:
+        if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
+            apart = np.zeros(len(y), bool)  # too few texts to keep any back
+        shuffled = rng.permutation(np.flatnonzero(~apart))
         # all windows of all texts, in chunks of texts in random order
         held = []
-        for first, some in chunks(mixed):
+        for first, some in chunks([texts[i] for i in shuffled]):
             x = Inputs(some, self.vocabulary)
             label = y[shuffled[first + x.doc]]
             held.append((x, label, np.flatnonzero(label == 1), np.flatnonzero(label == 0)))
         held = [h for h in held if len(h[2]) and len(h[3])]
+        if not held:
+            return
         sizes = np.array([len(h[1]) for h in held], float)
         draw = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
         p: Params = {"word": draw(len(self.vocabulary) + 1, WIDTH, scale=0.1), "gram": draw(GRAMS, WIDTH, scale=0.1), "prefix": draw(PREFIX_CELLS, WIDTH, scale=0.05), "wa": draw(2 * HIDDEN, HIDDEN), "va": draw(HIDDEN), "wo": draw(2 * HIDDEN), "bo": np.float32(0)}
@@ -205,7 +238,10 @@ class Model:
         for d in "fb":
             p |= {"w" + d: draw(2 * WIDTH, 3 * HIDDEN), "u" + d: draw(HIDDEN, 3 * HIDDEN), "b" + d: np.zeros(3 * HIDDEN, np.float32)}
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-        for step in range(1, steps + 1) if held else ():
+        tried = texts if not apart.any() else [t for t, a in zip(texts, apart, strict=True) if a]
+        label_of, weight_of = (y, by) if not apart.any() else (y[apart], by[apart])
+        best: tuple[float, Params, np.ndarray] | None = None
+        for step in range(1, steps + 1):
             x, label, one, none = held[rng.choice(len(held), p=sizes / sizes.sum())]
             rows = np.concatenate([rng.choice(one, batch // 2), rng.choice(none, batch // 2)])
             g = _gradients(p, x, rows, label[rows], np.ones(len(rows), np.float32))
@@ -214,27 +250,26 @@ class Model:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        self.params = p
-        f = np.concatenate([self.pooled(some) for _, some in chunks(texts)])
-        f, y, by = f[f[:, 2] > 0], y[f[:, 2] > 0], by[f[:, 2] > 0]
-        beta = np.zeros(3)
-        for _ in range(50):  # Newton steps of a logistic regression on the pooled logits
-            q = _sigmoid(f @ beta)
-            h = (f * (by * q * (1 - q))[:, None]).T @ f + np.eye(3) * 1e-2 * by.mean()
-            beta += np.linalg.solve(h, f.T @ (by * (y - q)) - 1e-2 * by.mean() * beta)
-        self.final = beta
-
-    def pooled(self, texts: list[str]) -> np.ndarray:
+            if step % TRIED == 0 or step == steps:
+                f = np.concatenate([self._pooled(p, some) for _, some in chunks(tried)])
+                full = f[:, 2] > 0
+                beta = _logistic(f[full], label_of[full], weight_of[full])
+                loss = _loss(f[full], label_of[full], weight_of[full], beta)
+                if best is None or loss < best[0]:
+                    best = (loss, {k: a.copy() for k, a in p.items()}, beta)
+        self.networks.append(best[1:])
+
+    def _pooled(self, p: Params, texts: list[str]) -> np.ndarray:
         x = Inputs(texts, self.vocabulary)
-        return _pooled(window_logits(self.params, x), x.doc, len(texts))
+        return _pooled(window_logits(p, x), x.doc, len(texts))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
-        if self.params is None:
-            return out
-        for first, some in chunks(texts):
-            f = self.pooled(some)
-            out[first : first + len(some)] = np.where(f[:, 2] > 0, _sigmoid(f @ self.final), self.prior)
+        for first, some in chunks(texts) if self.networks else ():
+            x = Inputs(some, self.vocabulary)
+            pooled = [_pooled(window_logits(p, x), x.doc, len(some)) for p, _ in self.networks]
+            logit = np.mean([f @ beta for f, (_, beta) in zip(pooled, self.networks, strict=True)], axis=0)
+            out[first : first + len(some)] = np.where(pooled[0][:, 2] > 0, _sigmoid(logit), self.prior)
         return out
 
 

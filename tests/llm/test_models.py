@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -18,20 +19,32 @@ SF = "/root/testdata/sf0.1"
 
 
 def _accuracy(spark, name, label):
+    """Of the held-out fold the share that is predicted right, and that of the documents of label 1."""
     got = entry.queries()[name](spark, SF)
     held = got.where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
-    r = held.agg(F.avg((F.col("predicted") == F.col(label)).cast("int")).alias("a"), F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    right = (F.col("predicted") == F.col(label)).cast("int")
+    r = held.agg(F.avg(right).alias("a"), F.avg(F.when(F.col(label) == 1, right)).alias("recall"), F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     assert r.n > 800 and 0 <= r.lo and r.hi <= 1
-    return r.a
+    return r.a, r.recall
 
 
 def test_toxicity_on_the_held_out_fold(spark):
     # 0.88 of the labels are 0
-    assert _accuracy(spark, "op3_toxicity", "toxic") >= 0.95
+    right, recall = _accuracy(spark, "op3_toxicity", "toxic")
+    assert right >= 0.97 and recall >= 0.85
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_toxicity_does_not_hang_on_a_seed(spark, seed):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = Model(*training_sample(docs, labels, "toxic", fold(5) != 0, 1500), seed=seed)
+    held = labels.where((fold(5) == 0) & F.col("toxic").isNotNull()).join(docs, "doc_id").select("text", "toxic").collect()
+    called, toxic = model.scores([r.text for r in held]) >= 0.5, np.array([r.toxic == 1 for r in held])
+    assert (called == toxic).mean() >= 0.97 and called[toxic].mean() >= 0.85
 
 
 def test_quality_on_the_held_out_fold(spark):
-    assert _accuracy(spark, "op9_quality", "quality") >= 0.97
+    assert _accuracy(spark, "op9_quality", "quality")[0] >= 0.97
 
 
 def test_folds_are_crc32(spark):
@@ -48,6 +61,8 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     assert len(texts) == 80 and sum(y) == 40 and all(v > 1 for v in w)
     held = {f"text {r.doc_id}" for r in docs.where(fold(5) == 0).collect()}
     assert not held & set(texts)
+    few, z, _ = training_sample(docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.repeat("text", 1000)).otherwise(F.col("text"))), labels, "toxic", fold(5) != 0, 40, most_bytes=200)
+    assert {0, 1} == set(z) and all(sum(len(t) for t, v in zip(few, z) if v == c) <= 200 for c in (0, 1)) and not any(len(t) > 200 for t in few)
 
 
 def test_scores_of_hard_rows(spark):
@@ -64,9 +79,9 @@ def test_scores_of_hard_rows(spark):
 
 def test_gradients_of_the_network():
     texts = ["alpha beta gamma idiot delta", "one two three four five six seven", "x"] * 3
-    model = Model(texts, [1, 0, 0] * 3, [1.0] * 9, steps=2, batch=4)
+    model = Model(texts, [1, 0, 0] * 3, [1.0] * 9, steps=2, batch=4, networks=1)
     x = Inputs(texts, model.vocabulary)
-    p = {k: np.array(v, np.float64) for k, v in model.params.items()}
+    p = {k: np.array(v, np.float64) for k, v in model.networks[0][0].items()}
     label, rows = np.array([1, 0, 0] * 3, np.float64)[x.doc], np.arange(len(x.windows))
     got = toxicity._gradients({k: v.astype(np.float32) for k, v in p.items()}, x, rows, label, np.ones(len(rows), np.float32))
 
@@ -134,14 +149,16 @@ def test_scores_against_a_plain_loop_over_windows():
     from tests.llm.fixtures import prose
 
     texts = [f"{prose(i, 20 + 37 * i, 200)} {'idiot clown' if i % 2 else ''}" for i in range(12)]
-    model = Model(texts, [i % 2 for i in range(12)], [1.0] * 12, steps=20)
+    model = Model(texts, [i % 2 for i in range(12)], [1.0] * 12, steps=20, networks=2)
     for text, score in zip(texts, model.scores(texts), strict=True):
         w = Words([text])
-        words, logits = [w.word(i) for i in range(len(w.hashes))], []
-        for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
-            logits.append(float(toxicity.window_logits(model.params, Inputs([" ".join(words[at : at + toxicity.WINDOW])], model.vocabulary))[0]))
-        plain = 1 / (1 + np.exp(-(np.array([max(logits), np.mean(logits), 1]) @ model.final)))
-        assert abs(plain - score) < 1e-4
+        words, total = [w.word(i) for i in range(len(w.hashes))], 0.0
+        for params, final in model.networks:
+            logits = []
+            for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+                logits.append(float(toxicity.window_logits(params, Inputs([" ".join(words[at : at + toxicity.WINDOW])], model.vocabulary))[0]))
+            total += np.array([max(logits), np.mean(logits), 1]) @ final
+        assert abs(1 / (1 + np.exp(-total / len(model.networks))) - score) < 1e-4
 
 
 def test_votes_against_a_plain_count():
