@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import json
 import tomllib
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +49,42 @@ def _each(parse):
     return run
 
 
+def lock_packages(text: str) -> list[tuple[str, str]]:
+    """(name, version) of a package-lock file, each name once, as it is first met: in its flat list, where a name is what
+    follows the last folder of packages, and then in its nested one, a package before those inside it."""
+    try:
+        data = json.loads(text)
+    except (json.JSONDecodeError, RecursionError):
+        return []
+    entries = lambda node, key: list(node[key].items()) if isinstance(node, dict) and isinstance(node.get(key), dict) else []
+    found: dict[str, str] = {}
+    flat = [(path.rpartition("node_modules/")[2], meta) for path, meta in entries(data, "packages") if "node_modules/" in path]
+    for name, meta in flat:
+        if name and isinstance(meta, dict) and isinstance(meta.get("version"), str):
+            found.setdefault(name, meta["version"])
+    waiting = entries(data, "dependencies")[::-1]
+    while waiting:
+        name, meta = waiting.pop()
+        if isinstance(meta, dict) and isinstance(meta.get("version"), str):
+            found.setdefault(name, meta["version"])
+        waiting += entries(meta, "dependencies")[::-1]
+    return list(found.items())
+
+
+def locked_packages(files: DataFrame) -> DataFrame:
+    """(repo, path, place, name, version) of the package-lock files among files (repo, path, text): a row for each package of a file."""
+    locks = files.where(F.element_at(F.split("path", "/"), -1) == "package-lock.json").select("repo", "path", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for repo, path, text in batch.itertuples(index=False):
+                rows = [(repo, path, k, *p) for k, p in enumerate(lock_packages(text or ""))]
+                yield pd.DataFrame(rows, columns=["repo", "path", "place", "name", "version"])
+
+    repo = files.schema["repo"].dataType.simpleString()
+    return locks.mapInPandas(run, f"repo {repo}, path string, place int, name string, version string")
+
+
 _MAP = T.MapType(T.StringType(), T.StringType())
 
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from findlake.functions.blanking import with_code
 
 #: A line ends at any of these; the pair counts once.
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-_HASH_COMMENTS = ("python", "ruby", "shell")
 
 
 def split_lines(text: Column) -> Column:
@@ -30,57 +27,17 @@ def context(lines: Column, line: Column, before: int, after: int) -> Column:
     return F.array_join(F.slice(lines, first, line + after - first + 1), "\n")
 
 
-def blank_line(line: str, marks: tuple[str, bool], state: list) -> str:
-    """The line with comments and string contents as spaces; state is [in block comment, open quote] and goes on to the next line."""
-    comment, blocks = marks
-    out, i, n = [], 0, len(line)
-    while i < n:
-        two = line[i : i + 2]
-        if state[0]:
-            closes = two == "*/"
-            state[0] = not closes
-            out.append("  " if closes else " ")
-            i += 1 + closes
-        elif state[1]:
-            escaped = line[i] == "\\"
-            closes = not escaped and line[i] == state[1]
-            out.append("  " if escaped else line[i] if closes else " ")
-            state[1] = None if closes else state[1]
-            i += 1 + escaped
-        elif blocks and two == "/*":
-            state[0] = True
-            out.append("  ")
-            i += 2
-        elif line.startswith(comment, i):
-            out.append(" " * (n - i))
-            break
-        else:
-            if line[i] in "\"'`":
-                state[1] = line[i]
-            out.append(line[i])
-            i += 1
-    return "".join(out)
-
-
-def blanked(lines: list[str], language: str | None) -> list[str]:
-    marks = ("#", False) if language in _HASH_COMMENTS else ("//", True)
-    state: list = [False, None]
-    return [blank_line(line, marks, state) for line in lines]
+def with_raw(files: DataFrame) -> DataFrame:
+    """files with raw, their lines, in place of their text. A null text has no lines."""
+    return files.withColumn("raw", F.coalesce(split_lines(F.col("text")), F.array().cast("array<string>"))).drop("text")
 
 
 def with_lines(files: DataFrame) -> DataFrame:
-    """files with raw and code: their lines, and the same with comments and strings blanked. A null text has no lines.
+    """files with raw and code: their lines, and the same with comments and strings blanked.
 
     Whether a character is code depends on all before it, so this is a batch function over whole files; everything
     after it is built-in functions on the two arrays."""
-    split = files.withColumn("raw", F.coalesce(split_lines(F.col("text")), F.array().cast("array<string>"))).drop("text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["code"] = [blanked(list(raw), language) for raw, language in zip(batch["raw"], batch["language"], strict=True)]
-            yield batch
-
-    return split.mapInPandas(run, T.StructType([*split.schema.fields, T.StructField("code", T.ArrayType(T.StringType()))]))
+    return with_code(with_raw(files))
 
 
 def clamp(text: Column, lines: int, characters: int, marker: str = "\n… (truncated)") -> Column:

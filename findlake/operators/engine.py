@@ -1,5 +1,5 @@
-"""From source files to reports: all rules whose gate is open, over lines that are blanked once; then order, truncation,
-scores, summary and export. Every step covers all repositories of a table in one plan."""
+"""From source files to reports: one scan by all rules, then gates, caps, order, truncation, scores, summary and export.
+Every step covers all repositories of a table in one plan."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findlake.functions.ids import finding_id, fingerprint
-from findlake.functions.text import with_lines
+from findlake.functions.text import with_raw
 from findlake.operators import dependencies, rules, scoring
 from findlake.operators.facts import project_facts
+from findlake.operators.guards import manifest_lines
 from findlake.sources import sarif
 from findlake.sources.folders import written
 
@@ -76,21 +77,40 @@ def known_vulnerabilities(packages: DataFrame, advisories: DataFrame) -> DataFra
     return hits.select("repo", rule.alias("rule_id"), F.lit("dependencies").alias("category"), "severity", confidence.alias("confidence"), "file", F.col("line").cast("int").alias("line"), fingerprint(rule, F.col("file"), F.col("line"), F.col("name")).alias("fingerprint"))
 
 
+def advisory_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Findings about the packages that files declare or lock, by the ranges of advisories that hold their versions; with
+    package, version, description, fixed and references. A declared package is placed at its line of the manifest."""
+    packages = written(dependencies.packages_in(files), "packages")
+    hits = dependencies.advised(packages, advisories)
+    name = F.element_at(F.split("path", "/"), -1)
+    preferred = F.when(name == "package.json", "npm").when(name.isin(*rules.PYTHON_MANIFESTS), "PyPI")
+    rank = F.struct(F.array_position(F.array(*map(F.lit, rules.PYTHON_MANIFESTS)), name), F.split("path", "/"))
+    manifests = files.withColumn("ecosystem", preferred).where("ecosystem is not null").groupBy("repo", "ecosystem").agg(F.min_by(F.struct("path", "text"), rank).alias("m")).select("repo", "ecosystem", "m.*")
+    at = hits.where("direct").join(manifests, ["repo", "ecosystem"]).select(F.struct("repo", "path").alias("manifest"), "repo", "ecosystem", "path", "text", F.col("name").alias("package"))
+    lines = manifest_lines(at.select("manifest", "path", "text").dropDuplicates(["manifest"]), at).select(F.col("manifest.repo").alias("repo"), F.col("manifest.path").alias("file"), F.col("package").alias("name"), "line")
+    placed = hits.join(manifests.select("repo", "ecosystem", F.col("path").alias("file")), ["repo", "ecosystem"], "left").withColumn("file", F.when(F.col("direct"), F.col("file"))).join(lines, ["repo", "file", "name"], "left")
+    rule, confidence = F.lit("dep/known-vulnerability"), F.when(F.col("from_lockfile"), "high").otherwise("medium")
+    return placed.select(
+        "repo", rule.alias("rule_id"), F.lit("dependencies").alias("category"), "severity", confidence.alias("confidence"), "file", F.col("line").cast("int").alias("line"), fingerprint(rule, F.col("file"), F.col("line"), F.col("name")).alias("fingerprint"),
+        F.col("name").alias("package"), "version", "n", "fixed", "references", "description",
+    )
+
+
 def _text(part: int) -> Column:
     return scoring.lookup("rule_id", {rule: texts[part] for rule, texts in TEXTS.items()})
 
 
-def findings(files: DataFrame, packages: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
+def findings(files: DataFrame, packages: DataFrame | None = None, advisories: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """All findings in files (repo, path, language, text), with id, title and remediation.
 
-    Lines are blanked once and written, so each rule reads only the columns that it needs. Advisories are looked up if
-    packages and advisories are given. Files without text have no lines; an empty table gives no findings."""
+    Texts are read twice: for facts, and by the one scan of all rules. With `ranges`, advisories by version as of
+    `dependencies.affected`, what the files declare and lock is looked up; with packages and advisories, these by name. Files without text have no lines; an empty table gives no findings."""
     facts = written(project_facts(files), "facts")
-    lines = written(with_lines(files), "lines")
-    found = [rules.run_rule(rule, lines, facts).select(*COLUMNS) for rule in rules.RULES]
-    found.append(_lacking(files, facts))
+    found = [rules.run_rules(with_raw(files), facts).select(*COLUMNS), _lacking(files, facts)]
     if packages is not None and advisories is not None:
         found.append(known_vulnerabilities(packages, advisories).select(*COLUMNS))
+    if ranges is not None:
+        found.append(advisory_findings(files, ranges).select(*COLUMNS))
     titled = reduce(DataFrame.unionByName, found).withColumns({"title": _text(0), "remediation": _text(1)})
     return titled.withColumn("id", finding_id(F.col("rule_id"), F.col("file"), F.col("line"), F.col("title")))
 

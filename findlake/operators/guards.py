@@ -99,11 +99,13 @@ def routed(codes: Column) -> Column:
     return F.struct(result.alias("result"), F.when(ended, at).otherwise(F.size(codes)).cast("int").alias("tried"))
 
 
-def joined_summaries(parts: Column, limit: int = 400) -> Column:
-    """Sentences ended and joined; beyond the limit cut at a word, with an ellipsis."""
-    joined = F.array_join(F.transform(parts, lambda t: F.when(F.substring(t, -1, 1).isin(".", "!", "?"), t).otherwise(F.concat(t, F.lit(".")))), " ")
-    cut = F.concat(F.regexp_replace(F.substring(joined, 1, limit - 1), r"\s+\S*\z", ""), F.lit("…"))
-    return F.when(F.length(joined) > limit, cut).otherwise(joined)
+def joined_summaries(parts: Column, limit: int = 400, most: int = 3) -> Column:
+    """The first `most` sentences that are not blank, ended and joined; what is longer than the limit is cut there, and
+    back to the last blank, with an ellipsis for what went and for a comma, semicolon or colon before it."""
+    said = F.slice(F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != ""), 1, most)
+    joined = F.array_join(F.transform(said, lambda t: F.when(F.substring(t, -1, 1).isin(".", "!", "?"), t).otherwise(F.concat(t, F.lit(".")))), " ")
+    cut = F.regexp_replace(F.regexp_replace(F.substring(joined, 1, limit), r" [^ ]*\z", ""), r"[,;:]+\z", "")
+    return F.when(F.length(joined) > limit, F.concat(cut, F.lit("…"))).otherwise(joined)
 
 
 def manifest_lines(manifests: DataFrame, wanted: DataFrame) -> DataFrame:

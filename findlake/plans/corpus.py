@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlake.functions.text import with_lines
+from findlake.functions.text import with_raw
 from findlake.operators.facts import project_facts
 from findlake.plans.bindings import table
+from findlake.schemas import SEVERITIES
 
 _LONG = "".join(f"    total += step{i}\n" for i in range(90))
 _NEST = "function deep() {\n" + "".join("  " * i + f"if (a{i}) {{\n" for i in range(1, 6)) + "}}}}}\n}\n"
@@ -128,6 +129,22 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.union(more).union(bare)
 
 
+def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of advisories about two packages that the derived repositories declare, one for each supplier."""
+    s = F.col("s_suppkey")
+    severity = F.element_at(F.array(*map(F.lit, SEVERITIES)), (F.col("s_nationkey") % len(SEVERITIES) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select(
+        F.lit("npm").alias("ecosystem"),
+        F.when(s % 2 == 0, "react").otherwise("react-dom").alias("name"),
+        F.concat(F.lit("ADV-"), F.lpad(s.cast("string"), 8, "0")).alias("id"),
+        severity.alias("severity"),
+        F.concat(s % 19, F.lit(".0.0")).alias("introduced"),
+        F.when(s % 3 > 0, F.concat(s % 19 + 4, F.lit(".0.0"))).alias("fixed"),
+        F.concat(F.lit("Problem "), s).alias("summary"),
+        F.array().cast("array<string>").alias("aliases"),
+    )
+
+
 def lines_and_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = source_files(spark, sf_dir)
-    return with_lines(files), project_facts(files)
+    return with_raw(files), project_facts(files)

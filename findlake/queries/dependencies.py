@@ -74,6 +74,50 @@ def vulnerability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.vulnerable(_packages(spark, sf_dir), _advisories(spark, sf_dir))
 
 
+# Forty repositories that declare and lock up to nine hundred packages, and three ranges of advisories for each supplier.
+_BY_VERSION = """lines AS (SELECT l_orderkey % 40 AS repo, l_linenumber AS k, l_partkey % 900 AS p, CAST(l_quantity AS INT) % 20 AS q, l_suppkey % 7 AS s FROM lineitem),
+direct AS (SELECT repo, concat('pkg-', p) AS name, min(q) AS a, min(s) AS b, count(*) % 2 = 0 AS from_lockfile FROM lines WHERE k = 3 GROUP BY ALL),
+locked AS (SELECT repo, concat('pkg-', p * 7 % 900) AS name, min(q) AS a, min(s) AS b, min(p) AS place FROM lines WHERE k < 3 GROUP BY ALL),
+counted AS (SELECT repo, count(*) AS n FROM direct GROUP BY repo),
+fill AS (SELECT repo, name, a, b, row_number() OVER (PARTITION BY repo ORDER BY place, name) AS k FROM locked ANTI JOIN direct USING (repo, name)),
+asked AS (SELECT repo, name, a, b, true AS direct, from_lockfile FROM direct UNION ALL SELECT repo, name, a, b, false, true FROM fill LEFT JOIN counted USING (repo) WHERE k <= 400 - coalesce(n, 0)),
+adv AS (SELECT concat('pkg-', (s_suppkey * 13 + j * 50) % 900) AS name, concat('ADV-', s_suppkey % 50, '-', j) AS id, (s_nationkey + j) % 5 AS rank, 3 * j AS since, CASE WHEN s_suppkey % 4 > 0 THEN 3 * j + 9 END AS until, CASE WHEN s_suppkey % 2 = 1 THEN concat('CVE-', s_suppkey % 30) END AS alias,
+  CASE s_suppkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN repeat(concat('long text, of ', s_suppkey, '; '), 12) WHEN 2 THEN 'Stop!' ELSE concat('Problem ', s_suppkey % 9) END AS summary FROM supplier, (VALUES (0), (1), (2)) v(j)),
+held AS (SELECT DISTINCT repo, name, direct, id, rank, until, alias, summary FROM asked JOIN adv USING (name) WHERE (since < a OR (since = a)) AND (until IS NULL OR a < until OR (a = until AND b < 2))),
+one AS (SELECT repo, name, direct, id, min(rank) AS rank, min(CASE WHEN until IS NOT NULL THEN concat(until, '.2.0') END) AS fixed, min(summary) AS summary, min(alias) AS alias FROM held GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY id) AS k FROM one),
+rolled AS (SELECT repo, name, direct, count(*) AS n, min(rank) FILTER (k <= 8) AS worst, min_by(fixed, k) FILTER (k <= 8 AND fixed IS NOT NULL) AS fixed,
+  list(coalesce(alias, id) ORDER BY k) FILTER (k <= 8) AS names, list(trim(summary) ORDER BY k) FILTER (k <= 8 AND trim(summary) <> '') AS said, string_agg(concat('https://osv.dev/vulnerability/', id), ' ' ORDER BY k) FILTER (k <= 8) AS refs FROM numbered GROUP BY ALL),
+texts AS (SELECT *, list_filter(names, lambda x, i: list_position(names, x) = i) AS shown, array_to_string(list_transform(coalesce(list_filter(said, lambda x, i: list_position(said, x) = i), [])[1:3], lambda t: CASE WHEN t[-1] IN ('.', '!', '?') THEN t ELSE concat(t, '.') END), ' ') AS text FROM rolled)"""
+
+
+@query(
+    "f063_advisories_by_version",
+    f"""WITH {_BY_VERSION} SELECT repo, name, direct, n, (['critical','high','medium','low','info'])[1 + CASE WHEN direct THEN worst ELSE least(worst + 1, 4) END] AS severity, fixed, coalesce(refs, '') AS refs,
+concat(array_to_string(shown[1:6], ', '), CASE WHEN direct THEN '' ELSE ' (pulled in transitively)' END, '. ', CASE WHEN text = '' THEN 'See the advisories for detail.' WHEN length(text) > 400 THEN concat(rtrim(regexp_replace(text[1:400], ' [^ ]*$', ''), ',;:'), '…') ELSE text END) AS description FROM texts WHERE direct OR worst <= 1""",
+)
+def advisories_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages at versions that advisories hold: direct ones, and transitive ones up to 400 of a repository, with what is said about them."""
+    p, k = F.col("l_partkey") % 900, F.col("l_linenumber")
+    lines = b.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("repo"), k.alias("k"), p.alias("p"), (F.col("l_quantity").cast("int") % 20).alias("q"), (F.col("l_suppkey") % 7).alias("s"))
+    version = lambda: F.concat_ws(".", F.min("q").cast("string"), F.min("s").cast("string"), F.lit("0"))
+    direct = lines.where("k = 3").groupBy("repo", F.concat(F.lit("pkg-"), "p").alias("name")).agg(version().alias("version"), (F.count("*") % 2 == 0).alias("from_lockfile")).withColumn("ecosystem", F.lit("npm"))
+    locked = lines.where("k < 3").groupBy("repo", F.concat(F.lit("pkg-"), F.col("p") * 7 % 900).alias("name")).agg(version().alias("version"), F.min("p").alias("place"))
+    s, j = F.col("s_suppkey"), F.col("j")
+    adv = b.table(spark, sf_dir, "supplier").withColumn("j", F.explode(F.array(*map(F.lit, range(3))))).select(
+        F.lit("npm").alias("ecosystem"),
+        F.concat(F.lit("pkg-"), (s * 13 + j * 50) % 900).alias("name"),
+        F.concat(F.lit("ADV-"), s % 50, F.lit("-"), j).alias("id"),
+        F.element_at(F.array(*[F.lit(x) for x in ("critical", "high", "medium", "low", "info")]), ((F.col("s_nationkey") + j) % 5 + 1).cast("int")).alias("severity"),
+        F.concat(j * 3, F.lit(".0")).alias("introduced"),
+        F.when(s % 4 > 0, F.concat(j * 3 + 9, F.lit(".2.0"))).alias("fixed"),
+        F.when(s % 5 == 0, " ").when(s % 5 == 1, F.repeat(F.concat(F.lit("long text, of "), s, F.lit("; ")), 12)).when(s % 5 == 2, "Stop!").otherwise(F.concat(F.lit("Problem "), s % 9)).alias("summary"),
+        F.when(s % 2 == 1, F.array(F.concat(F.lit("CVE-"), s % 30))).alias("aliases"),
+    )
+    found = deps.advised(deps.looked_up(direct, locked), adv)
+    return found.select("repo", "name", "direct", "n", "severity", "fixed", F.array_join("references", " ").alias("refs"), "description")
+
+
 @query("f050_vulnerability_ids", f"WITH {_PACKAGES}, a AS (SELECT ecosystem, name, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM advisories GROUP BY ALL) SELECT repo, name, coalesce(ids, '') AS ids FROM packages LEFT JOIN a USING (ecosystem, name)")
 def vulnerability_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _advisories(spark, sf_dir).groupBy("ecosystem", "name").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
@@ -148,6 +192,26 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("repo", F.explode("m.dependencies").alias("name", "spec"))
 
 
+_LOCK = """concat('{"packages":{"":{"version":"0"},"node_modules/outer/node_modules/pkg', p_partkey % 7, '":{"version":"', p_size, '.0.0"}},"dependencies":{"pkg', p_partkey % 5, '":{"version":"1.', p_partkey, '.0","dependencies":{"pkg', p_partkey % 7, '":{"version":"2.0.0"},"deep', p_partkey % 3, '":{"version":"3.0.0","dependencies":{"pkg', p_partkey % 11, '":{"version":"4.0.', p_partkey, '"},"deep', p_partkey % 3, '":{"version":"5.0.0"}}}}},"last":{"resolved":"x"}}}')"""
+
+
+@query(
+    "f101_lockfile_packages",
+    f"""WITH RECURSIVE files AS (SELECT p_partkey AS repo, {_LOCK} AS text FROM part),
+flat AS (SELECT repo, string_split(k, 'node_modules/')[-1] AS name, json_extract_string(text, concat('$.packages."', k, '".version')) AS version, [0] AS spot FROM (SELECT repo, text, unnest(json_keys(text, '$.packages')) AS k FROM files) WHERE contains(k, 'node_modules/')),
+walk AS (SELECT repo, k AS name, json_extract(text, concat('$.dependencies."', k, '"')) AS node, [1, i] AS spot FROM (SELECT repo, text, unnest(json_keys(text, '$.dependencies')) AS k, generate_subscripts(json_keys(text, '$.dependencies'), 1) AS i FROM files)
+  UNION ALL SELECT repo, k, json_extract(node, concat('$.dependencies."', k, '"')), list_append(spot, i) FROM (SELECT repo, node, spot, unnest(json_keys(node, '$.dependencies')) AS k, generate_subscripts(json_keys(node, '$.dependencies'), 1) AS i FROM walk WHERE json_exists(node, '$.dependencies'))),
+every AS (SELECT * FROM flat UNION ALL SELECT repo, name, json_extract_string(node, '$.version'), spot FROM walk)
+SELECT repo, name, min_by(version, spot) AS version FROM every WHERE version IS NOT NULL GROUP BY repo, name""",
+)
+def lockfile_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of lock files with a flat list and a nested one, each name as it is first met."""
+    from findlake.functions.manifests import locked_packages
+
+    files = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("repo"), F.lit("package-lock.json").alias("path"), F.expr(_LOCK).alias("text"))
+    return locked_packages(files).select("repo", "name", "version")
+
+
 @query("f105_worst_severity", f"WITH {_ADVISORIES} SELECT ecosystem, name, (['critical','high','medium','low','info'])[1 + min({_RANK})] AS worst, (['critical','high','medium','low','info'])[1 + least(min({_RANK}) + 1, 4)] AS downgraded FROM advisories GROUP BY ALL")
 def worst_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.operators.scoring import severity_rank

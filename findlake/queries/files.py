@@ -237,10 +237,13 @@ def output_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", reason.alias("reason"))
 
 
-@query("f104_join_summaries", "WITH s AS (SELECT conv_id, array_to_string(list(CASE WHEN text[-1] IN ('.', '!', '?') THEN text ELSE concat(text, '.') END ORDER BY turn), ' ') AS joined FROM conversations WHERE turn < 3 GROUP BY conv_id) SELECT conv_id, CASE WHEN length(joined) > 400 THEN concat(regexp_replace(joined[1:399], '\\s+\\S*$', ''), '…') ELSE joined END AS summary FROM s")
+@query(
+    "f104_join_summaries",
+    "WITH s AS (SELECT conv_id, array_to_string(list_transform((list(trim(text) ORDER BY turn, text) FILTER (trim(text) <> ''))[1:3], lambda t: CASE WHEN t[-1] IN ('.', '!', '?') THEN t ELSE concat(t, '.') END), ' ') AS joined FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN length(joined) > 400 THEN concat(rtrim(regexp_replace(joined[1:400], ' [^ ]*$', ''), ',;:'), '…') ELSE coalesce(joined, '') END AS summary FROM s",
+)
 def join_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three turns with their sentences ended, cut at a word."""
-    end = F.when(F.substring("text", -1, 1).isin(".", "!", "?"), F.col("text")).otherwise(F.concat("text", F.lit(".")))
-    j = b.table(spark, sf_dir, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", end.alias("t")))), lambda x: x["t"]), " ").alias("joined"))
-    cut = F.concat(F.regexp_replace(F.substring("joined", 1, 399), r"\s+\S*\z", ""), F.lit("…"))
-    return j.select("conv_id", F.when(F.length("joined") > 400, cut).otherwise(F.col("joined")).alias("summary"))
+    """The first three turns that say something, with their sentences ended, cut at a word."""
+    from findlake.operators.guards import joined_summaries
+
+    turns = b.table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("conv_id", joined_summaries(F.transform("t", lambda x: x["text"])).alias("summary"))

@@ -139,11 +139,11 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f104_part_summaries",
-    "SELECT l_orderkey, CASE WHEN length(j) > 120 THEN concat(regexp_replace(j[1:119], '\\s+\\S*$', ''), '…') ELSE j END AS summary FROM (SELECT l_orderkey, string_agg(concat('Line ', l_linenumber, ' holds part ', l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN '!' ELSE '.' END), ' ' ORDER BY l_linenumber, l_partkey) AS j FROM lineitem GROUP BY l_orderkey)",
+    "SELECT l_orderkey, CASE WHEN length(j) > 120 THEN concat(rtrim(regexp_replace(j[1:120], ' [^ ]*$', ''), ',;:'), '…') ELSE j END AS summary FROM (SELECT l_orderkey, string_agg(concat('Line ', l_linenumber, ' holds part ', l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN '!' ELSE '.' END), ' ' ORDER BY l_linenumber, l_partkey) AS j FROM lineitem GROUP BY l_orderkey)",
 )
 def part_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of an order's lines, every second of which has its end already, within 120 characters."""
     said = F.concat(F.lit("Line "), "l_linenumber", F.lit(" holds part "), "l_partkey", F.when(F.col("l_linenumber") % 2 == 0, "!").otherwise(""))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", said.alias("said")))), lambda x: x["said"])
     grouped = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(parts.alias("parts"))
-    return grouped.select("l_orderkey", guards.joined_summaries(F.col("parts"), 120).alias("summary"))
+    return grouped.select("l_orderkey", guards.joined_summaries(F.col("parts"), 120, most=7).alias("summary"))

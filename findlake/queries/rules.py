@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ def _rule_query(name: str, rule: rules.Rule) -> None:
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files, facts = corpus.lines_and_facts(spark, sf_dir)
-        return rules.run_rule(rule, files, facts).select("repo", "file", "line", "severity", "confidence")
+        return rules.run_rules(files, facts, (rule,)).select("repo", "file", "line", "severity", "confidence")
 
     run.__doc__ = f"Findings of {rule.id}."
 
@@ -86,6 +85,18 @@ for _m in _MISSING:
     _missing_query(*_m)
 
 
+_ADVISED = """adv AS (SELECT CASE s_suppkey % 2 WHEN 0 THEN 'react' ELSE 'react-dom' END AS name, concat('ADV-', lpad(CAST(s_suppkey AS VARCHAR), 8, '0')) AS id, s_nationkey % 5 AS rank, s_suppkey % 19 AS since, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 19 + 4 END AS until FROM supplier),
+held AS (SELECT name, id, rank, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM adv JOIN (VALUES ('react', 19), ('react-dom', 18)) v(name, major) USING (name) WHERE since <= major AND (until IS NULL OR major < until)),
+worst AS (SELECT name, (['critical', 'high', 'medium', 'low', 'info'])[1 + min(rank)] AS severity FROM held WHERE k <= 8 GROUP BY name)"""
+
+
+@query("r06_known_vulnerability", f"WITH {_ADVISED} SELECT DISTINCT p_brand AS repo, name AS package, 'package.json' AS file, CAST(NULL AS INT) AS line, severity, 'medium' AS confidence FROM part, worst WHERE {_NUMBER} % 5 <> 0")
+def known_vulnerability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages that the manifests of the derived repositories declare at a version that an advisory holds."""
+    found = engine.advisory_findings(corpus.source_files(spark, sf_dir), corpus.advisories(spark, sf_dir))
+    return found.select("repo", "package", "file", "line", "severity", "confidence")
+
+
 @query("f065_project_facts", f"WITH {_REPOS}, {_TESTED} SELECT repo, coalesce(n % 5 <> 0, false) AS is_node, coalesce(n % 5 <> 0, false) AS is_react, repo IN (SELECT repo FROM tested) AS has_tests, coalesce(n % 3 = 0, false) AS has_ci, coalesce(n % 6 = 0, false) AS has_lockfile, coalesce(n % 2 = 0, false) AS has_readme FROM repos")
 def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_of.project_facts(corpus.source_files(spark, sf_dir)).select("repo", "is_node", "is_react", "has_tests", "has_ci", "has_lockfile", "has_readme")
@@ -99,8 +110,7 @@ def react_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf_dir: str, some: Sequence[rules.Rule]) -> DataFrame:
     files, facts = corpus.lines_and_facts(spark, sf_dir)
-    found = reduce(DataFrame.union, [rules.run_rule(rule, files, facts).select("repo", "rule_id") for rule in some])
-    return found.groupBy("repo", "rule_id").agg(F.count("*").alias("n"))
+    return rules.run_rules(files, facts, some).groupBy("repo", "rule_id").agg(F.count("*").alias("n"))
 
 
 _EVERY = " UNION ALL ".join(f"SELECT repo, '{rule.id}' AS rule_id, count(*) AS n FROM ({ORACLE_SQL[name]}) GROUP BY repo" for name, rule in _NAMED.items())
@@ -119,23 +129,27 @@ def _quoted(text: str) -> str:
 _TITLES = "titles(rule_id, title) AS (VALUES " + ", ".join(f"('{rule}', {_quoted(title)})" for rule, (title, _) in engine.TEXTS.items()) + ")"
 _PLACED = " UNION ALL ".join(
     [f"SELECT repo, '{rule.id}' AS rule_id, '{rule.category}' AS category, severity, confidence, file, line FROM ({ORACLE_SQL[name]})" for name, rule in _NAMED.items()]
+    + [f"SELECT repo, 'dep/known-vulnerability' AS rule_id, 'dependencies' AS category, severity, confidence, file, line FROM ({ORACLE_SQL['r06_known_vulnerability']})"]
     + [f"SELECT repo, '{rule}' AS rule_id, '{engine.LACKS[rule]}' AS category, severity, confidence, NULL AS file, NULL AS line FROM ({ORACLE_SQL[name]})" for name, rule, *_ in _MISSING]
 )
 _SOURCE = f"""{_TITLES}, found AS (SELECT * FROM ({_PLACED}) JOIN titles USING (rule_id)),
 findings AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {reports._PRIORITY} DESC, {reports._RANK}, coalesce(file, ''), coalesce(line, 0), rule_id) AS place, {reports._PRIORITY} AS priority FROM found QUALIFY place <= 500)"""
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.findings(corpus.source_files(spark, sf_dir), ranges=corpus.advisories(spark, sf_dir))
+
+
 @query("f045_all_rules", f"SELECT repo, rule_id, count(*) AS n FROM ({_PLACED}) GROUP BY ALL")
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by repository of the whole registry, with the rules about what a repository lacks."""
-    return engine.findings(corpus.source_files(spark, sf_dir)).groupBy("repo", "rule_id").agg(F.count("*").alias("n"))
+    return _found(spark, sf_dir).groupBy("repo", "rule_id").agg(F.count("*").alias("n"))
 
 
 @query("f017_source_findings", f"WITH {_SOURCE} SELECT repo, place, priority, rule_id, category, severity, confidence, file, line, title FROM findings")
 def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every rule finds in all source files, in the order of the reports."""
-    found = engine.findings(corpus.source_files(spark, sf_dir))
-    return engine.scoring.truncated(found).select("repo", "place", "priority", "rule_id", "category", "severity", "confidence", "file", "line", "title")
+    return engine.scoring.truncated(_found(spark, sf_dir)).select("repo", "place", "priority", "rule_id", "category", "severity", "confidence", "file", "line", "title")
 
 
 _FILE_COUNTS = "all_files AS (SELECT repo, count(*) AS files FROM (SELECT p_brand AS repo FROM part UNION ALL " + " UNION ALL ".join(f"SELECT DISTINCT p_brand FROM part WHERE {_NUMBER} % {abs(by)} {'<>' if by < 0 else '='} 0" for *_, by in corpus.MANIFESTS) + " UNION ALL SELECT concat('supplier', s_suppkey) FROM supplier) GROUP BY repo)"
@@ -157,5 +171,5 @@ FROM valued v JOIN all_files USING (repo) LEFT JOIN lead USING (repo) LEFT JOIN
 def source_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run: source files to findings, scores, grades and summaries of every repository."""
     files = corpus.source_files(spark, sf_dir)
-    made = engine.reports(files, engine.findings(files))
+    made = engine.reports(files, _found(spark, sf_dir))
     return made.select("repo", "files", "total", "score", "grade", "cap", *engine.scoring.SEVERITIES, "lead_title", "lead_file", "summary")

@@ -10,7 +10,7 @@ import zipfile
 import pytest
 
 from findlake.functions.paths import rejection
-from findlake.functions.text import with_lines
+from findlake.functions.text import with_raw
 from findlake.operators import engine, rules
 from findlake.sources.archives import Limits, _refused, read_archives
 from pyspark.sql import functions as F
@@ -36,11 +36,11 @@ def test_react_versions(spark):
         "broken": "{",
         "none": None,
     }
-    lines = with_lines(spark.createDataFrame([(k, "web/package.json", "json", v) for k, v in rows.items()], SHAPE))
-    got = {(r.repo, r.line) for r in rules.react_mismatch(lines).collect()}
+    lines = with_raw(spark.createDataFrame([(k, "web/package.json", "json", v) for k, v in rows.items()], SHAPE))
+    got = {(r.repo, r.line) for r in rules.scan(lines, rules.RULES[:1]).collect()}
     assert got == {("far", 4), ("dev", 4)}
     locked = spark.createDataFrame([("far", "react", "18.3.0"), ("near", "react-dom", "18.0.0")], "repo string, name string, version string")
-    assert {r.repo for r in rules.react_mismatch(lines, locked).collect()} == {"near", "dev"}
+    assert {r.repo for r in rules.locked_react_mismatch(lines, locked).collect()} == {"near", "dev"}
 
 
 @pytest.fixture(scope="module")

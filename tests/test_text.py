@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findlake.functions import kernels, text, versions
+from findlake.functions import blanking, kernels, text, versions
 from findlake.functions.paths import language, rejection, safe_path, should_read
 from findlake.sources.archives import decoded, read_archives, read_directory
 from pyspark.sql import functions as F
@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 def test_blanked_keeps_lines_and_delimiters():
     lines = ["a = 'x // y' // note", "/* one", "two */ b", "c = `t", "u` + 1"]
-    code = text.blanked(lines, "javascript")
+    code = blanking.blanked(lines, "javascript")
     assert len(code) == len(lines)
     assert code[0].startswith("a = '") and "note" not in code[0] and "//" not in code[0]
     assert code[1].strip() == "" and code[2].strip() == "b"
     assert code[3].strip() == "c = `" and code[4].strip() == "` + 1"
-    assert text.blanked(["x = 1  # y", "s = '#'"], "python") == ["x = 1     ", "s = ' '"]
-    assert text.blanked([r"a = 'it\'s' + b"], "javascript") == ["a = '     ' + b"]
+    assert blanking.blanked(["x = 1  # y", "s = '#'"], "python") == ["x = 1     ", "s = ' '"]
+    assert blanking.blanked([r"a = 'it\'s' + b"], "javascript") == ["a = '     ' + b"]
 
 
 def test_split_lines_is_splitlines(spark):
