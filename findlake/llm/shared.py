@@ -42,6 +42,14 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or one made from it that no column of df has, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"own {name}"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -144,6 +144,17 @@ def test_the_toxicity_stage_keeps_a_column_called_score(spark, tmp_path):
     assert sorted((r.doc_id, r.score, r["Own Score"]) for r in kept.collect()) == [(i, "a", 0.9) for i in range(20)]
 
 
+def test_the_stages_keep_columns_called_like_their_own(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(20).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = documents(spark, [(i, f"some words {i} mail to a{i}@example.org please") for i in range(12)])
+    taken = ["own rid", "Kept rid", "found rid", "pii key", "pii rid", "Pii spans"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), "doc_id") for c in taken})
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs, str(tmp_path)).collect()
+        assert len(kept) == 12 and all(r[c] == f"{c} {r.doc_id}" for r in kept for c in taken)
+
+
 def test_scores_against_a_plain_loop_over_windows():
     from findlake.llm.words import Words
     from tests.llm.fixtures import prose
