@@ -44,7 +44,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         step[meaning, _CODE], step[meaning, quote], step[_ESCAPE, quote] = quote, _CODE, _AFTER[quote]
         blank[meaning, quote] = False
     step[_PAD] = np.arange(STATES)
-    step[_BEGINS:] = np.arange(STATES)[:, None]
+    step[_BEGINS:] = step[_START][:, None]  # a text begins with a line
     return step.astype(np.uint8).reshape(-1), blank.reshape(-1)
 
 

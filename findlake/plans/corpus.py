@@ -145,6 +145,23 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Lines of files that are made from line items: a file for each order, a line for each item by its part; @K is the part's
+#: key and @Q the item's quantity. Braces and brackets close where it happens.
+WEB_LINES = ("function f@K(a) {", "if (a > @Q) {", "const o = {", "}", "}", "items.map((x) => (", "<li>{x}</li>", "))")
+PYTHON_LINES = ("def f@K(a,", "  b=[],", "):", "    return a", "def g@K(a, b={}):", "", "x = 1", "  y = (2)")
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, language, text): orders of even number in Python, the others in JavaScript."""
+    p, q = F.col("l_partkey").cast("int") % 8, F.col("l_quantity").cast("int")
+    lines = F.when(F.col("l_orderkey") % 2 == 0, F.get(F.array(*map(F.lit, PYTHON_LINES)), p)).otherwise(F.get(F.array(*map(F.lit, WEB_LINES)), p))
+    line = F.replace(F.replace(lines, F.lit("@K"), F.col("l_partkey").cast("string")), F.lit("@Q"), q.cast("string"))
+    of = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", q.alias("q"), line.alias("line")))).alias("rows"))
+    language = F.when(F.col("l_orderkey") % 2 == 0, "python").otherwise("javascript")
+    text = F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+    return of.select(F.col("l_orderkey").alias("repo"), F.concat(F.lit("src/order"), "l_orderkey").alias("path"), language.alias("language"), text.alias("text"))
+
+
 def lines_and_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = source_files(spark, sf_dir)
     return with_raw(files), project_facts(files)

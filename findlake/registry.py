@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+from findlake.queries import code as _code  # noqa: E402,F401
 from findlake.queries import comments as _comments  # noqa: E402,F401
 from findlake.queries import dependencies as _dependencies  # noqa: E402,F401
 from findlake.queries import events as _events  # noqa: E402,F401
