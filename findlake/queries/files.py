@@ -47,6 +47,39 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "pages").select(p.alias("seq"), F.floor(p / 50).alias("archive"), F.octet_length(F.encode("html", "UTF-8")).cast("long").alias("size"), name.alias("name"))
 
 
+_READ = f"""r AS (SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY seq) - 1 AS seq, name, size, html, {_REASON.replace("WHEN size > 20000 THEN 'too_large' ", "")} AS refused FROM members JOIN pages ON page_id = members.seq WHERE size > 0),
+u AS (SELECT *, coalesce(sum(CASE WHEN refused IS NULL AND size <= 20000 THEN size END) OVER (PARTITION BY archive ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r),
+s AS (SELECT archive, min(seq) AS stop FROM u WHERE refused IS NULL AND used + CASE WHEN size <= 20000 THEN size ELSE least(size, 65536) END > 60000 GROUP BY archive)
+SELECT archive, CAST(seq AS INT) AS seq, CASE WHEN stop = seq THEN NULL ELSE name END AS name, CASE WHEN stop = seq OR size > 20000 THEN NULL ELSE size END AS size, CASE WHEN stop = seq THEN 'total_bytes' ELSE coalesce(refused, CASE WHEN size > 20000 THEN 'too_large' END) END AS reason, CASE WHEN stop = seq OR size > 20000 THEN NULL ELSE md5(html) END AS content FROM u LEFT JOIN s USING (archive) WHERE stop IS NULL OR seq <= stop"""
+
+
+def _archives_of_pages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Pages written to archives of fifty, and read from them within limits, a few members a task."""
+    from uuid import uuid4
+
+    from findlake.sources.archive_source import archive_members, write_archives
+    from findlake.sources.archives import Limits
+    from findlake.sources.folders import shared_folder
+
+    pages = b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.encode("html", "UTF-8").alias("content"))
+    members = _members(spark, sf_dir).join(pages, "seq").where("size > 0")
+    folder = f"{shared_folder(spark)}/archives-{uuid4().hex}"
+    write_archives(members, folder, kind).write.format("noop").mode("overwrite").save()
+    found = archive_members(spark, folder, "*.zip" if kind == "zip" else "*.tar.gz", Limits(member=20_000, total=60_000), per_task=10_000)
+    number = F.regexp_extract("archive", r"([0-9]+)\.[a-z.]+$", 1).cast("long")
+    return found.select(number.alias("archive"), "seq", "name", "size", "reason", F.md5("content").alias("content"))
+
+
+@query("f003_zip_members", f"WITH {_MEMBERS}, {_READ}")
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _archives_of_pages(spark, sf_dir, "zip")
+
+
+@query("f004_tar_members", f"WITH {_MEMBERS}, {_READ}")
+def tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _archives_of_pages(spark, sf_dir, "tar")
+
+
 @query("f005_path_containment", f"WITH {_MEMBERS} SELECT seq, name, {_REASON} AS reason FROM (SELECT * REPLACE (0 AS size) FROM members)")
 def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(spark, sf_dir).select("seq", "name", paths.rejection(F.col("name")).alias("reason"))
@@ -175,6 +208,26 @@ _path_query("f039_vendored_path", f"regexp_matches(path, '{rules.VENDOR_PATH}')"
 _path_query("f044_safe_path", "CASE WHEN key % 3 = 0 THEN NULL ELSE path END", lambda p: paths.safe_path(F.concat(F.when(F.col("key") % 3 == 0, "../").when(F.col("key") % 3 == 1, "./").otherwise(" "), p)), "A path as asked for, or null if it leaves the tree.")
 
 
+@query(
+    "f001_directory_scan",
+    f"WITH {_PATHS}, files AS (SELECT key, concat('k', key % 7, '/', path) AS path, concat('part ', key, chr(10)) AS text FROM paths WHERE key % 11 <> 0), r AS (SELECT * FROM files WHERE NOT ({_SKIPPED}) AND (list_contains({_list(paths.ALWAYS_READ)}, {_LOW}) OR NOT (list_contains({_list(paths.SKIP_SUFFIXES)}, {_SUFFIX_SQL}) OR {_LOW} LIKE '%.min.js' OR {_LOW} LIKE '%.min.css'))),"
+    f" one AS (SELECT path, max(key) AS key FROM r GROUP BY path) SELECT row_number() OVER (ORDER BY string_split(path, '/')) AS place, path, length(concat('part ', key, chr(10))) AS size, {_LANG} AS language, coalesce(list_contains({_list(paths.ANALYSABLE)}, {_LANG}), false) AS analysable, concat('part ', key, chr(10)) AS text FROM one",
+)
+def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made from parts in folders of many kinds, with links among them, scanned in two phases."""
+    from uuid import uuid4
+
+    from findlake.sources.directories import scan_directory, write_files
+    from findlake.sources.folders import shared_folder
+
+    key = F.col("key")
+    files = _part_paths(spark, sf_dir).where(key % 11 != 0).select(F.concat(F.lit("k"), key % 7, F.lit("/"), "path").alias("path"), key.alias("key"))
+    files = files.groupBy("path").agg(F.max("key").alias("key")).select("path", F.encode(F.concat(F.lit("part "), "key", F.lit("\n")), "UTF-8").alias("content"))
+    folder = f"{shared_folder(spark)}/directory-{uuid4().hex}"
+    write_files(files, folder).write.format("noop").mode("overwrite").save()
+    return scan_directory(spark, folder)
+
+
 @query("f037_snapshot_views", f"WITH {_PATHS}, l AS (SELECT path, {_LANG} AS language FROM paths) SELECT coalesce(language, 'none') AS language, count(*) AS files, count_if(lower(string_split(path, '/')[-1]) = 'package.json') AS manifests FROM l GROUP BY ALL")
 def snapshot_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by language, and those with a name in any case."""

@@ -70,31 +70,41 @@ def _refused(name: str, depth: int = 24) -> str | None:
     return "traversal" if ".." in parts else "too_deep" if len(parts) > depth else None
 
 
-def _zip(raw: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for m in z.infolist():
-            link = (m.external_attr >> 16) & 0o170000 == 0o120000
-            yield m.filename, m.is_dir(), link, functools.partial(z.open, m)
+def zip_entries(z: zipfile.ZipFile) -> list[tuple]:
+    """(name, is a folder, is a link, how to open it, bytes as stated, bytes in the archive)."""
+    return [(m.filename, m.is_dir(), (m.external_attr >> 16) & 0o170000 == 0o120000, functools.partial(z.open, m), m.file_size, m.compress_size) for m in z.infolist()]
 
 
-def _tar(raw: bytes) -> Iterator[tuple]:
-    with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as t:
+def _zip(file) -> Iterator[tuple]:
+    with zipfile.ZipFile(file) as z:
+        yield from (entry[:4] for entry in zip_entries(z))
+
+
+def _tar(file) -> Iterator[tuple]:
+    with tarfile.open(fileobj=file, mode="r|*") as t:
         for m in t:
             name = m.name.split("/", 1)[1] if "/" in m.name else ""
             yield name, m.isdir(), not (m.isdir() or m.isreg()), functools.partial(t.extractfile, m)
 
 
-def _members(raw: bytes, unpack: Callable[[bytes], Iterator[tuple]], limits: Limits) -> Iterator[tuple]:
-    """(seq, name, size, reason, content) of an archive's files. Sizes are those that come out, whatever the archive says;
-    what is rejected takes no part of the limits of bytes, but counts as a member.
+BROKEN = (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, zlib.error, RuntimeError, NotImplementedError)
+
+
+def budget_of(size: int, limits: Limits) -> tuple[int, str]:
+    """The bytes that an archive of `size` bytes may give, and the reason beyond them."""
+    return min((limits.total, "total_bytes"), (int((limits.ratio + 0.005) * size), "compression_ratio"))
 
-    Ends with a row without a name whose reason is the limit that was passed, or 'unreadable' for a broken archive. Files of no bytes give no rows."""
-    used = count = 0
-    ratio = int((limits.ratio + 0.005) * len(raw))
-    most, over = min((limits.total, "total_bytes"), (ratio, "compression_ratio"))
-    seq = -1
+
+def walk(entries: Iterator[tuple], size: int, limits: Limits, first: int = 0, used: int = 0, count: int = 0) -> Iterator[tuple]:
+    """(seq, name, size, reason, content) of the files among an archive's entries from number `first` on, when the ones
+    before were `count` members and gave `used` bytes. Sizes are those that come out, whatever the archive says; what is
+    rejected takes no part of the limits of bytes, but counts as a member.
+
+    Ends with a row without a name whose reason is the limit that was passed, or 'unreadable' for a broken archive."""
+    most, over = budget_of(size, limits)
+    seq = first - 1
     try:
-        for seq, (name, folder, special, opened) in enumerate(unpack(raw)):
+        for seq, (name, folder, special, opened, *_) in enumerate(entries, first):
             if folder:
                 continue
             count += 1
@@ -117,10 +127,36 @@ def _members(raw: bytes, unpack: Callable[[bytes], Iterator[tuple]], limits: Lim
                 continue
             used += 0 if reason else len(held)
             yield seq, name, len(held), reason, bytes(held)
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, zlib.error, RuntimeError, NotImplementedError):
+    except BROKEN:
         yield seq + 1, None, None, "unreadable", None
 
 
+def planned(entries: list[tuple], size: int, limits: Limits, per_task: int) -> list[tuple[int, int, int, int]]:
+    """(first, end, used, count) of runs of a zip's entries with about `per_task` bytes in the archive, by what its
+    directory states. No entry gives more than it states, so the directory tells the budget that a run begins with, and
+    the run in which a limit is passed is the last."""
+    most, _ = budget_of(size, limits)
+    runs, first, used, count, weight, begun = [], 0, 0, 0, 0, (0, 0)
+    for k, (name, folder, special, _, stated, held) in enumerate(entries):
+        if weight and weight + held > per_task:
+            runs.append((first, k, *begun))
+            first, weight, begun = k, 0, (used, count)
+        weight += held
+        if folder:
+            continue
+        count += 1
+        reach = stated if stated <= limits.member else min(stated, (limits.member // PIECE + 1) * PIECE)
+        if count > limits.members or (not special and not _refused(name) and used + reach > most):
+            return [*runs, (first, k + 1, *begun)]
+        if not special and not _refused(name) and stated <= limits.member:
+            used += stated
+    return [*runs, (first, len(entries), *begun)]
+
+
+def _opened(unpack: Callable, content: bytes) -> Iterator[tuple]:
+    yield from unpack(io.BytesIO(content))
+
+
 def read_archives(spark: SparkSession, path: str, pattern: str, limits: Limits = Limits()) -> DataFrame:
     """(archive, seq, name, size, reason, content) of the files in all zip or tar.gz archives of a folder.
 
@@ -135,7 +171,7 @@ def read_archives(spark: SparkSession, path: str, pattern: str, limits: Limits =
         held = 0
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"], strict=True):
-                for member in _members(bytes(content), unpack, limits):
+                for member in walk(_opened(unpack, bytes(content)), len(content), limits):
                     rows.append((archive, *member))
                     held += len(member[-1] or b"")
                     if held > BATCH or len(rows) >= 10_000:

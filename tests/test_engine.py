@@ -111,6 +111,40 @@ def test_limits_of_archives(spark, tmp_path, kind):
     assert read(ratio=0.1)[-1] == (None, None, "compression_ratio")
 
 
+def test_the_source_reads_what_a_whole_read_gives(spark, tmp_path):
+    from findlake.sources.archive_source import archive_members
+
+    import random
+
+    rng = random.Random(6)
+    for k in range(6):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for n in range(rng.randint(0, 30)):
+                name = rng.choice(["a/{}.py", "../{}", "/abs{}", "dir{}/", "src/{}.txt"]).format(n)
+                z.writestr(name, b"" if name.endswith("/") else rng.randbytes(rng.choice([0, 10, 300, 2000])))
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+    plain = lambda df: sorted((r.archive.rsplit("/", 1)[1], r.seq, r.name, r.size, r.reason, r.content and bytes(r.content)) for r in df.collect())
+    for limits in (Limits(), Limits(member=1000), Limits(total=5000), Limits(members=7), Limits(member=500, total=2500)):
+        want = plain(read_archives(spark, str(tmp_path), "*.zip", limits))
+        for per_task in (1, 3000, 1 << 30):
+            assert plain(archive_members(spark, str(tmp_path), "*.zip", limits, per_task)) == want, (limits, per_task)
+
+
+def test_a_folder_is_listed_before_it_is_read(spark, tmp_path):
+    from findlake.sources.directories import list_directory, scan_directory
+
+    made = {"src/b.py": b"x = 1", "src-1/a.py": b"y", "src/a b+c%.py": b"\xff", "node_modules/m/i.js": b"no", "img/x.png": b"no", "big.py": b"z" * 1_000_001, "bin.py": b"a\0b"}
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "link.py").symlink_to(tmp_path / "src/b.py")
+    (tmp_path / "linked").symlink_to(tmp_path / "src")
+    (tmp_path / "node_modules/m/i.js").chmod(0)  # a read of it would be seen
+    assert {r.path for r in list_directory(spark, str(tmp_path)).collect()} == set(made)
+    got = [(r.place, r.path, r.text, r.analysable) for r in scan_directory(spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == [(1, "big.py", None, True), (2, "bin.py", None, True), (3, "src/a b+c%.py", "\ufffd", True), (4, "src/b.py", "x = 1", True), (5, "src-1/a.py", "y", True)]
+
+
 def test_broken_archives(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(b"no archive")
     (tmp_path / "b.tar.gz").write_bytes(b"\x1f\x8b broken")
