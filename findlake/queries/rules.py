@@ -85,6 +85,32 @@ for _m in _MISSING:
     _missing_query(*_m)
 
 
+# Paths made from parts: fifty repositories with Python and other files, tests and manifests among them.
+_PLACES, _SOURCES, _MANIFESTS_OF = ("src", "tests", "app/testing", "lib"), ("a.py", "test_b.py", "c_test.py", "d.js", "latest.py"), ("pyproject.toml", "setup.py", "Requirements.txt", "requirements-dev.txt", "requirements.txt")
+_list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+_PYTHON_PATHS = f"p AS (SELECT p_partkey % 50 AS repo, concat({_list(_PLACES)}[1 + p_partkey % 4], p_partkey % 13, '/', CASE WHEN p_partkey % 3 = 0 THEN {_list(_MANIFESTS_OF)}[1 + p_size % 5] ELSE {_list(_SOURCES)}[1 + p_size % 5] END) AS path FROM part)"
+
+
+def _python_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), k.cast("int"))
+    k, n = F.col("p_partkey"), F.col("p_size")
+    file = F.when(k % 3 == 0, pick(_MANIFESTS_OF, n % 5)).otherwise(pick(_SOURCES, n % 5))
+    path = F.concat(pick(_PLACES, k % 4), k % 13, F.lit("/"), file)
+    return corpus.table(spark, sf_dir, "part").select((k % 50).alias("repo"), path.alias("path"), F.when(F.endswith(file, F.lit(".py")), "python").otherwise("other").alias("language"))
+
+
+@query(
+    "f139_python_scope",
+    f"WITH {_PYTHON_PATHS}, m AS (SELECT repo, path, list_position(['requirements.txt', 'pyproject.toml'], lower(string_split(path, '/')[-1])) AS k FROM p), first AS (SELECT repo, arg_min(path, (k, string_split(path, '/'))) AS manifest FROM m WHERE k > 0 GROUP BY repo) "
+    f"SELECT repo, count_if(path LIKE '%.py') AS python, count_if(path LIKE '%.py' AND NOT regexp_matches(path, '{rules.PYTHON_TEST_PATH}')) AS untested, any_value(manifest) AS manifest FROM p LEFT JOIN first USING (repo) GROUP BY repo",
+)
+def python_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files of a repository with and without tests, and the manifest that its requirements are read from."""
+    files = _python_paths(spark, sf_dir)
+    counts = files.groupBy("repo").agg(F.count_if(rules._python(True)).alias("python"), F.count_if(rules._python(False)).alias("untested"))
+    return counts.join(rules.python_manifest(files).withColumnRenamed("path", "manifest"), "repo", "left")
+
+
 _ADVISED = """adv AS (SELECT CASE s_suppkey % 2 WHEN 0 THEN 'react' ELSE 'react-dom' END AS name, concat('ADV-', lpad(CAST(s_suppkey AS VARCHAR), 8, '0')) AS id, s_nationkey % 5 AS rank, s_suppkey % 19 AS since, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 19 + 4 END AS until FROM supplier),
 held AS (SELECT name, id, rank, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM adv JOIN (VALUES ('react', 19), ('react-dom', 18)) v(name, major) USING (name) WHERE since <= major AND (until IS NULL OR major < until)),
 worst AS (SELECT name, (['critical', 'high', 'medium', 'low', 'info'])[1 + min(rank)] AS severity FROM held WHERE k <= 8 GROUP BY name)"""

@@ -54,7 +54,14 @@ def test_manifest_lines_prefer_dependencies(spark):
 
 
 def test_a_comment_of_a_report_without_any_finding(spark):
-    reports = spark.createDataFrame([(1, "a/b", True, True, 0, 0), (2, "a/b", False, False, 3, 0)], "report int, name string, compared boolean, truncated boolean, findings long, unchanged long")
-    none = spark.createDataFrame([], "report int, severity string, title string, file string, line int, rule_id string")
+    reports = spark.createDataFrame([(1, "a/b", True, True, 0, 0, 100, "A", 0, "u"), (2, "a/b", False, False, 3, 0, 60, "D", 0, "u"), (3, "a/b", True, False, 9, 0, 39, "F", 1, "u")], "report int, name string, compared boolean, truncated boolean, findings long, unchanged long, score int, grade string, new_rules long, address string")
+    none = spark.createDataFrame([], "report int, place int, severity string, title string, file string, line int")
     got = {r.report: r.comment for r in branch_comments(reports, none, none).collect()}
-    assert got[1].startswith("### a/b\n\n0 new, 0 resolved, 0 unchanged\n\n> ") and got[2] == "### a/b\n\n3 findings; first report, nothing to compare with"
+    assert got[1].startswith("### a/b\n\n0 new, 0 resolved, 0 unchanged · score 100 (A)\n\n> ") and got[2] == "### a/b\n\n3 findings; first report, nothing to compare with · score 60 (D)\n\n[Report](u)"
+    # the order is that of the report: a low finding that stands first is told first
+    new = spark.createDataFrame([(3, 2, "critical", "b", "x.py", 3), (3, 1, "low", "a", None, None), (3, 5, "info", "c", "y", 1)], none.schema)
+    told = {r.report: r.comment for r in branch_comments(reports, new, none, listed=2).collect()}[3]
+    assert told == (
+        "### a/b\n\n3 new, 0 resolved, 0 unchanged · score 39 (F)\n\n#### New (3)\n| severity | finding | place |\n|---|---|---|\n| low | a | — |\n| critical | b | `x.py:3` |\nand 1 more: see [all of them](u?tab=findings&new=1)"
+        "\n\n> Some of these come from 1 rule that the earlier report did not have, not from this branch.\n\n[Report](u)"
+    )
