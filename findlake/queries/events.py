@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findlake.plans import bindings as b
 from findlake.registry import query
-from findlake.streaming import jobs
+from findlake.streaming import expiry, jobs
 
 _LOG = "log AS (SELECT user_id AS job_id, event_id AS seq, ts, event_type AS stage, value FROM events)"
 
@@ -48,6 +48,25 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.crossJoin(F.broadcast(now)).where("ts >= now - interval '2' day").select("job_id", "seq")  # one row
 
 
+#: Milliseconds without an event after which a run of a job has ended.
+QUIET = 12 * 3_600_000
+_ENDED = f"""WITH {_LOG}, e AS (SELECT *, epoch_ms(CAST(ts AS TIMESTAMP)) AS t FROM log), b AS (SELECT *, CASE WHEN t - lag(t) OVER o <= {QUIET} THEN 0 ELSE 1 END AS fresh FROM e WINDOW o AS (PARTITION BY job_id ORDER BY ts, seq)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, seq) AS run FROM b), g AS (SELECT job_id, run, min(seq) AS first_seq, max(seq) AS seq, max_by(stage, seq) AS stage, CAST(count(*) AS INT) AS events, max(t) AS last FROM r GROUP BY job_id, run)
+SELECT job_id, first_seq, seq, stage, events FROM g QUALIFY lead(run) OVER (PARTITION BY job_id ORDER BY run) IS NOT NULL OR last + {QUIET} <= (SELECT max(t) FROM e)"""
+
+
+@query("f117_ended_runs", _ENDED)
+def ended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of jobs that have ended, for nothing came in twelve hours."""
+    return expiry.ended(b.log(spark, sf_dir), QUIET)
+
+
+@query("f117_stream_ended_runs", _ENDED)
+def stream_ended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream over the events, with state that timers clear."""
+    return jobs.run_once(spark, expiry.stream_ended(jobs.read_log(spark, sf_dir), QUIET), "append")
+
+
 _BREAKER = """numbered AS (SELECT user_id AS key, event_id, epoch(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"""
 
 

@@ -26,7 +26,7 @@ def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is and read its result, which each batch writes to the shared folder.
 
-    In complete mode the last batch holds all; in update mode the last row of a key (its first column) counts."""
+    In complete mode the last batch holds all, in append mode all batches together; in update mode the last row of a key (its first column) counts."""
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     write = lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/batch={k}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda df, k: write(df.drop("batch") if "batch" in df.columns else df, k)).start().awaitTermination()
@@ -34,6 +34,8 @@ def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     if mode == "complete":
         last = out.agg(F.max("batch").alias("batch"))
         return out.join(F.broadcast(last), "batch").drop("batch")  # one row
+    if mode == "append":
+        return out.drop("batch")
     key = out.columns[0]
     rows = F.struct("batch", *[c for c in out.columns if c not in (key, "batch")])
     return out.groupBy(key).agg(F.max_by(rows, "batch").alias("r")).select(key, *[f"r.{c}" for c in out.columns if c not in (key, "batch")])
