@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlake.llm.shared import PARTS, content_key, emit_slices, materialise, sum_slices
+from findlake.llm.totals import running_totals
 from findlake.llm.words import Words, chunks, mix
 
 #: Cells to which words are hashed for their document frequencies; the table's size does not depend on the corpus.
@@ -20,8 +21,8 @@ CELLS = 1 << 20
 PASSAGE, WINDOWS = 64, ((16, 8), (48, 16))
 #: Benchmark items that are searched for in one pass; more of them make more passes, so that what is broadcast stays small.
 ITEMS = 2000
-#: Passages (of 64 words) of one pass.
-PASSAGES = 8000
+#: Bytes of the items' texts of one pass.
+BLOCK_BYTES = 3 << 20
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -299,8 +300,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, share:
     if the longest common subsequence of words covers `overlap` of the item, or `loose` of it and `answer` of the
     item's answer (its last sentence).
 
-    The benchmark is searched in blocks of about ITEMS items and PASSAGES passages, each a pass over the documents that
-    broadcasts one block. All items that a document has are reported; of one item, the place with the largest overlap
+    The benchmark is searched in blocks of at most ITEMS items, and BLOCK_BYTES of text and one item more, each a pass over
+    the documents that broadcasts one block and whose result is written before the next one begins. Items equal in id and
+    text are one. All items that a document has are reported; of one item, the place with the largest overlap
     (of equal ones the first by cosine).
     Null and empty texts, and texts without a word, neither match nor are matched. Repeated rows each come out. Items
     with a null id keep it. Other columns are not read; an empty table on either side gives no rows.
@@ -325,9 +327,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, share:
     cut = materialise(items.select("text").mapInPandas(passages, "words array<long>, weights array<double>"), "passages")
     n_passages = cut.count()
     vectors = materialise(latent_space(cut, n_passages, rank), "latent")
-    n_items = items.count()
-    blocks = max(1, -(-n_items // ITEMS), -(-n_passages // PASSAGES))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    distinct = items.withColumn("key", content_key("item_id")).dropDuplicates(["key"]).withColumns({"one": F.lit(1), "bytes": F.octet_length("text").cast("long")})
+    numbered = running_totals(distinct, ["key"], {"items before": "one", "bytes before": "bytes"})
+    numbered = materialise(numbered.select("item_id", "text", F.floor(F.col("items before") / ITEMS).alias("by_items"), F.floor(F.col("bytes before") / BLOCK_BYTES).alias("by_bytes")), "items")
+    blocks = [tuple(r) for r in numbered.select("by_items", "by_bytes").distinct().orderBy("by_items", "by_bytes").collect()]
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -335,12 +338,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, share:
 
     shape = "doc_id long, rid binary, item_id long, cosine double, overlap double, answer double"
     found = None
-    for b in range(blocks):
-        mine = numbered.where(F.col("block") == b).select("item_id", "text")
+    for by_items, by_bytes in blocks:
+        mine = numbered.where((F.col("by_items") == by_items) & (F.col("by_bytes") == by_bytes)).select("item_id", "text")
         own = mine.select("text").mapInPandas(words_of, "word long").distinct()
         table = vectors.join(own, "word").toArrow()  # as packed arrays
         held = table["word"].to_numpy(), table["v"].combine_chunks().values.to_numpy().reshape(len(table), -1) if len(table) else np.zeros((0, 1), np.float32)
         block = spark.sparkContext.broadcast(_Items([tuple(r) for r in mine.collect()], idf, held))
-        part = rows.withColumn("rid", content_key()).mapInPandas(_search(block, idf_held, share, cosine, overlap, loose, answer), shape)
+        part = materialise(rows.withColumn("rid", content_key()).mapInPandas(_search(block, idf_held, share, cosine, overlap, loose, answer), shape), "contaminated")
+        block.destroy()
         found = part if found is None else found.union(part)
-    return found
+    idf_held.destroy()
+    return spark.createDataFrame([], shape) if found is None else found

@@ -196,7 +196,7 @@ class Model:
     seen. A score is that of the mean of their logits.
     """
 
-    def __init__(self, texts: list[str], labels: list[int], weights: list[float], steps: int = 240, batch: int = 128, seed: int = 11, networks: int = 3) -> None:
+    def __init__(self, texts: list[str], labels: list[int], weights: list[float], steps: int = 240, batch: int = 128, seed: int = 11, networks: int = 2) -> None:
         rng = np.random.default_rng(seed)
         y, by = np.array(labels, np.float32), np.array(weights)
         total = float(by.sum())
