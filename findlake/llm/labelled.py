@@ -11,12 +11,12 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_bytes: int = 1 << 25) -> tuple[list[str], list[int], list[float]]:
-    """(texts, labels, weights) of at most per_class documents of each label and most_bytes of their texts, those least by
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_bytes: int = 1 << 25) -> DataFrame:
+    """(doc_id, text, label, weight) of at most per_class documents of each label and most_bytes of their texts, those least by
     a hash of their id; a text that does not fit any more is passed over.
 
     `learn` is a condition on doc_id. Ids are chosen before any text is read, and lengths before any text is collected, so
-    the driver gets 2 * most_bytes at most, however long texts are. A weight is how many labelled documents of its class each sampled one stands for. Labels other than 0
+    the rows hold 2 * most_bytes at most, however long texts are. A weight is how many labelled documents of its class each sampled one stands for. Labels other than 0
     and 1, and nulls, are left out; of an id with several labels the largest counts; of several texts the least.
     """
     held = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(learn)
@@ -35,6 +35,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
             left[r["label"]] -= r["bytes"]
             fitting.append((r["doc_id"], r["label"]))
     wanted = docs.sparkSession.createDataFrame(fitting, "doc_id long, label int")
-    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    found = {v: sum(r["label"] == v for r in rows) for v in (0, 1)}
-    return [r["text"] for r in rows], [r["label"] for r in rows], [sizes[r["label"]] / found[r["label"]] for r in rows]
+    found = {v: sum(x == v for _, x in fitting) for v in (0, 1)}
+    weight = F.when(F.col("label") == 1, sizes.get(1, 0) / max(found[1], 1)).otherwise(sizes.get(0, 0) / max(found[0], 1))
+    return texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label", weight.alias("weight"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, most_bytes: int = 1 << 25) -> tuple[list[str], list[int], list[float]]:
+    """`training_rows` as lists (texts, labels, weights) in order of doc_id."""
+    rows = training_rows(docs, labels, label, learn, per_class, most_bytes).orderBy("doc_id").collect()
+    return [r["text"] for r in rows], [r["label"] for r in rows], [r["weight"] for r in rows]
