@@ -256,3 +256,23 @@ def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from findlake.sources.sarif import results
 
     return results(b.findings(spark, sf_dir)).select("repo", "place", "rule_id", "rule_index", "level", "uri", "start_line", "fingerprint")
+
+
+@query(
+    "f015_sarif_files",
+    f"WITH {b.FINDINGS}, wide AS (SELECT * REPLACE (owner % 40 AS repo) FROM findings), ordered AS (SELECT *, {_PRIORITY} AS priority, {_RANK} AS rank, {_PENALTY} AS penalty FROM wide), placed AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY priority DESC, rank, file, line, rule_id, penalty DESC, fingerprint) AS place FROM ordered QUALIFY place <= 500) SELECT repo, count(*) AS results, count(DISTINCT rule_id) AS rules, min_by(rule_id, place) AS first_rule, max_by(fingerprint, place) AS last_result FROM placed GROUP BY repo",
+)
+def sarif_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of forty repositories written as files by the sink, and what is read back from them."""
+    from uuid import uuid4
+
+    from findlake.sources.folders import shared_folder
+    from findlake.sources.sarif_sink import write_documents
+
+    folder = f"{shared_folder(spark)}/sarif-{uuid4().hex}"
+    write_documents(b.findings(spark, sf_dir).withColumn("repo", F.col("owner") % 40), folder)
+    shape = "struct<runs:array<struct<results:array<struct<ruleId:string,ruleIndex:int,partialFingerprints:struct<primary:string>>>,tool:struct<driver:struct<rules:array<struct<id:string>>>>>>>"
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sarif").text(folder).select(F.regexp_extract("_metadata.file_name", r"^(\d+)\.sarif$", 1).cast("long").alias("repo"), F.from_json("value", shape)["runs"][0].alias("run"))
+    results, rules = F.col("run.results"), F.col("run.tool.driver.rules")
+    first = F.element_at(rules, results[0]["ruleIndex"] + 1)["id"]
+    return files.select("repo", F.size(results).cast("long").alias("results"), F.size(rules).cast("long").alias("rules"), first.alias("first_rule"), F.element_at(results, -1)["partialFingerprints"]["primary"].alias("last_result"))

@@ -99,6 +99,31 @@ def test_sarif_document(spark):
     assert run["results"][1]["suppressions"][0]["status"] == "accepted" and run["results"][1]["level"] == "error"
 
 
+def test_written_documents_are_whole_or_absent(spark, tmp_path):
+    import pytest
+
+    from findlake.sources.sarif_sink import Documents, write_documents
+
+    shape = "repo string, category string, severity string, confidence string, file string, line int, rule_id string, title string, fingerprint string"
+    f = spark.createDataFrame([(f"org/r {k % 5}", "security", "high", "high", "a.py", k, f"r/{k % 3}", "t\u00e9", f"x{k}") for k in range(60)], shape)
+    write_documents(f, str(tmp_path / "out"))
+    want = {r.repo: json.loads(r.document) for r in sarif.documents(f).collect()}
+    from urllib.parse import unquote
+
+    got = {unquote(p.name[: -len(".sarif")]): json.loads(p.read_text()) for p in (tmp_path / "out").glob("*.sarif")}
+    assert got == want and json.loads((tmp_path / "out" / "_SUCCESS").read_text()) == {"documents": 5, "results": 60}
+
+    def broken():
+        row = {"repo": "a", "place": 1, "rule_index": 0, "result": "{}", "rule": "{}"}
+        yield row
+        yield row | {"repo": "b"}
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        Documents(str(tmp_path / "cut"), "t").write(broken())
+    assert [p.name for p in (tmp_path / "cut").iterdir()] == ["a.sarif"]
+
+
 def test_stream_breaker_equals_the_batch_form(spark):
     log = bindings.log(spark, SF)
     batch = jobs.breaker(log.select(F.col("job_id").alias("key"), "seq", "ts", (F.col("stage") == "error").alias("bad")))
