@@ -143,15 +143,16 @@ def window_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("job_id").agg(F.count_if(F.expr("ts >= now - interval '1' day")).alias("day"), F.count_if(F.expr("ts >= now - interval '7' day")).alias("week"))
 
 
-@query("f126_job_rows", f"WITH {_LOG} SELECT job_id, CASE WHEN bool_or(stage = 'error') THEN 'failed' WHEN bool_or(stage = 'purchase') THEN 'succeeded' ELSE 'running' END AS status, min(seq) AS started, max(seq) AS updated FROM log WHERE seq % 7 = 0 GROUP BY job_id")
+@query("f126_job_rows", f"WITH {_LOG} SELECT job_id, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS BIGINT) AS week, CASE WHEN bool_or(stage = 'error') THEN 'failed' WHEN bool_or(stage = 'purchase') THEN 'succeeded' ELSE 'running' END AS status, min(seq) AS started, max(seq) AS updated FROM log GROUP BY ALL")
 def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a job from its every seventh event: what its durable row would say. `f126_all_job_rows` reads all events."""
-    return _job_rows(b.log(spark, sf_dir).where("seq % 7 = 0"))
+    """One row a job and week from all events of the week: what its durable row would say if each week were a run."""
+    week = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7).cast("long")
+    return _job_rows(b.log(spark, sf_dir).withColumn("week", week), "week")
 
 
-def _job_rows(log: DataFrame) -> DataFrame:
+def _job_rows(log: DataFrame, *also: str) -> DataFrame:
     status = F.when(F.bool_or(F.col("stage") == "error"), "failed").when(F.bool_or(F.col("stage") == "purchase"), "succeeded").otherwise("running")
-    return log.groupBy("job_id").agg(status.alias("status"), F.min("seq").alias("started"), F.max("seq").alias("updated"))
+    return log.groupBy("job_id", *also).agg(status.alias("status"), F.min("seq").alias("started"), F.max("seq").alias("updated"))
 
 
 @query("f126_all_job_rows", f"WITH {_LOG} SELECT job_id, CASE WHEN bool_or(stage = 'error') THEN 'failed' WHEN bool_or(stage = 'purchase') THEN 'succeeded' ELSE 'running' END AS status, min(seq) AS started, max(seq) AS updated FROM log GROUP BY job_id")

@@ -89,10 +89,10 @@ def new_findings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(p, "repo").join(held, ["before", "rule_id"], "left_anti").select("repo", "fingerprint", "rule_id")
 
 
-@query("f058_report_with_owner", f"WITH {b.REPORTS} SELECT id, owner_id, c_name FROM reports JOIN customer ON custkey = c_custkey WHERE id % 3 = 0")
+@query("f058_report_with_owner", f"WITH {b.REPORTS} SELECT owner_id, c_name, count(*) AS reports, max(id) AS last FROM reports JOIN customer ON custkey = c_custkey GROUP BY ALL")
 def report_with_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every third number; `f058_all_reports_with_owner` has all reports."""
-    return all_reports_with_owner(spark, sf_dir).where("id % 3 = 0")
+    """All reports by their owner and customer; `f058_all_reports_with_owner` has a row for each."""
+    return all_reports_with_owner(spark, sf_dir).groupBy("owner_id", "c_name").agg(F.count("*").alias("reports"), F.max("id").alias("last"))
 
 
 @query("f058_all_reports_with_owner", f"WITH {b.REPORTS} SELECT id, owner_id, c_name FROM reports JOIN customer ON custkey = c_custkey")
