@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -42,6 +43,14 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def give_back() -> None:
+    """Hand memory that arrays have left to the system: a Python worker lives on, and the next stage's would lie beside it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps what it likes
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, or one made from it that no column of df has, in any case."""
     held = {c.lower() for c in df.columns}

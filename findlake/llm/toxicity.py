@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findlake.llm.labelled import training_rows
-from findlake.llm.shared import materialise
+from findlake.llm.shared import give_back, materialise
 from findlake.llm.words import Words, chunks, mix
 
 #: Words of a window and of a step, hidden units, width of a word's and of its characters' vector, cells of character trigrams.
@@ -101,7 +101,7 @@ def _attend(p: Params, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray
     return pooled @ p["wo"] + p["bo"], a, e, pooled
 
 
-def window_logits(p: Params, x: Inputs, block: int = 4096) -> np.ndarray:
+def window_logits(p: Params, x: Inputs, block: int = 1024) -> np.ndarray:
     vectors = _word_vectors(p, x)
     ready = {d: (vectors @ p["w" + d] + p["b" + d]).astype(np.float32) for d in "fb"}
     out = np.empty(len(x.windows), np.float32)
@@ -297,8 +297,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
 
     def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("doc_id")
-        part = Model(rows["text"].tolist(), rows["label"].tolist(), rows["weight"].tolist(), only=key[0])
-        return pd.DataFrame({"network": [key[0]], "model": [pickle.dumps(part)]})
+        part = pickle.dumps(Model(rows["text"].tolist(), rows["label"].tolist(), rows["weight"].tolist(), only=key[0]))
+        give_back()
+        return pd.DataFrame({"network": [key[0]], "model": [part]})
 
     sample = materialise(training_rows(docs, labels, "toxic", learn, per_class).withColumn("network", F.explode(F.array(*map(F.lit, range(networks))))), "sample")
     parts = {r["network"]: pickle.loads(bytes(r["model"])) for r in sample.repartition(networks, "network").groupBy("network").applyInPandas(train, "network int, model binary").collect()}
@@ -309,6 +310,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
         for batch in batches:
             part = batch[list(columns)].copy()
             part[score] = model.value.scores(batch["text"].tolist())
+            give_back()
             yield part
 
     rows = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in held])
