@@ -15,6 +15,9 @@ from findlake.llm.spans import SPAN, find_spans, merged, no_spans, redact
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("mail_like", "mail_said", "number_like", "digits_like")
 
+#: MLlib looks at all rows for the thresholds of its trees up to the square of so many; a task holds so many rows.
+MOST_BINS, ROWS_A_TASK = 4096, 20_000
+
 #: Stands for a character inside a run (a dot inside a domain, a separator between digits), so that runs need no loop
 #: over a group: such loops recurse in the regular-expression library and overflow on long runs.
 _JOINT, _OTHER = "", ""
@@ -90,30 +93,35 @@ def _overlaps(a: Column, b: Column) -> Column:
 FEATURES = ("mail", "length", "digits", "separators", "groups", "dots", "hyphens", "plus", "paren", "at_domain_dots", "luhn", "octets", "upper", "said", "word_before", "word_after", "hint", "date_like", "longest_group")
 
 
+def _level(n: Column) -> Column:
+    """A count up to 64, and above that its eighth of an octave, so that spans have few different features."""
+    return F.when(n <= 64, n).otherwise(64 + F.floor(8 * (F.log2(n) - 6)))
+
+
 def _features(rows: DataFrame) -> DataFrame:
     """Format and context of a span (columns kind, value, before, after) as numbers."""
     v, digits = F.col("value"), _digits(F.col("value"))
     pieces = F.filter(F.split(v, "[^0-9]+"), lambda p: F.length(p) > 0)
     made = {
         "mail": F.col("kind").isin("email", *ADDED[:2]),
-        "length": F.length(v),
-        "digits": F.length(digits),
-        "separators": F.length(F.regexp_replace(v, r"[^\x20-]", "")),
-        "groups": F.size(pieces),
-        "dots": F.length(F.regexp_replace(v, r"[^.]", "")),
-        "hyphens": F.length(F.regexp_replace(v, "[^-]", "")),
+        "length": _level(F.length(v)),
+        "digits": _level(F.length(digits)),
+        "separators": _level(F.length(F.regexp_replace(v, r"[^\x20-]", ""))),
+        "groups": _level(F.size(pieces)),
+        "dots": _level(F.length(F.regexp_replace(v, r"[^.]", ""))),
+        "hyphens": _level(F.length(F.regexp_replace(v, "[^-]", ""))),
         "plus": F.startswith(v, F.lit("+")),
         "paren": F.contains(v, F.lit("(")),
-        "at_domain_dots": F.length(F.regexp_replace(F.substring_index(v, "@", -1), r"[^.]", "")),
+        "at_domain_dots": _level(F.length(F.regexp_replace(F.substring_index(v, "@", -1), r"[^.]", ""))),
         "luhn": F.when(_between(F.length(digits), 12, 19), luhn(digits)).otherwise(False),
         "octets": _octets(v),
-        "upper": F.length(F.regexp_replace(v, "[^A-Z]", "")),
+        "upper": _level(F.length(F.regexp_replace(v, "[^A-Z]", ""))),
         "word_before": F.col("before").rlike(r"[A-Za-z0-9]$"),
         "word_after": F.col("after").rlike("^[A-Za-z0-9]"),
         "hint": F.lower("before").rlike(_HINT),
         "said": v.rlike(r"(?i)[\x20)\]]dot[\x20(\[]"),
         "date_like": v.rlike(r"^[12][0-9]{3}[-.][0-9]{2}[-.][0-9]{2}"),
-        "longest_group": F.coalesce(F.array_max(F.transform(pieces, F.length)), F.lit(0)),
+        "longest_group": _level(F.coalesce(F.array_max(F.transform(pieces, F.length)), F.lit(0))),
     }
     return rows.withColumns({f"f_{k}": F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in made.items()})
 
@@ -138,7 +146,7 @@ def _form(value: Column) -> Column:
     return F.when(value.rlike(r"(?i)[\x20)\]]dot[\x20(\[]"), F.regexp_replace(F.lower(value), r"(?!\b(?:at|dot)\b)\b[a-z0-9._%+-]++", "a")).otherwise(F.regexp_replace(value, "[0-9]", "9"))
 
 
-def find_personal_data(docs: DataFrame, per_class: int = 2000, trees: int = 12, depth: int = 4, precision: float = 0.95, least: float = 0.5) -> DataFrame:
+def find_personal_data(docs: DataFrame, trees: int = 12, depth: int = 4, precision: float = 0.95, least: float = 0.5) -> DataFrame:
     """(doc_id, rid, spans): for every row of docs its spans of personal data, by kind and then start.
 
     Strict patterns (email, ip, card, phone) are always kept. Wide generators propose further spans with high recall,
@@ -146,12 +154,11 @@ def find_personal_data(docs: DataFrame, per_class: int = 2000, trees: int = 12,
     spans. Labels come from evidence, not from the proposals' own generator: strict spans and loosened forms of them
     (`_loosened`) are personal data; proposals without a strict span, without a word before them that says what they
     are, without a valid check digit and not of a loosened form are not; the others, on which the evidence is open, are
-    not learnt from. Each
-    class is a sample of at most `per_class` spans (loosened ones as many again). Trees are fitted on seven tenths of
-    the documents, by a hash of their content; on the rest a threshold is set for each family of kinds (mail, number):
-    the lowest score, of `least` or more, from which on `precision` of the labelled spans are personal data. Proposals
-    from there on are added, of overlapping ones the best (ties: the first, then the longest). Only built-in functions
-    and MLlib are used.
+    not learnt from. All labelled spans count: those of equal features are one row, weighted by their number. Trees are
+    fitted on seven tenths of the documents, by a hash of their content; on all labelled spans of the rest a threshold is
+    set for each family of kinds (mail, number): the lowest score, of `least` or more, from which on `precision` of the
+    labelled spans are personal data. Proposals from there on are added, of overlapping ones the best (ties: the first,
+    then the longest). Only built-in functions and MLlib are used.
 
     A null text counts as empty; it has no spans. If the corpus lacks strict spans, or proposals apart from them, there
     are no trees and nothing is added. Rows equal in doc_id and text share their spans, and each comes out. Other
@@ -169,24 +176,26 @@ def find_personal_data(docs: DataFrame, per_class: int = 2000, trees: int = 12,
     wide = one.select("rid", F.explode(apart).alias("c")).select("rid", "c.*").select(*shape)
     digits = _digits(F.col("value"))
     open_case = F.lower("before").rlike(_HINT) | (_between(F.length(digits), 13, 19) & luhn(digits))
-    # the samples are bounded by per_class
-    pick = lambda df: df.orderBy(F.xxhash64("rid", "start", "kind"), "rid", "start", "kind").limit(per_class)
-    taught = pick(positive)
-    loosened = _loosened(taught)
-    plain = wide.where(~open_case).withColumn("form", _form(F.col("value"))).join(F.broadcast(loosened.select(_form(F.col("value")).alias("form")).distinct()), "form", "left_anti").drop("form")
-    sample = taught.union(loosened).withColumn("label", F.lit(1.0)).union(pick(plain).withColumn("label", F.lit(0.0)))
-    sample = materialise(_features(sample).withColumn("fitted", F.pmod(F.xxhash64("rid"), F.lit(10)) < 7), "sample")
-    sizes = {r["label"]: r["count"] for r in sample.where("fitted").groupBy("label").count().collect()}
+    # every labelled span is learnt from: those of equal features are one row with their number as its weight
+    columns = [f"f_{k}" for k in FEATURES]
+    fitted = (F.pmod(F.xxhash64("rid"), F.lit(10)) < 7).alias("fitted")
+    counted = lambda df, *by: _features(df).groupBy(*columns, fitted, *by).agg(F.count("*").cast("double").alias("weight"))
+    loosened = _loosened(positive)
+    forms = loosened.select(_form(F.col("value")).alias("form")).distinct()
+    plain = counted(wide.where(~open_case), _form(F.col("value")).alias("form")).join(forms, "form", "left_anti").drop("form")
+    labelled = counted(positive.union(loosened)).withColumn("label", F.lit(1.0)).union(plain.withColumn("label", F.lit(0.0)))
+    labelled = materialise(labelled.groupBy(*columns, "fitted", "label").agg(F.sum("weight").alias("weight")), "labelled")
+    sizes = {r["label"]: r["count"] for r in labelled.where("fitted").groupBy("label").count().collect()}
     spans = F.array_sort(F.transform("strict", lambda c: c["span"]))
     kept = found.select("doc_id", "rid", spans.alias("strict"))
     if len(sizes) < 2:
         chosen = None
     else:
-        columns = [f"f_{k}" for k in FEATURES]
         vector = VectorAssembler(inputCols=columns, outputCol="features")
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=3).fit(vector.transform(sample.where("fitted")).coalesce(1))
+        trainer = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=MOST_BINS, seed=3)
+        model = trainer.fit(vector.transform(labelled.where("fitted")).coalesce(-(-sum(sizes.values()) // ROWS_A_TASK)))
         score = lambda df: model.transform(vector.transform(df)).withColumn("score", vector_to_array("probability")[1])
-        limits = _thresholds(score(sample.where("not fitted")).groupBy((F.col("f_mail") > 0).alias("mail"), F.round("score", 3).alias("score")).agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect(), precision, least)
+        limits = _thresholds(score(labelled.where("not fitted")).groupBy((F.col("f_mail") > 0).alias("mail"), F.round("score", 3).alias("score")).agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all")).collect(), precision, least)
         # a row for each of the two families of kinds
         likely = score(_features(wide)).where(F.col("score") >= F.when(F.col("f_mail") > 0, limits[True]).otherwise(limits[False]))
         best = likely.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("rank"), "start", (-F.col("end")).alias("longer"), "order", "end", "kind"))).alias("c"))

@@ -179,6 +179,19 @@ def test_trees_add_what_no_strict_pattern_finds(spark):
     assert good >= 0.95 * (good + wrong) and found >= 0.9 * sum(k == "hidden" for k, _, _ in planted.values())
 
 
+def test_trees_and_thresholds_learn_from_every_labelled_span(spark, monkeypatch):
+    """3000 mail addresses with a loosened form each, and 3000 plain numbers that two generators propose, all count."""
+    from findlake.llm import pii
+
+    written = []
+    monkeypatch.setattr(pii, "materialise", lambda df, name, of=pii.materialise: written.append(of(df, name)) or written[-1])
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to bob"), F.col("id"), F.lit("@mail.example.com of lot "), 100_000_000 + F.col("id"), F.lit(" soon")).alias("text"))
+    find_personal_data(docs)
+    labelled = next(df for df in written if "label" in df.columns)
+    assert "weight" in labelled.columns and labelled.count() < 100
+    assert {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.sum("weight").alias("n")).collect()} == {1.0: 6000, 0.0: 6000}
+
+
 def test_trees_add_spans_on_the_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     added = find_personal_data(docs).select(F.explode("spans").alias("s")).where(F.col("s.order") >= len(PII)).count()
