@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,16 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def give_back() -> None:
-    """Hand memory that arrays have left to the system: a Python worker lives on, and the next stage's would lie beside it."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Hand memory that arrays have left to the system: a Python worker lives on, and the next stage's would lie beside it.
+    On the driver, with spark, the JVM collects too, gives its free heap back and lets go of finished queries' shuffles."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library keeps what it likes
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.shared import content_key, discard, materialise
+from findlake.llm.shared import content_key, discard, give_back, materialise
 from findlake.llm.words import mix
 
 _rng = np.random.default_rng(41)
@@ -19,12 +19,16 @@ _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of texts that are looked at together; arrays of 8 bytes for each of them, about a dozen at once.
+CHUNK = 1 << 18
+#: Rows of contexts and leads that leave a task together.
+BATCH = 4096
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     held = _powers.get(str(base))
     if held is None or len(held) < n:
-        held = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 21), base)]))
+        held = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 2 * CHUNK), base)]))
         _powers[str(base)] = held
     return held[:n]
 
@@ -61,12 +65,12 @@ class Anchors:
 
 
 def _joined(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """(indexes, bytes, starts, ends) of about a megabyte of texts."""
+    """(indexes, bytes, starts, ends) of about CHUNK bytes of texts."""
     held: list[bytes] = []
     index: list[int] = []
     for i, text in enumerate([*texts, None]):
         raw = (text or "").encode("utf-8", "replace")
-        if held and (i == len(texts) or sum(map(len, held)) + len(raw) > 1 << 20):
+        if held and (i == len(texts) or sum(map(len, held)) + len(raw) > CHUNK):
             ends = np.cumsum([len(x) for x in held])
             yield index, np.frombuffer(b"".join(held), np.uint8), ends - [len(x) for x in held], ends
             held, index = [], []
@@ -174,6 +178,8 @@ def _sorted_buckets(length: int, span: int):
         yield pd.DataFrame({"context": context[row], "lo": (-(end - 1)).astype(np.int32), "hi": (length - begin).astype(np.int32), "passage": passage[row]})
         only = np.setdiff1d(np.flatnonzero(passage), row)
         yield pd.DataFrame({"context": context[only], "lo": np.zeros(len(only), np.int32), "hi": np.zeros(len(only), np.int32), "passage": passage[only]})
+        del held, bucket, right, left, hits, step
+        give_back()
 
     return run
 
@@ -189,6 +195,12 @@ def _leads(size: int, reach: int, step: int):
     """Of rows (context, left, right[, near, far]) a row for each run of `step` starts (within near to far): key, a digest
     of the bytes that all strings of `size` bytes have which start there. Rows that share none of these share no such string."""
 
+    def table(batch: pd.DataFrame, out: list[tuple], kept: list[int]) -> pd.DataFrame:
+        found = pd.DataFrame(out, columns=["context", "near", "far", "key"]).astype({"near": "int32", "far": "int32"})
+        for name in {"doc", "docs"} & set(batch.columns):
+            found[name] = batch[name].to_numpy()[kept]
+        return found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, kept = [], []
@@ -200,10 +212,11 @@ def _leads(size: int, reach: int, step: int):
                         core = left[:near][::-1] + right[: size - far]
                         out.append((context, near, far, hashlib.blake2b(core, digest_size=16, salt=near.to_bytes(8, "little")).digest()))
                         kept.append(i)
-            found = pd.DataFrame(out, columns=["context", "near", "far", "key"]).astype({"near": "int32", "far": "int32"})
-            for name in {"doc", "docs"} & set(batch.columns):
-                found[name] = batch[name].to_numpy()[kept]
-            yield found
+                if len(out) > BATCH:
+                    yield table(batch, out, kept)
+                    out, kept = [], []
+            yield table(batch, out, kept)
+            give_back()
 
     return run
 
@@ -218,10 +231,11 @@ def _contexts(length: int, reach: int):
                 for p in places:
                     at = p["pos"]
                     out.append((p["context"], p["n"], rid, p["docs"], p["gram"], p["crowded"], raw[max(0, at - reach) : at][::-1], raw[at : at + length]))
-                if len(out) > 4096:
+                if len(out) > BATCH:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
             yield pd.DataFrame(out, columns=columns)
+            give_back()
 
     return run
 
@@ -231,7 +245,9 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = batch.pop("text")
         batch["packed"] = [zlib.compress((t or "").encode("utf-8", "replace"), 1) for t in texts]
+        del texts
         yield batch
+        give_back()
 
 
 def _cut(keep_bytes: bool):
@@ -254,6 +270,7 @@ def _cut(keep_bytes: bool):
                 out.append((len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left if keep_bytes else None))
             found = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
             yield pd.concat([batch[["doc_id", "shares_passage"]].reset_index(drop=True), found], axis=1)
+            give_back()
 
     return run
 
@@ -304,6 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, span: int | None = None,
                 data = raw.tobytes()
                 context = [hashlib.blake2b(data[i:j], digest_size=16, salt=k.to_bytes(8, "little")).digest() for i, j, k in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)]
                 yield pd.DataFrame({"rid": rid[index][owner], "pos": (at - starts[owner]).astype(np.int32), "gram": gram.view(np.int64), "context": context})
+            give_back()
 
     sampled = materialise(rows.select("rid", "text").mapInPandas(places, "rid binary, pos int, gram long, context binary"), "places")
     grams = materialise(sampled.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "grams")

@@ -230,3 +230,23 @@ def test_components_that_are_not_joined_in_time_are_an_error(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
     with pytest.raises(RuntimeError, match="not joined after 2 rounds"):
         connected_components(path, max_rounds=2)
+
+
+def test_places_and_leads_take_little_memory_of_a_task():
+    """Places of 8 MB of texts need arrays over a small part of them, and rows with many starts leave in small tables."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from findlake.llm import suffix_dedup
+
+    anchors, texts = suffix_dedup.Anchors(280), [prose(i, 350) for i in range(4000)]
+    suffix_dedup._powers.clear()
+    tracemalloc.start()
+    places = sum(len(anchors.of(raw, starts, ends)[0]) for _, raw, starts, ends in suffix_dedup._joined(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places > 10_000 and most < 60 << 20
+    rows = pd.DataFrame({"context": [i.to_bytes(4) for i in range(500)], "left": [b"l" * 200] * 500, "right": [b"r" * 400] * 500})
+    sizes = [len(t) for t in suffix_dedup._leads(400, 200, 1)(iter([rows]))]
+    assert sum(sizes) == 500 * 201 and max(sizes) < 5000
