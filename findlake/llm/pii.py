@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.shared import content_key, materialise, unused
+from findlake.llm.shared import content_key, give_back, materialise, unused
 from findlake.llm.spans import SPAN, find_spans, merged, no_spans, redact
 
 # The kinds of strict spans in their order, and the kinds of what the trees add.
@@ -194,6 +194,7 @@ def find_personal_data(docs: DataFrame, trees: int = 12, depth: int = 4, precisi
         vector = VectorAssembler(inputCols=columns, outputCol="features")
         trainer = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=MOST_BINS, seed=3)
         model = trainer.fit(vector.transform(labelled.where("fitted")).coalesce(-(-sum(sizes.values()) // ROWS_A_TASK)))
+        give_back(docs.sparkSession)  # the plans of the trees' many short jobs
         score = lambda df: model.transform(vector.transform(df)).withColumn("score", vector_to_array("probability")[1])
         limits = _thresholds(score(labelled.where("not fitted")).groupBy((F.col("f_mail") > 0).alias("mail"), F.round("score", 3).alias("score")).agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all")).collect(), precision, least)
         # a row for each of the two families of kinds

@@ -287,7 +287,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     """
     spark = docs.sparkSession
     trained = Model(*training_sample(docs, labels, "toxic", learn, per_class), networks=networks)
-    give_back()
+    give_back(spark)
     model = spark.sparkContext.broadcast(trained)
     held = list(dict.fromkeys([*columns, "text"]))
 
