@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.shared import PARTS, content_key, emit_slices, materialise, sum_slices
+from findlake.llm.shared import PARTS, content_key, emit_slices, give_back, materialise, sum_slices
 from findlake.llm.totals import running_totals
 from findlake.llm.words import Words, chunks, mix
 
@@ -41,6 +41,7 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
                 first = np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.zeros(0, bool)
                 total[:CELLS] += np.bincount(both[first] & (CELLS - 1), minlength=CELLS)
                 total[CELLS] += len(texts)
+            give_back()
         yield emit_slices(total)
 
     return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, PARTS), "int64", CELLS + 1)
@@ -284,6 +285,7 @@ def _search(items_held, idf_held, share: float, cosine: float, overlap: float, l
                     row = batch.iloc[first + d]
                     out.append((row["doc_id"], row["rid"], items.ids[c], s, ratio, reply))
             yield pd.DataFrame(out, columns=["doc_id", "rid", "item_id", "cosine", "overlap", "answer"])
+            give_back()
 
     return run
 

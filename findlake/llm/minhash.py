@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlake.llm.components import connected_components
-from findlake.llm.shared import PARTS, content_key, emit_slices, materialise, sum_slices
+from findlake.llm.shared import PARTS, content_key, emit_slices, give_back, materialise, sum_slices
 from findlake.llm.words import Words, chunks, mix, shingles
 
 #: Cells of the table of document frequencies: shingles are hashed to them, as in a hashed TF-IDF, so it never outgrows a broadcast.
@@ -52,6 +52,7 @@ def document_frequencies(docs: DataFrame, size: int) -> np.ndarray:
                 first = np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.zeros(0, bool)
                 total[:CELLS] += np.bincount(both[first] & (CELLS - 1), minlength=CELLS)
                 total[CELLS] += int((np.diff(f.bounds) > 0).sum())
+            give_back()
         yield emit_slices(total)
 
     return sum_slices(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, PARTS), "int64", CELLS + 1)
@@ -134,6 +135,7 @@ def _signatures(size: int, bands: int, rows: int, idf_held):
                         "bands": [next(held) if s else None for s in some],
                     }
                 )
+            give_back()
 
     return run
 
@@ -147,6 +149,7 @@ def _weighted_shingles(size: int, idf_held):
                 f = Features(texts, size)
                 ids = batch["node"].to_numpy()[first : first + len(texts)]
                 yield pd.DataFrame({"node": np.repeat(ids, np.diff(f.bounds)), "key": f.key.view(np.int64), "tf": f.tf.astype(np.int32), "idf": idf_held.value[f.cell()]})
+            give_back()
 
     return run
 
@@ -230,6 +233,8 @@ def _compare_tiles(threshold: float):
                 ids, names = np.concatenate(node), np.concatenate(name)
                 out.append(np.stack([ids[names], ids], axis=1)[names != np.arange(len(ids))])
         edges = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        del a, b
+        give_back()
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
     return run
@@ -260,6 +265,7 @@ def _verify(size: int, threshold: float, idf_held):
                     if s >= threshold:
                         out.append((a[k], b[k], s))
             yield pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+            give_back()
 
     return run
 
@@ -304,6 +310,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     needed = members.select("node").distinct().join(classes.select("node", "rid"), "node")
     texts = materialise(keyed.select("rid", "text").join(needed, "rid").dropDuplicates(["node"]).select("node", "text"), "texts")
     totals = classes.select("node", "total")
+    give_back(spark)  # what the shuffles of a part took would lie beside the Python workers of the next
 
     def verified(pairs: DataFrame) -> DataFrame:
         # a class that very many are compared with is dealt to as many tasks as it fills
@@ -319,6 +326,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     stars = stars.join(totals.withColumnRenamed("node", "a"), "a").where(close).select("a", "b")
     edges = materialise(verified(stars), "links")
     group = connected_components(edges.select("a", "b"))
+    give_back(spark)
 
     grouped = members.join(group.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped, "grouped")
@@ -330,6 +338,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     held = rare.join(common, "key", "left_semi").groupBy("node").agg(F.sum(F.col("tf") * F.col("idf").cast("double")).alias("shared"), F.collect_list(F.struct("key", "tf", "idf")).alias("held"))
     held = materialise(held.join(totals, "node").where(F.col("shared") >= F.col("total") * threshold * (1 - 1e-6)).drop("total"), "held")
     still = materialise(still.join(held.select("node", "shared"), "node"), "still")
+    give_back(spark)
     enough = F.least("shared", "shared_b") >= (F.col("total") + F.col("total_b")) * (threshold / (1 + threshold) * (1 - 1e-6))
 
     def in_groups(links: DataFrame) -> DataFrame:

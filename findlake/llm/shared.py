@@ -46,13 +46,18 @@ def discard(df: DataFrame) -> None:
 
 def give_back(spark: SparkSession | None = None) -> None:
     """Hand memory that arrays have left to the system: a Python worker lives on, and the next stage's would lie beside it.
-    On the driver, with spark, the JVM collects too, gives its free heap back and lets go of finished queries' shuffles."""
+    On the driver, with spark, the JVM collects too, gives its free heap back and lets go of finished queries' shuffles, and
+    so do those of the executors: they keep what the largest shuffle took, and Python workers of later steps lie beside it.
+    Tasks are as many as cores, so that each executor gets one, which Spark does not promise; nothing depends on it."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library keeps what it likes
     if spark is not None:
+        cores = spark.sparkContext.defaultParallelism
+        collected = spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("collected"))
+        collected.write.format("noop").mode("overwrite").save()
         spark._jvm.System.gc()
 
 
