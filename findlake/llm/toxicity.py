@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.labelled import training_sample
+from findlake.llm.labelled import training_rows
 from findlake.llm.shared import give_back
 from findlake.llm.words import Words, chunks, mix
 
@@ -194,10 +195,10 @@ class Model:
     `networks` networks of different beginnings are trained, each on other texts: one share of HELD_BACK of each class
     after the other is kept from the training of one of them. On these texts the steps are chosen after which it stops,
     and the logistic function of its windows' logits is fitted to them, as a network is too sure of texts that it has
-    seen. A score is that of the mean of their logits.
+    seen. A score is that of the mean of their logits. With `only`, the network of that number alone is trained.
     """
 
-    def __init__(self, texts: list[str], labels: list[int], weights: list[float], steps: int = 240, batch: int = 128, seed: int = 11, networks: int = 2) -> None:
+    def __init__(self, texts: list[str], labels: list[int], weights: list[float], steps: int = 240, batch: int = 128, seed: int = 11, networks: int = 2, only: int | None = None) -> None:
         rng = np.random.default_rng(seed)
         y, by = np.array(labels, np.float32), np.array(weights)
         total = float(by.sum())
@@ -216,7 +217,7 @@ class Model:
         for value in (0, 1):
             of = np.flatnonzero(y == value)
             share[rng.permutation(of)] = np.arange(len(of)) % HELD_BACK
-        for k in range(networks):
+        for k in range(networks) if only is None else (only,):
             self._train(texts, y, by, share == k % HELD_BACK, steps, batch, np.random.default_rng((seed, k)))
 
     def _train(self, texts: list[str], y: np.ndarray, by: np.ndarray, apart: np.ndarray, steps: int, batch: int, rng: np.random.Generator) -> None:
@@ -260,6 +261,13 @@ class Model:
                     best = (loss, {k: a.copy() for k, a in p.items()}, beta)
         self.networks.append(best[1:])
 
+    @classmethod
+    def of(cls, parts: list[Model]) -> Model:
+        """The networks of models that were trained apart on the same texts."""
+        whole = parts[0]
+        whole.networks = [n for part in parts for n in part.networks]
+        return whole
+
     def _pooled(self, p: Params, texts: list[str]) -> np.ndarray:
         x = Inputs(texts, self.vocabulary)
         return _pooled(window_logits(p, x), x.doc, len(texts))
@@ -277,8 +285,9 @@ class Model:
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500, columns: tuple[str, ...] = ("doc_id",), score: str = "score", networks: int = 2) -> DataFrame:
     """The `columns` of docs with a further one called `score`, a name that none of them has: the probability that `labels` (doc_id, toxic) calls the whole text toxic.
 
-    The networks are trained in numpy on the driver from at most `per_class` documents of each label for which `learn`
-    holds, and a bounded number of bytes of them. They read words in windows that overlap: a word's vector, beside that of
+    The networks are trained in numpy from at most `per_class` documents of each label for which `learn` holds, and a
+    bounded number of bytes of them, each by a task of its own; no text reaches the driver, which gets the networks and
+    broadcasts them. They read words in windows that overlap: a word's vector, beside that of
     its character trigrams and beginnings, goes through two gated recurrent layers, one each way; attention pools their states. A text's score is a logistic function of
     the largest and the mean window. Only the text is an input.
 
@@ -286,9 +295,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     of the classes. Repeated rows each come out. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    trained = Model(*training_sample(docs, labels, "toxic", learn, per_class), networks=networks)
+
+    def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("doc_id")
+        part = pickle.dumps(Model(rows["text"].tolist(), rows["label"].tolist(), rows["weight"].tolist(), only=key[0]))
+        give_back()
+        return pd.DataFrame({"network": [key[0]], "model": [part]})
+
+    sample = training_rows(docs, labels, "toxic", learn, per_class).withColumn("network", F.explode(F.array(*map(F.lit, range(networks)))))
+    trained = sample.repartition(networks, "network").groupBy("network").applyInPandas(train, "network int, model binary").collect()
+    parts = [pickle.loads(bytes(r["model"])) for r in sorted(trained, key=lambda r: r["network"])]
     give_back(spark)
-    model = spark.sparkContext.broadcast(trained)
+    model = spark.sparkContext.broadcast(Model.of(parts) if parts else Model([], [], []))
     held = list(dict.fromkeys([*columns, "text"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,6 +77,18 @@ def test_scores_of_hard_rows(spark):
     assert score_toxicity(documents(spark, []), labels, F.lit(True)).count() == 0
 
 
+def test_networks_train_in_tasks_and_not_on_the_driver(spark, monkeypatch):
+    from tests.llm.fixtures import prose
+
+    texts = [f"{prose(i, 20, 200)} {'idiot clown' if i % 2 else ''}" for i in range(60)]
+    docs = documents(spark, list(enumerate(texts))).repartition(5)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    want = Model(*training_sample(docs, labels, "toxic", F.lit(True), 1500)).scores(texts)
+    monkeypatch.setattr(Model, "_train", lambda *a: pytest.fail("a network is trained on the driver"))
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels, F.lit(True)).collect()}
+    assert [got[i] for i in range(60)] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_gradients_of_the_network():
     texts = ["alpha beta gamma idiot delta", "one two three four five six seven", "x"] * 3
     model = Model(texts, [1, 0, 0] * 3, [1.0] * 9, steps=2, batch=4, networks=1)
