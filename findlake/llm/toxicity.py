@@ -286,8 +286,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     """The `columns` of docs with a further one called `score`, a name that none of them has: the probability that `labels` (doc_id, toxic) calls the whole text toxic.
 
     The networks are trained in numpy from at most `per_class` documents of each label for which `learn` holds, and a
-    bounded number of bytes of them, each by a task of its own; no text reaches the driver, which gets the networks and
-    broadcasts them. They read words in windows that overlap: a word's vector, beside that of
+    bounded number of bytes of them, in tasks; no text reaches the driver, which gets the networks and broadcasts them.
+    Networks that meet in a task are trained one after the other. They read words in windows that overlap: a word's vector, beside that of
     its character trigrams and beginnings, goes through two gated recurrent layers, one each way; attention pools their states. A text's score is a logistic function of
     the largest and the mean window. Only the text is an input.
 
