@@ -208,7 +208,9 @@ def lockfile_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages of lock files with a flat list and a nested one, each name as it is first met."""
     from findlake.functions.manifests import locked_packages
 
-    files = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("repo"), F.lit("package-lock.json").alias("path"), F.expr(_LOCK).alias("text"))
+    # the table is narrow and may be a single split: it is dealt out before texts are made of it
+    parts = b.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    files = parts.select(F.col("p_partkey").alias("repo"), F.lit("package-lock.json").alias("path"), F.expr(_LOCK).alias("text"))
     return locked_packages(files).select("repo", "name", "version")
 
 

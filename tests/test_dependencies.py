@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from findlake.functions.manifests import lock_packages
+from findlake.functions.manifests import ROWS, lock_packages, lock_rows
 from findlake.functions.versions import version_key
 from findlake.operators import dependencies as deps
 from findlake.operators import engine
 from findlake.operators.guards import joined_summaries
+from findlake.registry import QUERIES
 
 ORDER = "0 0.0.1 1.0.dev1 1.0-alpha 1.0-alpha.1 1.0-alpha.beta 1.0-beta.2 1.0-beta.11 1.0rc1 1.0 1.0.post1 1.0.1 1.2 1.10 2.0.0-rc.1 2 10.0.0 99999999999999999999.1".split()
 
@@ -59,6 +61,20 @@ def test_lock_files_nested_and_flat():
     assert lock_packages("{") == lock_packages("[1]") == lock_packages('{"packages": []}') == []
 
 
+def test_rows_of_many_lock_files_are_passed_on_together():
+    two = json.dumps({"dependencies": {"a": {"version": "1"}, "b": {"version": "2"}}})
+    files = pd.DataFrame([(k, "package-lock.json", two if k % 3 else None) for k in range(3000)], columns=["repo", "path", "text"])
+    frames = list(lock_rows(iter([files, files[:0], files])))
+    assert len(frames) == 1 and frames[0].groupby("repo").size().to_dict() == {k: 4 for k in range(3000) if k % 3}
+    assert [len(f) for f in lock_rows(iter([files] * 6))] == [ROWS, 4000]  # and no more than that are held
+    assert list(lock_rows(iter([files[:1]]))) == []
+
+
+def test_lock_files_of_one_split_are_many_tasks(spark):
+    rows = QUERIES["f101_lockfile_packages"](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("task"))
+    assert rows.distinct().count() > 4
+
+
 def test_findings_from_files_and_ranges(spark):
     lock = {"packages": {"node_modules/left": {"version": "1.5.0"}, "node_modules/deep": {"version": "2.0.0"}, "node_modules/mild": {"version": "2.0.0"}}}
     files = [
