@@ -63,7 +63,7 @@ def ended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f117_stream_ended_runs", _ENDED)
 def stream_ended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream over the events, with state that timers clear."""
+    """The same from a stream over the events, with state that the watermark clears."""
     return jobs.run_once(spark, expiry.stream_ended(jobs.read_log(spark, sf_dir), QUIET), "append")
 
 

@@ -1,71 +1,25 @@
-"""Jobs of a log that end when nothing has come for a time, with state that timers clear, on a stream and on a table."""
+"""Jobs of a log that end when nothing has come for a time, as sessions whose state the watermark clears, on a stream and on a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-#: A run of a job that has ended: its first and last event, the stage of the last one, and how many different events it had.
-ENDED = "job_id long, first_seq long, seq long, stage string, events int"
-
-
-class Expiry(StatefulProcessor):
-    """Keeps the open run of each job; it ends `quiet` milliseconds after its last event, when the watermark or a later event of the job is there.
-
-    State is one row and the numbers of the run's events, by which repeated ones are told; both go when the run ends."""
-
-    def __init__(self, quiet: int) -> None:
-        self.quiet = quiet
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", "first_seq long, seq long, stage string, events int, last long")
-        self.seen = handle.getMapState("seen", "seq long", "at long")
-
-    def _end(self, job: int) -> pd.DataFrame:
-        first, seq, stage, events, _ = self.run.get()
-        self.run.clear()
-        self.seen.clear()
-        return pd.DataFrame([(job, first, seq, stage, events)], columns=["job_id", "first_seq", "seq", "stage", "events"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        at = batch["ts"].astype("datetime64[ms]").astype("int64")
-        for seq, stage, t in zip(batch["seq"].tolist(), batch["stage"].tolist(), at.tolist(), strict=True):
-            if self.run.exists() and t > self.run.get()[4] + self.quiet:
-                yield self._end(key[0])
-            if self.seen.containsKey((seq,)):
-                continue
-            self.seen.updateValue((seq,), (t,))
-            if not self.run.exists():
-                self.run.update((seq, seq, stage, 1, t))
-            else:
-                first, best, held, events, last = self.run.get()
-                self.run.update((min(first, seq), max(best, seq), stage if seq > best else held, events + 1, max(last, t)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if self.run.exists():
-            self.handle.registerTimer(self.run.get()[4] + self.quiet)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.run.exists():
-            yield self._end(key[0])
-
-    def close(self) -> None:
-        pass
 
 
 def stream_ended(log: DataFrame, quiet: int, late: str = "0 seconds") -> DataFrame:
-    """Runs of a stream of log rows (job_id, seq, ts, stage) that have ended by its watermark, `late` behind the newest event.
+    """Runs of a stream of log rows (job_id, seq, ts, stage) that have ended by its watermark, `late` behind the newest event:
+    job_id, first_seq and seq (first and last event), stage of the last one, and events, how many different ones.
 
-    The state store has to be the one on disk: state grows with the open runs, not with memory."""
+    A run is a session of its job: it ends `quiet` milliseconds after its last event, and its state goes when the watermark
+    is there. Events that are repeated are told while the watermark lets them come at all, and one that comes late joins
+    what lies on both sides of it. The state store has to be the one on disk: state is a row for each event that the
+    watermark has not passed and one for each open run, and does not grow with memory."""
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = log.select("job_id", "seq", "ts", "stage").withWatermark("ts", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(Expiry(quiet), outputStructType=ENDED, outputMode="Append", timeMode="EventTime")
+    rows = log.select("job_id", "seq", F.date_trunc("millisecond", "ts").alias("ts"), "stage").withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "seq"])
+    runs = rows.groupBy("job_id", F.session_window("ts", f"{quiet} milliseconds")).agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max_by("stage", "seq").alias("stage"), F.count("*").cast("int").alias("events")
+    )
+    return runs.select("job_id", "first_seq", F.col("last_seq").alias("seq"), "stage", "events")
 
 
 def ended(log: DataFrame, quiet: int) -> DataFrame:
