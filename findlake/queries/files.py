@@ -222,6 +222,7 @@ def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = F.col("key")
     files = _part_paths(spark, sf_dir).where(key % 11 != 0).select(F.concat(F.lit("k"), key % 7, F.lit("/"), "path").alias("path"), key.alias("key"))
+    files = files.repartition(4 * spark.sparkContext.defaultParallelism, "path")  # few bytes, but a file each: they are written by many tasks
     files = files.groupBy("path").agg(F.max("key").alias("key")).select("path", F.encode(F.concat(F.lit("part "), "key", F.lit("\n")), "UTF-8").alias("content"))
     folder = f"{shared_folder(spark)}/directory-{uuid4().hex}"
     write_files(files, folder).write.format("noop").mode("overwrite").save()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -15,28 +17,68 @@ from findlake.functions import paths
 from findlake.operators.order import placed
 from findlake.sources.archive_source import file_system
 from findlake.sources.archives import MOST_BYTES, decoded
+from findlake.sources.folders import written
 
 
-def list_directory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, address, size) of the regular files under a folder: path is relative to it. Contents are not read; what is a
-    link, or lies behind one, is passed over."""
-    store, base = file_system(root)
-    local = isinstance(store, fs.LocalFileSystem)
-    base = base.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("address"), F.col("length").alias("size"))
-    plain = F.regexp_replace("address", "^[a-z0-9]+:(//[^/]*)?", "")
-    named = found.withColumn("path", F.substring(plain, len(base) + 2, 1 << 20))
+#: Entries after which a task that walks a folder leaves the folders that it has still to enter to other tasks.
+ENTRIES = 10_000
+#: Names under which `write_files` writes: they are no files of the folder.
+_PART = re.compile(r"\.[0-9a-f]{32}\.part")
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            linked = []
-            for path in batch["path"]:
-                parts = path.split("/")
-                linked.append(any(os.path.islink("/".join([base, *parts[:k]])) for k in range(1, len(parts) + 1)))
-            yield batch[[not x for x in linked]]
 
-    named = named.select("path", "address", "size")
-    return named.mapInPandas(own, named.schema) if local else named
+def _entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, is a folder, size) of the folders and regular files in a folder; links and special files are passed over."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                if x.is_dir(follow_symlinks=False):
+                    yield x.name, True, 0
+                elif x.is_file(follow_symlinks=False):
+                    yield x.name, False, x.stat(follow_symlinks=False).st_size
+    else:
+        for x in store.get_file_info(fs.FileSelector(folder)):
+            if x.type in (fs.FileType.Directory, fs.FileType.File):
+                yield x.base_name, x.type == fs.FileType.Directory, x.size or 0
+
+
+def list_directory(spark: SparkSession, root: str, entries: int = ENTRIES) -> DataFrame:
+    """(path, address, size) of the regular files under a folder: path is relative to it, address is that under `root`.
+    Contents are not read; what is a link, or lies behind one, is passed over.
+
+    Tasks walk the folders and write what they find, so that the driver holds no names: it begins with the folder itself, and each
+    task leaves the folders that it has not entered after so many entries to the tasks of the next round."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = file_system(root)
+        base = base.rstrip("/")
+        rows: list[tuple] = []
+        for batch in batches:
+            for begin in batch["path"]:
+                waiting, met = [begin], 0
+                while waiting and met <= entries:
+                    folder = waiting.pop()
+                    for name, is_folder, size in _entries(store, f"{base}/{folder}"):
+                        met += 1
+                        path = f"{folder}/{name}" if folder else name
+                        if is_folder:
+                            waiting.append(path)
+                        elif folder or not _PART.fullmatch(name):
+                            rows.append((path, size, False))
+                        if len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=["path", "size", "open"])
+                            rows = []
+                rows += [(folder, 0, True) for folder in waiting]
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "size", "open"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    folders = spark.createDataFrame([("",)], "path string")
+    rounds = []
+    while not rounds or not folders.isEmpty():
+        rounds.append(written(folders.repartition(tasks).mapInPandas(walk, "path string, size long, open boolean"), "listed"))
+        folders = rounds[-1].where("open").select("path")
+    found = functools.reduce(DataFrame.union, rounds).where("not open")
+    return found.select("path", F.concat(F.lit(f"{root.rstrip('/')}/"), "path").alias("address"), "size")
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -72,10 +114,14 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = file_system(root)
+        made: set[str] = set()
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 target = f"{base}/{path}"
-                store.create_dir(target.rpartition("/")[0])
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
                 part = f"{base}/.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part, compression=None) as out:
                     out.write(bytes(content))

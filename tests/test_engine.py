@@ -145,6 +145,26 @@ def test_a_folder_is_listed_before_it_is_read(spark, tmp_path):
     assert got == [(1, "big.py", None, True), (2, "bin.py", None, True), (3, "src/a b+c%.py", "\ufffd", True), (4, "src/b.py", "x = 1", True), (5, "src-1/a.py", "y", True)]
 
 
+def test_a_folder_is_listed_by_tasks(spark, tmp_path):
+    from findlake.sources.directories import list_directory, scan_directory
+
+    made = {f"{'/'.join(f'd{k % m}' for m in range(1, 2 + k % 5))}/p{k}.py": f"x = {k}" for k in range(300)} | {".gitignore": ".env", "a/.npmrc": "b", "a/_c.py": "c"}
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    (tmp_path / "empty/er").mkdir(parents=True)
+    (tmp_path / f".{'0' * 32}.part").write_text("left by a task that was lost")
+    (tmp_path / "a/loop").symlink_to(tmp_path)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        for entries in (0, 20, 10_000):
+            listed = list_directory(spark, root, entries)
+            assert sorted((r.path, r.size) for r in listed.collect()) == sorted((name, len(content)) for name, content in made.items())
+            assert len(listed.inputFiles()) < 100  # the driver's list of what is read: not a file of the folder each
+    assert {r.path: r.text for r in scan_directory(spark, str(tmp_path)).collect()} == made
+    (tmp_path / "none").mkdir()
+    assert list_directory(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_broken_archives(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(b"no archive")
     (tmp_path / "b.tar.gz").write_bytes(b"\x1f\x8b broken")
